@@ -222,7 +222,8 @@ def normalize(values: DataFrame, value: str, zone: str, order: str, abbreviation
         .when(F.col("_clock").isNull(), F.format_string("%04d-%02d-%02d", "_y", "_mo", "_d"))
         .otherwise(iso(instant))
     )
-    return x.withColumn(out, form).select(*values.columns, out)
+    # The generator keeps a filter on the result from being moved, with a copy of the whole cascade, below it.
+    return x.select(*values.columns, F.explode(F.array(form)).alias(out))
 
 
 def stated_times(mentions: DataFrame, facts: DataFrame) -> DataFrame:
