@@ -59,21 +59,21 @@ def _slim(messages: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def _validated(closed: DataFrame) -> DataFrame:
-    """The turns of the sound ones among closed conversations. Each step is a column of its own, so that
-    no sort is repeated inside a lambda."""
-    shape = lambda x, pos: F.struct(pos.alias("pos"), x.uid.alias("uid"), x["at"].alias("at"), x.ts.alias("ts"), x.role.alias("role"), x.blank.alias("blank"))
-    x = closed.select("session_id", F.array_sort("rows").alias("sorted"))  # by uid first
+    """The turns of the sound ones among closed conversations. Each step is a column of its own, and
+    soundness empties the turns instead of filtering rows: a filter would be moved below the steps,
+    with a copy of their sorts."""
+    shape = lambda r, pos: F.struct(pos.alias("pos"), r.uid.alias("uid"), r["at"].alias("at"), r.ts.alias("ts"), r.role.alias("role"), r.blank.alias("blank"))
+    x = closed.select("session_id", F.sort_array("rows").alias("sorted"))  # by uid first
     x = x.select("session_id", F.filter("sorted", lambda r, i: r.uid.isNull() | (i == 0) | ~r.uid.eqNullSafe(F.get(F.col("sorted"), i - 1)["uid"])).alias("once"))
-    x = x.where(F.forall("once", lambda r: r.role.isNotNull()))
     x = x.select("session_id", "once", F.exists("once", lambda r: r["at"].isNotNull()).alias("placed"))
-    x = x.select("session_id", "placed", F.array_sort(F.transform("once", lambda r: shape(r, F.when(F.col("placed"), r["at"].cast("double")).otherwise(r.ts)))).alias("rows"))
-    x = x.where(
-        F.when(F.col("placed"), F.forall(F.transform("rows", lambda r, i: r["at"].eqNullSafe(i.cast("bigint"))), lambda ok: ok)).otherwise(F.forall("rows", lambda r: r.ts.isNotNull()))
-    )
-    x = x.select("session_id", F.filter("rows", lambda r: ~r.blank).alias("turns"))
+    x = x.select("session_id", "placed", F.sort_array(F.transform("once", lambda r: shape(r, F.when(F.col("placed"), r["at"].cast("double")).otherwise(r.ts)))).alias("rows"))
+    in_place = F.forall(F.transform("rows", lambda r, i: r["at"].eqNullSafe(i.cast("bigint"))), lambda ok: ok)
+    sound = F.forall("rows", lambda r: r.role.isNotNull()) & F.when(F.col("placed"), in_place).otherwise(F.forall("rows", lambda r: r.ts.isNotNull()))
+    x = x.select("session_id", F.when(sound, F.filter("rows", lambda r: ~r.blank)).alias("turns"))
     x = x.select("session_id", "turns", F.filter("turns", lambda r: r.role != "system").alias("spoken"))
-    x = x.where((F.get("spoken", F.lit(0))["role"] == "user") & (F.get("spoken", F.size("spoken") - 1)["role"] == "assistant"))
-    return x.select("session_id", F.posexplode("turns").alias("i", "turn")).select("session_id", (F.col("i") + 1).alias("turn_no"), "turn.uid", "turn.role")
+    ends = (F.get("spoken", F.lit(0))["role"] == "user") & (F.get("spoken", F.size("spoken") - 1)["role"] == "assistant")
+    x = x.select("session_id", F.when(ends, F.transform("turns", lambda r: F.struct("session_id", r.uid.alias("uid"), r.role.alias("role")))).alias("turns"))
+    return x.select(F.posexplode("turns").alias("i", "turn")).select("turn.session_id", (F.col("i") + 1).alias("turn_no"), "turn.uid", "turn.role")
 
 
 def conversation_stream(messages: DataFrame, samples: DataFrame, timeout: str, lateness: str) -> DataFrame:
