@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, conversations, splitting
+from palimpsest.llm import bpe, conversations, near_duplicates, splitting
 from palimpsest.sources.tables import path, table
 
 
+#: Statement of problem 1: alike from six tenths of all words on.
+FACT_SIMILARITY = 0.6
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.Duplicates(table(spark, folder, "episodic_facts"), FACT_SIMILARITY).pairs()
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.Duplicates(table(spark, folder, "episodic_facts"), FACT_SIMILARITY).groups()
+
+
 def p3_turns(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuild_conversations(spark, path(folder, "memory_units"), table(spark, folder, "chat_samples"))
 
@@ -34,4 +46,4 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decode_column(p7_ids(spark, folder), "doc_id", "ids", "byte_bpe_50k")
 
 
-QUERIES = {"p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip}

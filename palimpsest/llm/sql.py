@@ -21,7 +21,21 @@ ends as (
   select session_id from turns where role <> 'system' group by session_id having arg_min(role, turn_no) = 'user' and arg_max(role, turn_no) = 'assistant')
 """
 
+_ALIKE = r"""
+with recursive words as (
+  select fact_id, unnest(list_distinct(regexp_extract_all(lower(any_value(coalesce(content, '')) || ' ' || any_value(coalesce(array_to_string(retrieval_keys, ' '), ''))), '[\p{L}\p{N}]+'))) as word
+  from episodic_facts group by fact_id),
+sizes as (select fact_id, count(*) as n from words group by fact_id),
+shared as (
+  select a.fact_id as fact_id_a, b.fact_id as fact_id_b, count(*) as both
+  from words a join words b on a.word = b.word and a.fact_id < b.fact_id group by 1, 2),
+pairs as (
+  select fact_id_a, fact_id_b from shared join sizes a on a.fact_id = fact_id_a join sizes b on b.fact_id = fact_id_b
+  where both * 10 >= 6 * (a.n + b.n - both))
+"""
+
 ORACLES = {
+    "p1_found": _ALIKE + "select * from pairs",
     "p3_found": _TURNS + "select session_id, cast(turn_no as int) as turn_no, uid from turns join ends using (session_id)",
     "p3_turns": _TURNS + "select session_id, cast(turn_no as int) as turn_no, uid, role from turns join ends using (session_id)",
     "p4_found": """
