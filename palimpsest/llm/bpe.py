@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import ship
+
 # Fixed value: the word pattern of byte-level tokenizers.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_FOLDER = "/opt/tokenizers"
@@ -196,7 +198,7 @@ class _Worker:
     """Ships the file once to each executor and compiles it once in each Python worker."""
 
     def __init__(self, spark, name: str, folder: str):
-        self.content = spark.sparkContext.broadcast(tokenizer_file(name, folder))
+        self.content = ship(spark).sparkContext.broadcast(tokenizer_file(name, folder))
 
     def get(self) -> MergeAutomaton:
         return _compiled(self.content.value)

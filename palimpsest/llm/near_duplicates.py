@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.components import connected_components
-from palimpsest.session import written
+from palimpsest.session import ship, written
 
 #: Counters of the frequency sketch that is sent to the workers: its size is fixed, whatever the vocabulary.
 SKETCH = 1 << 20
-#: Records expected to share a block by chance.
-SHARE = 48
+#: How many records may be expected to share a block by chance; the cheapest is taken.
+SHARES = (4, 8, 16, 32, 64, 128, 256)
 #: Bits of the folded fingerprint that travels with a block.
-FOLD = 256
+FOLD = 128
 MAX_WIDTH = 4
 _MASK = (1 << 64) - 1
 
@@ -57,32 +58,56 @@ def _holes(widths: np.ndarray, need: int) -> int:
     return len(widths)
 
 
-def _record_blocks(words: np.ndarray, counts: np.ndarray, members: float, salt: int, similarity: float, share: float) -> list[np.ndarray]:
-    n = len(words)
+def _schemes(n: int, similarity: float) -> Iterator[tuple[int, bool]]:
+    """Records of up to ``few`` words, and of more than ``many``, take single words; each pair of alike records
+    falls into one of three schemes by its smaller record, and both its records take part in it."""
+    few, many = int(np.ceil(7 / similarity)), 64
+    for scheme, lowest, highest, wide in ((1, 1, few / similarity, False), (2, few + 1, many / similarity, True), (3, many + 1, np.inf, False)):
+        if lowest <= n <= highest:
+            yield scheme, wide
+
+
+def _widths(words: np.ndarray, counts: np.ndarray, members: float, similarity: float, share: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words from the rarest on, how many of each kind make a block, and the misses to hold out against, plus one."""
     order = np.lexsort((words, counts))
-    words, counts = words[order], counts[order]
-    need = n - int(np.ceil(similarity * n - 1e-9)) + 1
-    rate = np.minimum(np.maximum(counts, 1) / members, 0.999999)
+    rate = np.minimum(np.maximum(counts[order], 1) / members, 0.999999)
     width = np.clip(np.ceil(np.log(max(members / share, 1.0000001)) / -np.log(rate) - 1e-9), 1, MAX_WIDTH).astype(np.int64)
-    mixed = _mix(words)
-    # Records of up to ``few`` words, and of more than ``many``, take single words; each pair of alike records falls
-    # into one of the three schemes by its smaller record, and both its records take part in it.
-    few, many = int(np.ceil(7 / similarity)), 64
+    return order, width, len(words) - int(np.ceil(similarity * len(words) - 1e-9)) + 1
+
+
+def _record_blocks(words: np.ndarray, counts: np.ndarray, members: float, salt: int, similarity: float, share: float) -> list[np.ndarray]:
+    order, width, need = _widths(words, counts, members, similarity, share)
+    mixed = _mix(words[order])
     out = []
-    for scheme, lowest, highest, wide in ((1, 1, few / similarity, False), (2, few + 1, many / similarity, True), (3, many + 1, np.inf, False)):
-        if not lowest <= n <= highest:
-            continue
-        w = width if wide else np.ones(n, dtype=np.int64)
+    for scheme, wide in _schemes(len(words), similarity):
+        w = width if wide else np.ones_like(width)
         upto = _holes(w, need)
-        w = w[:upto]
-        for k in np.unique(w).tolist():
-            of = mixed[:upto][w == k]
+        for k in np.unique(w[:upto]).tolist():
+            of = mixed[:upto][w[:upto] == k]
             if len(of) >= k:
                 joint = of[_choices(len(of), k)].sum(axis=1, dtype=np.uint64) if k > 1 else of
                 out.append(_mix(joint + np.uint64((scheme * 8 + k) * 0x9E3779B97F4A7C15 & _MASK) + np.uint64(salt & _MASK)))
     return out
 
 
+def _slots(words: np.ndarray, salt: int) -> np.ndarray:
+    return ((words ^ np.uint64(salt & _MASK)) % np.uint64(SKETCH)).astype(np.int64)
+
+
+def _best_share(records: DataFrame, sketch: np.ndarray, similarity: float, look_at: int = 1000) -> float:
+    """The share that needs the fewest blocks and comparisons for some records. Every share gives the same pairs."""
+    cost = dict.fromkeys(SHARES, 0.0)
+    for r in records.select("salt", "members", "words").limit(look_at).collect():
+        words = np.array(r.words, dtype=np.int64).view(np.uint64)
+        for share in cost:
+            _, width, need = _widths(words, sketch[_slots(words, r.salt)], r.members, similarity, share)
+            for _, wide in _schemes(len(words), similarity):
+                w = width if wide else np.ones_like(width)
+                n = np.bincount(w[: _holes(w, need)], minlength=MAX_WIDTH + 1)
+                cost[share] += sum(comb(int(n[k]), k) for k in range(1, MAX_WIDTH + 1)) * (1 + share / 300)
+    return min(cost, key=cost.get)
+
+
 def _fold(words: np.ndarray) -> list[int]:
     """The fingerprint (one bit for each word there is) folded by parity to FOLD bits: the distance of two
     folded fingerprints is never more than that of the whole ones."""
@@ -90,9 +115,60 @@ def _fold(words: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
+def _near(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
+    """Pairs within the blocks of rows sorted by block whose folded fingerprints are near enough."""
+    rest: list[np.ndarray] | None = None
+    out: list[np.ndarray] = []
+    held = 0
+
+    def pairs(columns: list[np.ndarray]) -> None:
+        nonlocal held
+        block, ids, n, f0, f1 = columns
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        sizes = np.diff(np.r_[starts, len(block)])
+        end = np.repeat(starts + sizes, sizes)
+        # Each row meets the next rows of its block, one step further in each round.
+        left = np.flatnonzero(end - np.arange(len(block)) > 1)
+        step = 1
+        while len(left):
+            right = left + step
+            apart = sum(np.bitwise_count((f[left] ^ f[right]).view(np.uint64)).astype(np.int32) for f in (f0, f1))
+            keep = (apart <= limit * (n[left] + n[right]) + 1e-9) & (ids[left] != ids[right])
+            if keep.any():
+                x, y = ids[left[keep]], ids[right[keep]]
+                out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+                held += len(out[-1])
+            step += 1
+            left = left[left + step < end[left]]
+
+    def emit() -> pa.RecordBatch:
+        nonlocal held
+        both = np.unique(np.concatenate(out), axis=0)
+        out.clear()
+        held = 0
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last block may go on in the next batch
+        if cut:
+            pairs([x[:cut] for x in columns])
+        rest = [x[cut:] for x in columns]
+        if held > 200_000:
+            yield emit()
+    if rest is not None:
+        pairs(rest)
+    if held:
+        yield emit()
+
+
 def _blocks(records: DataFrame, sketch: np.ndarray, similarity: float, share: float) -> DataFrame:
-    """``block, id, n, f0..f3`` for records ``salt, members, id, words``."""
-    sent = records.sparkSession.sparkContext.broadcast(sketch)
+    """``block, id, n, f0, f1`` for records ``salt, members, id, words``."""
+    sent = ship(records.sparkSession).sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
@@ -104,7 +180,7 @@ def _blocks(records: DataFrame, sketch: np.ndarray, similarity: float, share: fl
             for i in range(len(ids)):
                 words = flat[offsets[i] : offsets[i + 1]]
                 salt = int(salts[i]) & _MASK
-                own = counts[((words ^ np.uint64(salt)) % np.uint64(SKETCH)).astype(np.int64)]
+                own = counts[_slots(words, salt)]
                 found = np.concatenate(_record_blocks(words, own, float(members[i]), salt, similarity, share))
                 blocks.append(found.view(np.int64))
                 rows.append(len(found))
@@ -114,12 +190,12 @@ def _blocks(records: DataFrame, sketch: np.ndarray, similarity: float, share: fl
                     at = np.repeat(np.arange(i + 1 - len(rows), i + 1), rows)
                     f = np.repeat(np.array(folds, dtype=np.int64), rows, axis=0)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(blocks)), pa.array(ids[at]), pa.array(np.repeat(np.array(sizes, dtype=np.int32), rows)), *(pa.array(np.ascontiguousarray(f[:, c])) for c in range(4))],
-                        names=["block", "id", "n", "f0", "f1", "f2", "f3"],
+                        [pa.array(np.concatenate(blocks)), pa.array(ids[at]), pa.array(np.repeat(np.array(sizes, dtype=np.int32), rows)), *(pa.array(np.ascontiguousarray(f[:, c])) for c in range(2))],
+                        names=["block", "id", "n", "f0", "f1"],
                     )
                     blocks, rows, folds, sizes = [], [], [], []
 
-    return records.select("salt", "members", "id", "words").mapInArrow(run, "block bigint, id bigint, n int, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    return records.select("salt", "members", "id", "words").mapInArrow(run, "block bigint, id bigint, n int, f0 bigint, f1 bigint")
 
 
 def _frequencies(records: DataFrame) -> np.ndarray:
@@ -132,15 +208,14 @@ def _frequencies(records: DataFrame) -> np.ndarray:
     return sketch
 
 
-def alike(sets: DataFrame, similarity: float = 0.8, share: float = SHARE, hot: int = 20_000, depth: int = 2) -> DataFrame:
+def alike(sets: DataFrame, similarity: float = 0.8, hot: int = 20_000, depth: int = 2) -> DataFrame:
     """Pairs ``a < b`` of ``sets`` (``id bigint, words array<bigint>``, the words distinct and sorted, ids
     and word sets distinct) of which at least ``similarity`` of all words are in both. Exact; empty sets
     are never alike.
 
     The fingerprint of a set has a bit for each word of the vocabulary. Two sets of ``m`` and ``n``
     words are alike exactly if their Hamming distance is at most ``(1-s)/(1+s) (m+n)``. Blocks of a
-    fingerprint are combinations of its rarer words: a word as rare as one in ``share`` expected
-    partners is a block by itself, commoner words form a block by twos, threes or fours. A set of n
+    fingerprint are combinations of its rarer words: a rare word is a block by itself, commoner words form a block by twos, threes or fours. A set of n
     words can lack at most ``d = n - ceil(s n)`` of them in its partner, so blocks are taken from the
     rarest words on until d misses can't hit them all (k words in blocks of i hold out against k - i
     misses); the same order of words for all sets makes the pair share a block. Candidates from the
@@ -156,17 +231,20 @@ def alike(sets: DataFrame, similarity: float = 0.8, share: float = SHARE, hot: i
     limit = (1 - similarity) / (1 + similarity)
     found = None
     for step in range(depth + 1):
-        blocks = written(_blocks(level, _frequencies(level), similarity, share), "blocks") if total > hot else _blocks(level, _frequencies(level), similarity, share)
+        sketch = _frequencies(level)
+        share = _best_share(level, sketch, similarity)
+        blocks = _blocks(level, sketch, similarity, share)
         crowded = None
         if total > hot and step < depth:
-            crowded = written(blocks.groupBy("block").count().where(F.col("count") > hot), "crowded")
+            # Which blocks are divided changes no result, so a count over a sixteenth of the records will do.
+            part = _blocks(level.where(F.pmod("id", F.lit(16)) == 0), sketch, similarity, share)
+            crowded = written(part.groupBy("block").count().select("block", F.col("count") * 16).toDF("block", "count").where(F.col("count") > hot), "crowded")
             if crowded.isEmpty():
                 crowded = None
         calm = blocks.join(crowded.select("block"), "block", "left_anti") if crowded is not None else blocks
-        x, y = calm.alias("x"), calm.alias("y")
-        apart = sum((F.bit_count(F.col(f"x.f{i}").bitwiseXOR(F.col(f"y.f{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.f0").bitwiseXOR(F.col("y.f0"))))
-        near = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & (apart <= F.lit(limit) * (F.col("x.n") + F.col("y.n")) + 1e-9))
-        pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        # One sort brings a block's records together; the pairs are made from them batch by batch.
+        together = calm.repartition("block").sortWithinPartitions("block")
+        pairs = together.mapInArrow(lambda batches, limit=limit: _near(batches, limit), "a bigint, b bigint").distinct()
         found = pairs if found is None else found.unionByName(pairs)
         if crowded is None:
             break

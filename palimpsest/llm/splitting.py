@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import ship
+
 #: Where a piece may end, from the strongest boundary to the weakest: after the match. Characters come last, without a pattern.
 LEVELS = tuple(
     re.compile(p)
@@ -91,4 +93,5 @@ def oversized(units: DataFrame, samples: DataFrame, configs: DataFrame) -> DataF
 def split_units(units: DataFrame, samples: DataFrame, configs: DataFrame) -> DataFrame:
     """The pieces ``uid, piece_no, start, end, piece`` of every oversized unit (see ``split_text``); offsets
     count code points of the text as stored."""
+    ship(units.sparkSession)
     return oversized(units, samples, configs).mapInPandas(_split_batches, PIECES)

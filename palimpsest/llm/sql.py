@@ -27,11 +27,11 @@ with recursive words as (
   from episodic_facts group by fact_id),
 sizes as (select fact_id, count(*) as n from words group by fact_id),
 shared as (
-  select a.fact_id as fact_id_a, b.fact_id as fact_id_b, count(*) as both
+  select a.fact_id as fact_id_a, b.fact_id as fact_id_b, count(*) as common
   from words a join words b on a.word = b.word and a.fact_id < b.fact_id group by 1, 2),
 pairs as (
   select fact_id_a, fact_id_b from shared join sizes a on a.fact_id = fact_id_a join sizes b on b.fact_id = fact_id_b
-  where both * 10 >= 6 * (a.n + b.n - both))
+  where common * 10 >= 6 * (a.n + b.n - common))
 """
 
 ORACLES = {
