@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, conversations, near_duplicates, splitting
+from palimpsest.llm import bpe, conversations, names, near_duplicates, packing, splitting
 from palimpsest.sources.tables import path, table
 
 
@@ -37,6 +37,22 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pieces(spark, folder).where("piece_no = 1").select("uid")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.same_pairs(table(spark, folder, "extracted_entities"))
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link_entities(table(spark, folder, "extracted_entities"))
+
+
+def p8_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_profiles"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.container_report(p8_assignment(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_column(table(spark, folder, "documents"), "doc_id", "text", "byte_bpe_50k")
 
@@ -46,4 +62,7 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decode_column(p7_ids(spark, folder), "doc_id", "ids", "byte_bpe_50k")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_turns": p3_turns, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_groups, p3_found, p3_turns, p4_found, p4_pieces, p6_found, p6_groups, p7_ids, p7_round_trip, p8_assignment, p8_report)
+}
