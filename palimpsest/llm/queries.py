@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, conversations, names, near_duplicates, packing, splitting
+from palimpsest.llm import bpe, conversations, names, near_duplicates, packing, splitting, toxicity
 from palimpsest.sources.tables import path, table
 
 
@@ -62,7 +62,19 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decode_column(p7_ids(spark, folder), "doc_id", "ids", "byte_bpe_50k")
 
 
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_scores(spark, folder).where("flagged").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rates(p9_scores(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p3_found, p3_turns, p4_found, p4_pieces, p6_found, p6_groups, p7_ids, p7_round_trip, p8_assignment, p8_report)
+    for f in (p1_found, p1_groups, p3_found, p3_turns, p4_found, p4_pieces, p6_found, p6_groups, p7_ids, p7_round_trip, p8_assignment, p8_report, p9_found, p9_scores, p9_rates)
 }
