@@ -18,7 +18,7 @@ ORDER = 7
 #: Orders up to this one are counted over both classes together.
 SHARED = 2
 #: Most labelled documents of each class that the models are fitted on.
-MAX_LABELLED = 6_000
+MAX_LABELLED = 4_000
 ROUNDS = 2
 #: Log-likelihood ratio a character above which a document is flagged; on held-out fifths of the labels
 #: all values from 0.3 to 0.5 have the same errors.
@@ -78,21 +78,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _grams(parts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Keys of the n-grams that end at each character, for each order; which part a character belongs to; and where it counts."""
+def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of all parts, padded in front of each; which part a character belongs to; and where it counts."""
     lengths = np.fromiter((len(p) for p in parts), dtype=np.int64, count=len(parts))
     pad = "\n" * (ORDER - 1)
-    flat = "".join(pad + p for p in parts)
-    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    part = np.repeat(np.arange(len(parts)), lengths + ORDER - 1)
-    counts = codes != 10
-    keys = [np.full(len(codes), 7, dtype=np.uint64)]
+    codes = np.frombuffer("".join(pad + p for p in parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return codes, np.repeat(np.arange(len(parts), dtype=np.int32), lengths + ORDER - 1), codes != 10
+
+
+def _keys(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys of the n-grams that end at each character, for orders 0 to ORDER."""
+    key = np.full(len(codes), 7, dtype=np.uint64)
+    yield key
     for _ in range(ORDER):
-        before = np.empty_like(keys[-1])
-        before[0] = 5
-        before[1:] = keys[-1][:-1]
-        keys.append(_mix(before * np.uint64(0xD1342543DE82EF95) + codes + np.uint64(1)))
-    return keys, part, counts
+        before = np.empty_like(key)
+        before[:1] = 5
+        before[1:] = key[:-1]
+        key = _mix(before * np.uint64(0xD1342543DE82EF95) + codes + np.uint64(1))
+        yield key
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,36 +161,42 @@ def _context(keys: list[np.ndarray], n: int, at: np.ndarray) -> np.ndarray:
 
 def fit(classes: list[list[str]]) -> list[KneserNey]:
     """A model for each class of passages; their orders up to SHARED have the counts of all classes together."""
-    grams = [_grams(c) for c in classes]
-    pooled = [np.concatenate([g[0][n] for g in grams]) for n in range(ORDER + 1)]
-    where = np.flatnonzero(np.concatenate([g[2] for g in grams]))
     floor = float(-np.log(70_000))
-    shared: list[Level] = []
-    for n in range(1, SHARED + 1):
-        shared.append(_continued(pooled, n, where, shared, floor))
-    out = []
-    for keys, _, counts in grams:
-        own = np.flatnonzero(counts)
-        levels = list(shared)
-        for n in range(SHARED + 1, ORDER + 1):
-            levels.append(_continued(keys, n, own, levels, floor))
-        out.append(KneserNey(levels, floor))
-    return out
-
-
-def _continued(keys: list[np.ndarray], n: int, where: np.ndarray, below: list[Level], floor: float) -> Level:
-    """Order n: occurrences at the highest order, below it the number of different characters an n-gram follows."""
-    types, counts, at = _types(keys, n, where)
-    if n < ORDER:
-        _, _, longer = _types(keys, n + 1, where)
-        suffixes, kinds = np.unique(keys[n][longer], return_counts=True)
+    prepared = [_codes(c) for c in classes]
+    shared = _levels(np.concatenate([c[0] for c in prepared]), np.concatenate([c[2] for c in prepared]), 1, SHARED, [], floor)
+    return [KneserNey(_levels(codes, counts, SHARED + 1, ORDER, shared, floor), floor) for codes, _, counts in prepared]
+
+
+def _levels(codes: np.ndarray, counts: np.ndarray, first: int, last: int, below: list[Level], floor: float) -> list[Level]:
+    """``below`` and the orders ``first`` to ``last`` of a text. The highest order has occurrences; an order below it the number of
+    different characters that an n-gram follows. Three orders of keys are held at a time."""
+    levels, where = list(below), np.flatnonzero(counts)
+    held: list[np.ndarray] = []
+    for n, key in enumerate(_keys(codes), -1):  # key is that of order n + 1
+        held = [*held[-2:], key]
+        if first <= n <= last:
+            levels.append(_continued(held, n, where, levels, floor))
+        if n == last:
+            return levels
+    levels.append(_continued([*held[-2:], None], ORDER, where, levels, floor))
+    return levels
+
+
+def _continued(held: list, n: int, where: np.ndarray, below: list[Level], floor: float) -> Level:
+    shorter, keys, longer = held
+    types, first, counts = np.unique(keys[where], return_index=True, return_counts=True)
+    at = where[first]
+    if longer is not None:
+        _, once = np.unique(longer[where], return_index=True)
+        suffixes, kinds = np.unique(keys[where[once]], return_counts=True)
         counts = kinds[np.searchsorted(suffixes, types)]
     if n == 1:
-        lower = np.full(len(types), np.exp(floor))
+        lower, context = np.full(len(types), np.exp(floor)), np.zeros(len(at), dtype=np.uint64)
     else:
-        found, hit = _find(below[n - 2].keys, keys[n - 1][at])
-        lower = np.where(hit, np.exp(below[n - 2].logp[found]), np.exp(floor))
-    return _level(types, counts.astype(np.float64), _context(keys, n, at), lower)
+        # The n-gram without its first character is a key of the order below, at the same position.
+        found, hit = _find(below[n - 2].keys, shorter[at])
+        lower, context = np.where(hit, np.exp(below[n - 2].logp[found]), np.exp(floor)), shorter[at - 1]
+    return _level(types, counts.astype(np.float64), context, lower)
 
 
 class Scorer:
@@ -200,8 +209,17 @@ class Scorer:
         """The length-normalised log-likelihood ratio of each passage; very short ones are drawn to 0."""
         if not parts:
             return np.zeros(0)
-        keys, part, counts = _grams(parts)
-        where = np.flatnonzero(counts)
+        out, start, size = [], 0, 0
+        for i, p in enumerate(parts, 1):
+            size += len(p) + ORDER
+            if size > 300_000 or i == len(parts):
+                out.append(self._some(parts[start:i]))
+                start, size = i, 0
+        return np.concatenate(out)
+
+    def _some(self, parts: list[str]) -> np.ndarray:
+        codes, part, counts = _codes(parts)
+        keys, where = list(_keys(codes)), np.flatnonzero(counts)
         ratio = self.toxic.score(keys, where) - self.ordinary.score(keys, where)
         total = np.bincount(part[where], weights=ratio, minlength=len(parts))
         n = np.bincount(part[where], minlength=len(parts))
