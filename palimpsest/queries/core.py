@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.queries import preparation
+from palimpsest.queries import preparation, retrieval
 
-MODULES = (preparation,)
+MODULES = (preparation, retrieval)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
-FLAGSHIP = "p5_found"
+FLAGSHIP = "bm25_topk"
