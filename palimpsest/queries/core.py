@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.queries import preparation, retrieval
+from palimpsest.queries import preparation, retrieval, stores
 
-MODULES = (preparation, retrieval)
+MODULES = (preparation, retrieval, stores)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "bm25_topk"
