@@ -89,3 +89,21 @@ def sparse_search(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
 def tiny_weights_dropped(sparse: DataFrame, vocabulary: int = 30522) -> DataFrame:
     """A sparse vector's stored form: weights above 1e-6 in size, terms within the vocabulary."""
     return sparse.where((F.abs("weight") > 1e-6) & F.col("term").between(0, vocabulary - 1))
+
+
+def near_pairs(vectors: DataFrame, dim: int, least: float, block: int = BLOCK) -> DataFrame:
+    """``uid, other, cosine``: all ordered pairs of different vectors with a cosine of at least ``least``, in products of blocks. Bad vectors are left out as in ``dense_search``."""
+    ship(vectors.sparkSession)
+    ok = vectors.where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & (F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) >= MIN_NORM**2)).select("uid", "v")
+    a, b = _blocks(ok, "uid", "a", block), _blocks(ok, "uid", "b", block)
+    kind = vectors.schema["uid"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for i in range(x.num_rows):
+                p, q = x.column("a_ids")[i].values, x.column("b_ids")[i].values
+                s = _matrix(x.column("a_values")[i], len(p)) @ _matrix(x.column("b_values")[i], len(q)).T
+                rows, cols = np.nonzero(s >= least - 1e-9)
+                yield pa.RecordBatch.from_arrays([p.take(pa.array(rows)), q.take(pa.array(cols)), pa.array(s[rows, cols])], names=["uid", "other", "cosine"])
+
+    return a.crossJoin(b).mapInArrow(run, f"uid {kind}, other {kind}, cosine double").where("uid <> other")

@@ -7,6 +7,8 @@ from math import lcm
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.time import utc_micros
+
 US_PER_MINUTE = 60_000_000
 #: Largest scaled time that still leaves room for adding a gap in a bigint.
 MAX_SCALED = 2**62
@@ -15,9 +17,9 @@ MAX_SCALED = 2**62
 GAPS_PER_BUCKET = 16
 
 
-def known_time_us(event_time: Column) -> Column:
+def known_time_us(events: DataFrame, column: str = "event_time") -> Column:
     """Microseconds since 1970-01-01 UTC; null for null and for the instant 0, which means unknown."""
-    us = F.unix_micros(event_time.cast("timestamp"))
+    us = utc_micros(events, column)
     return F.when(us != 0, us)
 
 
@@ -47,6 +49,12 @@ def sessionize(events: DataFrame, key: str, time_us: str, gap_us: str, count: st
     return _paired(points, key, horizon_us)
 
 
+def segments(events: DataFrame, key: str, time_us: str, gap_us: int) -> DataFrame:
+    """``key, time_us, segment``: each distinct time of a key with the number, from 1, of the session it falls into."""
+    points = events.select(F.col(key).alias("_key"), F.col(time_us).cast("bigint").alias("_t"), F.lit(gap_us).cast("bigint").alias("_gap")).where("_key is not null and _t is not null").groupBy("_key", "_gap", "_t").agg(F.count("*").alias("_n"))
+    return _numbered(points, gap_us).select(F.col("_key").alias(key), F.col("_t").alias(time_us), (F.col("_start_no") + F.col("_off_starts")).alias("segment"))
+
+
 def _classes(gaps: list[int], horizon_us: int) -> list[tuple[int, list[int]]]:
     """Gaps in classes with a common multiple that keeps scaled times within a bigint."""
     out: list[tuple[int, list[int]]] = []
@@ -73,7 +81,8 @@ def _paired(points: DataFrame, key: str, horizon_us: int) -> DataFrame:
     return out.select(F.col("_key").alias(key), "start_time_us", "last_time_us", (F.col("last_time_us") - F.col("start_time_us")).alias("duration_us"), "unit_count")
 
 
-def _one_class(points: DataFrame, common: int) -> DataFrame:
+def _numbered(points: DataFrame, common: int) -> DataFrame:
+    """Distinct times with ``_is_start, _is_end``, running counts within the bucket and offsets of the buckets before."""
     width = common * GAPS_PER_BUCKET
     scaled = points.withColumn("_s", F.col("_t") * F.expr(f"{common} div _gap"))
     bucket = F.expr(f"cast(floor(_s / {width}D) as bigint)")
@@ -105,7 +114,11 @@ def _one_class(points: DataFrame, common: int) -> DataFrame:
         F.sum("_n").alias("_n"), F.sum(F.col("_is_start").cast("bigint")).alias("_starts"), F.sum(F.col("_is_end").cast("bigint")).alias("_ends")
     )
     offsets = totals.select("_key", "_b", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_off{c}") for c in ("_n", "_starts", "_ends")))
-    numbered = ranked.join(offsets, ["_key", "_b"])
+    return ranked.join(offsets, ["_key", "_b"])
+
+
+def _one_class(points: DataFrame, common: int) -> DataFrame:
+    numbered = _numbered(points, common)
     starts = numbered.where("_is_start").select("_key", (F.col("_start_no") + F.col("_off_starts")).alias("_no"), F.col("_t").alias("start_time_us"), (F.col("_upto") - F.col("_n") + F.col("_off_n")).alias("_before_start"))
     ends = numbered.where("_is_end").select("_key", (F.col("_end_no") + F.col("_off_ends")).alias("_no"), F.col("_t").alias("last_time_us"), (F.col("_upto") + F.col("_off_n")).alias("_upto_end"))
     return starts.join(ends, ["_key", "_no"]).select("_key", "start_time_us", "last_time_us", (F.col("_upto_end") - F.col("_before_start")).alias("unit_count"))
@@ -122,7 +135,7 @@ def activity_sessions(activity: DataFrame, samples: DataFrame, configs: DataFram
     gaps = samples.select("sample_id", "config_id").dropna().dropDuplicates(["sample_id"]).join(
         configs.select("config_id", (F.col("hard_gap_minutes").cast("bigint") * US_PER_MINUTE).alias("_gap_us")).dropna().dropDuplicates(["config_id"]), "config_id"
     ).select("sample_id", "_gap_us")
-    known = activity.select("activity_id", "sample_id", known_time_us(F.col("event_time")).alias("_time_us")).where("_time_us is not null and sample_id is not null")
+    known = activity.select("activity_id", "sample_id", known_time_us(activity).alias("_time_us")).where("_time_us is not null and sample_id is not null")
     with_id = known.where("activity_id is not null").groupBy("activity_id").agg(F.min(F.struct("_time_us", "sample_id")).alias("_x")).select("_x.sample_id", "_x._time_us")
     rows = with_id.unionByName(known.where("activity_id is null").select("sample_id", "_time_us"))
     counted = rows.groupBy("sample_id", "_time_us").agg(F.count("*").alias("_count"))
