@@ -200,7 +200,7 @@ _CHUNKS = """c as (select doc_id as uid, text, unnest(range(greatest(0, cast(cei
 k as (select uid, chunk_no, substring(text, chunk_no * 462 + 1, 512) as chunk from c)"""
 _WORDS = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(replace(coalesce({c}, ''), ',', '')), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the|and)\\b', ' ', 'g'), '\\s+'), lambda w: w <> '')"
 ORACLES = {
-    "reply_asof": f"""with {_M}, n as (select * from m where regexp_matches(text, '[^\\s\\x{00a0}]')),
+    "reply_asof": f"""with {_M}, n as (select * from m where regexp_matches(text, '[^\\s\\x{{00a0}}]')),
 x as (select uid, role, last_value(case when role = 'user' then uid end ignore nulls) over (partition by sample_id order by ts, uid rows between unbounded preceding and 1 preceding) as dst from n)
 select uid as src, dst from x where role = 'assistant' and dst is not null""",
     "message_pairs": f"with {_M}, x as (select uid as src, lead(uid) over (partition by session_id order by message_index, uid) as dst from m where session_id is not null and message_index is not null) select src, dst, 1 as distance from x where dst is not null",
