@@ -106,12 +106,27 @@ def assign_batch(messages: DataFrame, rules: Rules = Rules()) -> DataFrame:  # n
     pieces = segments(rows, "sample_id", "t", int(rules.hard_gap * US_PER_MINUTE))
     cut = rows.join(pieces, ["sample_id", "t"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "uid"])
-        starts, _ = _starts(rows, rules, Open())
-        return pd.DataFrame({"sample_id": rows["sample_id"], "segment": rows["segment"], "uid": rows["uid"], "t": rows["t"], "within": np.cumsum(starts)})
-
-    placed = cut.groupBy("sample_id", "segment").applyInPandas(run, "sample_id string, segment bigint, uid string, t bigint, within bigint")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Pieces come one after the other, in order of time; a piece may go on in the next batch.
+        key, state, number = None, Open(), 0
+        for b in batches:
+            within = np.zeros(len(b), dtype=np.int64)
+            keys = list(zip(b["sample_id"], b["segment"], strict=True))
+            i = 0
+            while i < len(b):
+                j = i
+                while j < len(b) and keys[j] == keys[i]:
+                    j += 1
+                if keys[i] != key:
+                    key, state, number = keys[i], Open(), 0
+                starts, state = _starts(b.iloc[i:j], rules, state)
+                within[i:j] = number + np.cumsum(starts)
+                number = int(within[j - 1])
+                i = j
+            yield pd.DataFrame({"sample_id": b["sample_id"], "segment": b["segment"], "uid": b["uid"], "t": b["t"], "within": within})
+
+    ordered = cut.repartition("sample_id", "segment").sortWithinPartitions("sample_id", "segment", "t", "uid")
+    placed = ordered.mapInPandas(run, "sample_id string, segment bigint, uid string, t bigint, within bigint")
     each = placed.groupBy("sample_id", "segment").agg(F.max("within").alias("n"))
     before = each.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("sample_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = placed.join(before.select("sample_id", "segment", "before"), ["sample_id", "segment"]).withColumn("number", F.col("within") + F.col("before"))
