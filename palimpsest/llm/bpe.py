@@ -54,6 +54,9 @@ class MergeAutomaton:
         self.labels = dict(vocabulary.items())
         size = max(vocabulary.values()) + 1
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
+        self.alive = [False] * size
+        for i in self.ids.values():
+            self.alive[i] = True
         self.bar: dict[int, int] = {}
         self.arc: dict[int, bool] = {}
         self.longest = 1
@@ -65,8 +68,9 @@ class MergeAutomaton:
         self.find = regex.compile(WORDS).findall
 
     def _gadget(self, r: int, a: int, b: int, c: int, label: bytes) -> None:
-        # The new arc replaces a path a b; where that path is barred already, c can't be read.
-        if self.left[c] < 0 and self.reads(a, b):
+        # Where a part or the path can't be read, c can't either.
+        if self.left[c] < 0 and self.alive[a] and self.alive[b] and self.reads(a, b):
+            self.alive[c] = True
             self.left[c], self.right[c], self.born[c] = a, b, r
             self.ids[label] = c
             self.longest = max(self.longest, len(label))

@@ -27,17 +27,17 @@ LEVELS = tuple(
 PIECES = "uid string, piece_no int, start int, end int, piece string"
 
 
-def _leaves(text: str, limit: int) -> Iterator[tuple[int, int]]:
-    """Consecutive spans of at most ``limit`` characters, each cut at the strongest boundary that does."""
+def _leaves(text: str, limit: int) -> Iterator[tuple[int, int, bool]]:
+    """Consecutive spans of at most ``limit`` characters, each cut at the strongest boundary that does; and, marked so,
+    longer ones without a boundary, which may be cut anywhere."""
     todo = [(0, len(text), 0)]
     cuts: list[list[int] | None] = [None] * len(LEVELS)
     while todo:
         start, end, level = todo.pop()
         if end - start <= limit:
-            yield start, end
+            yield start, end, False
         elif level == len(LEVELS):
-            for s in range(start, end, limit):
-                yield s, min(s + limit, end)
+            yield start, end, True
         else:
             if cuts[level] is None:
                 cuts[level] = [m.end() for m in LEVELS[level].finditer(text)]
@@ -58,8 +58,10 @@ def split_text(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     overlap = max(0, min(overlap, size - 1))
     out: list[tuple[int, int]] = []
     start = end = 0
-    for a, b in _leaves(text, size - overlap):
-        if b - start > size:
+    for _, b, anywhere in _leaves(text, size - overlap):
+        while b - start > size:
+            if anywhere:
+                end = start + size
             out.append((start, end))
             start = end - overlap
         end = b
