@@ -118,6 +118,8 @@ def pack_mmr(chunks: DataFrame, max_tokens: int, separator: int = 2, mode: str =
                 worst[y.Index] = max(worst[y.Index], redundancy(y, x))
             if (mode == "CLIFF" and best - x.score > cliff) or (mode == "DYNAMIC_ADAPTIVE" and len(chosen) >= min_chunks and used >= int(max_tokens * fraction)):
                 break
+        if not chosen:
+            return rows[["query_id", "chunk_id"]].iloc[:0].assign(place=pd.Series(dtype="int32"))
         return pd.DataFrame({"query_id": [x.query_id for x in chosen], "chunk_id": [x.chunk_id for x in chosen], "place": range(1, len(chosen) + 1)})
 
     q, c = (chunks.schema[x].dataType.simpleString() for x in ("query_id", "chunk_id"))
