@@ -48,3 +48,48 @@ def cluster_profile(units: DataFrame, clusters: DataFrame, words: int = 10) -> D
     ranked = count.withColumn("i", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("count"), "w"))).where(F.col("i") <= words)
     top = ranked.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("t")).select("cluster", F.array_join(F.transform("t", lambda r: r.w), " ").alias("words"))
     return sizes.join(top, "cluster", "left")
+
+
+def silhouettes(vectors: DataFrame, labels: DataFrame, dim: int) -> DataFrame:
+    """``cluster, n, silhouette``: the mean simplified silhouette (cosine distances to the own centre and the nearest other one) of each cluster; 0 for a point whose centres coincide."""
+    unit = vectors.where(F.size("v") == dim).join(labels.select("uid", "cluster").where("cluster >= 0"), "uid").select("uid", "cluster", _unit("v").alias("v"))
+    long = unit.select("cluster", F.posexplode("v").alias("i", "x"))
+    centre = long.groupBy("cluster", "i").agg(F.avg("x").alias("x")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).select(F.col("cluster").alias("other"), _unit(F.transform("c", lambda e: e.x)).alias("c"))
+    # As many rows a point as there are clusters.
+    d = unit.crossJoin(centre).withColumn("d", 1 - F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p))
+    each = d.groupBy("uid", "cluster").agg(F.min(F.when(F.col("other") == F.col("cluster"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("cluster"), F.col("d"))).alias("b"))
+    s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return each.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(s).alias("silhouette"))
+
+
+def _unit(v) -> F.Column:
+    c = F.col(v) if isinstance(v, str) else v
+    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(c, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+
+
+def tuned(vectors: DataFrame, dim: int, eps: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7), min_samples: tuple[int, ...] = (2, 5), least: int = 10) -> DataFrame:
+    """``eps, min_samples, clusters, noise_share, score``: density clusters for each pair of settings, scored by silhouette (0.5 and 0.3) and what isn't noise (0.2). Fewer
+    than ``least`` vectors aren't tuned."""
+    if vectors.limit(least).count() < least:
+        return vectors.sparkSession.createDataFrame([(0.3, 3, None, None, None)], "eps double, min_samples int, clusters bigint, noise_share double, score double")
+    out = None
+    for e in eps:
+        for m in min_samples:
+            found = dbscan(vectors, dim, e, m)
+            s = silhouettes(vectors, found, dim).agg(F.count("*").alias("clusters"), (F.sum(F.col("n") * F.col("silhouette")) / F.sum("n")).alias("s"))
+            noise = found.agg(F.avg((F.col("cluster") < 0).cast("double")).alias("noise_share"))
+            row = s.crossJoin(noise).select(F.lit(e).alias("eps"), F.lit(m).alias("min_samples"), "clusters", "noise_share", (0.8 * F.when(F.col("clusters") > 1, F.coalesce("s", F.lit(0.0))).otherwise(0.0) + 0.2 * (1 - F.col("noise_share"))).alias("score"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def cluster_nodes(vectors: DataFrame, edges: DataFrame, method: str, dim: int, **settings) -> DataFrame:
+    """Clusters by name of the method: ``density`` (dbscan) or ``community`` (label propagation)."""
+    from palimpsest.operators.graph import label_propagation
+
+    if method in ("density", "dbscan"):
+        return dbscan(vectors, dim, **settings)
+    if method in ("community", "leiden"):
+        return label_propagation(edges, **settings)
+    raise ValueError(f"unknown method {method}")

@@ -87,3 +87,29 @@ def without_overlap(chunks: DataFrame, overlap: int) -> DataFrame:
     part = F.when(F.col("chunk_no") == 0, F.col("chunk")).otherwise(F.expr(f"substring(chunk, {overlap + 1})"))
     rows = chunks.select("uid", "chunk_no", part.alias("part")).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "part"))).alias("r"))
     return rows.select("uid", F.array_join(F.transform("r", lambda x: x.part), "").alias("text"))
+
+
+def similar_sessions(vectors: DataFrame, dim: int, threshold: float, least: int = 3) -> DataFrame:
+    """``session_a, session_b, cosine``: pairs of sessions (``session_id, v`` of each unit; ``least`` units at least) whose mean vectors have a cosine of at least ``threshold``."""
+    from palimpsest.operators.dense import near_pairs
+
+    long = vectors.select("session_id", F.posexplode("v").alias("i", "x"))
+    big = vectors.groupBy("session_id").count().where(F.col("count") >= least).select("session_id")
+    mean = long.join(big, "session_id", "left_semi").groupBy("session_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("r"))
+    centres = mean.select(F.col("session_id").alias("uid"), F.transform("r", lambda e: e.x).alias("v"))
+    return near_pairs(centres, dim, threshold).where("uid < other").select(F.col("uid").alias("session_a"), F.col("other").alias("session_b"), "cosine")
+
+
+def mixed_pool(parts: dict[str, DataFrame], limit: int, seed: int = 42) -> DataFrame:
+    """``layer, uid``: units of several layers, in an order by hash, the first ``limit``."""
+    union = None
+    for name, df in parts.items():
+        x = df.select(F.lit(name).alias("layer"), "uid")
+        union = x if union is None else union.unionByName(x)
+    return union.orderBy(F.xxhash64(F.lit(seed), "uid", "layer"), "uid", "layer").limit(limit)
+
+
+def session_status(messages: DataFrame, session: str, ts: str, now: float, idle_minutes: float = 30.0) -> DataFrame:
+    """``session_id, units, first_ts, last_ts, active``: sessions and whether their last message is recent."""
+    out = messages.where(F.col(session).isNotNull()).groupBy(F.col(session).alias("session_id")).agg(F.count("*").alias("units"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    return out.withColumn("active", F.col("last_ts") >= now - idle_minutes * 60)

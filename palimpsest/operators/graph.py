@@ -188,3 +188,18 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
         won = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("w")).select(F.col("a").alias("node"), F.col("w.community").alias("won"))
         labels = written(labels.join(won, "node", "left").select("node", F.coalesce("won", "community").alias("community")), "labels")
     return labels
+
+
+def nodes_of_type(nodes: DataFrame, kind: str) -> DataFrame:
+    """Nodes of a type, or whose text contains its name."""
+    return nodes.where((F.col("node_type") == kind) | F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit(kind.lower())))
+
+
+def edge_attributes(edges: DataFrame) -> DataFrame:
+    """Edges without what is only bookkeeping."""
+    return edges.drop("created", "updated")
+
+
+def speakers(messages: DataFrame, name: str) -> DataFrame:
+    """A node for each distinct speaker."""
+    return messages.where(F.trim(name) != "").select(F.concat(F.lit("entity_"), F.regexp_replace(F.trim(name), r"\s+", "_")).alias("id"), F.lit("speaker").alias("node_type")).distinct()

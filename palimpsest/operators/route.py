@@ -47,3 +47,25 @@ def routing_statistics(questions: DataFrame, category: str = "category") -> Data
     """By category: questions and their share of all."""
     total = questions.agg(F.count("*").alias("all"))  # one row
     return questions.groupBy(category).agg(F.count("*").alias("questions")).crossJoin(F.broadcast(total)).select(category, "questions", (F.col("questions") / F.col("all")).alias("share"))
+
+
+# Categories by how much evidence they need, and the parameters of each kind of cut (drop below, stop at, least chunks, share of the budget, most drops).
+CHAIN_WORDS = ("multi-session", "multi_session", "multisession", "temporal-reasoning", "temporal_reasoning", "aggregation", "adversarial")
+AGGRESSIVE_WORDS = ("single-session-user", "single-session-preference", "single_session_user", "single_session_preference", "simple_fact", "simplefact", "open_domain", "opendomain")
+MODERATE_WORDS = ("knowledge-update", "knowledge_update", "single-session-assistant", "single_session_assistant", "temporal")
+CUTS = {"AGGRESSIVE": (0.6, 1.2, 2, 0.8, None), "MODERATE": (1.0, 1.8, 4, 0.9, 5), "CHAIN": (1.8, 2.5, 6, 1.0, None)}
+
+
+def cut_of(category: Column) -> Column:
+    """CHAIN, AGGRESSIVE or MODERATE by the words in a category's name; MODERATE if none is known."""
+    low = F.lower(F.coalesce(category.cast("string"), F.lit("")))
+    has = lambda words: F.lit(False) if not words else low.rlike("|".join(words))
+    return F.when(has(CHAIN_WORDS), "CHAIN").when(has(AGGRESSIVE_WORDS), "AGGRESSIVE").otherwise("MODERATE")
+
+
+def with_cut(questions: DataFrame, category: str = "category") -> DataFrame:
+    """Questions with the parameters of their kind of cut."""
+    x = questions.withColumn("cut", cut_of(F.col(category)))
+    pick = lambda i, kind: F.coalesce(*[F.when(F.col("cut") == n, F.lit(v[i])) for n, v in CUTS.items() if v[i] is not None]).cast(kind)
+    names = (("drop_factor", "double"), ("stop_factor", "double"), ("least_chunks", "int"), ("budget_share", "double"), ("most_drops", "int"))
+    return x.select("*", *(pick(i, kind).alias(n) for i, (n, kind) in enumerate(names)))

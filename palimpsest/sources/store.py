@@ -78,3 +78,23 @@ def read_cases(spark: SparkSession, path: str, max_questions: int | None = None)
         m = x.select("sample_id", "session_no", "pos", some("speaker").alias("speaker"), F.concat_ws(" | ", some("text", "message"), *parts).alias("text"), some("dia_id").alias("dia_id"))
         out = m if out is None else out.unionByName(m)
     return questions, out
+
+
+def evicted(units: DataFrame, capacity: int, high: float = 0.85, low: float = 0.70) -> DataFrame:
+    """``uid``: which units leave the resident tier when it is filled above ``high``: the coldest (accesses, then last access), down to ``low`` of the capacity.
+
+    ``units``: uid, accesses, last_access. The number to leave is counted by distinct (accesses, last access) values, so no task sorts all units.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    n = units.count()
+    if n <= high * capacity:
+        return units.select("uid").limit(0)
+    leave = n - int(low * capacity)
+    by_age = units.groupBy("accesses", F.date_trunc("day", "last_access").alias("day")).count()
+    upto = F.sum("count").over(Window.orderBy("accesses", "day").rowsBetween(Window.unboundedPreceding, 0))
+    edges = by_age.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("count")).where(F.col("before") < leave)
+    x = units.withColumn("day", F.date_trunc("day", "last_access")).join(edges, ["accesses", "day"])
+    within = Window.partitionBy("accesses", "day").orderBy("last_access", "uid")
+    return x.withColumn("i", F.row_number().over(within)).where(F.col("before") + F.col("i") <= leave).select("uid")
