@@ -206,9 +206,11 @@ def radius_join(keys: DataFrame, cell_size: int = 20_000, max_pivots: int = 64)
     with at most one character left out, which all pairs of the radius do, and the distance is verified. Both steps are
     equi-joins, so neither a large group nor a cell is compared pair by pair.
     """
-    keys = keys.select("group", "key").where("key is not null").distinct()
+    keys = written(keys.select("group", "key").where("key is not null").distinct(), "keys")
     sizes = keys.groupBy("group").count().where(F.col("count") > cell_size)
     large = sizes.select("group", F.least(F.ceil(F.col("count") / cell_size), F.lit(max_pivots)).cast("int").alias("m"), "count")
+    if large.isEmpty():
+        return _within_cells(keys.select("group", "key", F.lit("").alias("cell"), F.lit(True).alias("own")), keys)
     drawn = keys.join(large, "group").where(F.pmod(F.xxhash64("key"), F.col("count")) < F.col("m") * 16)
     by_hash = Window.partitionBy("group").orderBy(F.xxhash64("key"), "key")
     pivots = drawn.withColumn("i", F.row_number().over(by_hash)).where("i <= m").select("group", F.col("key").alias("pivot"))
@@ -218,7 +220,12 @@ def radius_join(keys: DataFrame, cell_size: int = 20_000, max_pivots: int = 64)
         "group", "key", F.col("at.pivot").alias("cell"), (F.col("at.pivot") == F.col("home.pivot")).alias("own")
     )
     whole = keys.join(pivots.select("group").distinct(), "group", "left_anti").select("group", "key", F.lit("").alias("cell"), F.lit(True).alias("own"))
-    placed = whole.unionByName(split).select("*", F.explode(_variants(F.col("key"))).alias("form"))
+    return _within_cells(whole.unionByName(split), keys)
+
+
+def _within_cells(cells: DataFrame, keys: DataFrame) -> DataFrame:
+    """Exact radius joins inside cells: ``group, key, cell, own`` (whether the cell is the key's home)."""
+    placed = cells.select("*", F.explode(_variants(F.col("key"))).alias("form"))
     x = placed.where("own").select("group", "cell", "form", F.col("key").alias("a"))
     y = placed.select("group", "cell", "form", F.col("key").alias("b"))
     near = x.join(y, ["group", "cell", "form"]).where(F.col("a") != F.col("b")).select("group", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -263,20 +270,21 @@ def link_entities(entities: DataFrame, cell_size: int = 20_000) -> DataFrame:
     nodes = written(connected_components(own.unionByName(strong), "p", "q"), "name-groups")
 
     # Entities with nothing but initials or acronyms.
-    weak = found.join(found.where("kind = 'full'").select("entity_id").distinct(), "entity_id", "left_anti")
-    full = found.where("kind = 'full'").join(nodes.withColumnRenamed("node", "form"), "form").select("group", "form", "key", "firsts", "component").distinct()
+    weak = written(found.join(found.where("kind = 'full'").select("entity_id").distinct(), "entity_id", "left_anti").select("entity_id", "kind", "form", "group", "key", "firsts"), "weak-names")
+    full = written(found.where("kind = 'full'").select("form", "group", "key", "firsts").distinct().join(nodes.withColumnRenamed("node", "form"), "form").select("group", "key", F.explode("firsts").alias("first"), "component").distinct(), "full-names")
     initial = weak.where("kind = 'initial'").select("entity_id", "form", "group", "key", F.get("firsts", F.lit(0)).alias("first"))
-    at_key = near.join(full.select("group", F.col("key").alias("b"), F.explode("firsts").alias("first"), "component").distinct(), ["group", "b"]).groupBy("group", F.col("a").alias("key"), "first").agg(F.collect_set("component").alias("c"))
-    letters = full.where(F.startswith("group", F.lit("Organization"))).select("group", F.explode("firsts").alias("key"), "component").distinct().groupBy("group", "key").agg(F.collect_set("component").alias("c"))
+    wanted = near.join(initial.select("group", F.col("key").alias("a")).distinct(), ["group", "a"], "left_semi")
+    at_key = wanted.join(full.select("group", F.col("key").alias("b"), "first", "component"), ["group", "b"]).groupBy("group", F.col("a").alias("key"), "first").agg(F.collect_set("component").alias("c"))
+    fitted = written(initial.join(at_key, ["group", "key", "first"], "left").select("entity_id", "form", "c"), "initials")
     sorted_letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    letters = letters.groupBy("group", sorted_letters(F.col("key")).alias("letters")).agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("c"))
+    letters = full.where(F.startswith("group", F.lit("Organization"))).groupBy("group", sorted_letters(F.col("first")).alias("letters")).agg(F.collect_set("component").alias("c"))
     acronym = weak.where("kind = 'acronym'").select("entity_id", "group", sorted_letters(F.col("key")).alias("letters"))
-    fitting = initial.join(at_key, ["group", "key", "first"]).select("entity_id", "c").unionByName(acronym.join(letters, ["group", "letters"]).select("entity_id", "c"))
+    fitting = fitted.where("c is not null").select("entity_id", "c").unionByName(acronym.join(letters, ["group", "letters"]).select("entity_id", "c"))
     only = fitting.groupBy("entity_id").agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("c")).where("size(c) = 1").select(F.concat(F.lit("e:"), "entity_id").alias("node"), F.get("c", F.lit(0)).alias("component"))
     # Initials of one surname that fit no full name are one person.
-    alone = initial.join(at_key, ["group", "key", "first"], "left_anti").select(F.concat(F.lit("e:"), "entity_id").alias("node"), F.col("form").alias("component"))
+    alone = fitted.where("c is null").select(F.concat(F.lit("e:"), "entity_id").alias("node"), F.col("form").alias("component"))
     every = nodes.where(F.startswith("node", F.lit("e:"))).unionByName(only).unionByName(alone)
-    member = every.groupBy("node").agg(F.min("component").alias("component"))
+    member = written(every.groupBy("node").agg(F.min("component").alias("component")), "members")
     named = member.groupBy("component").agg(F.min("node").alias("group_node"))
     return member.join(named, "component").select(F.expr("substring(node, 3)").alias("entity_id"), F.expr("substring(group_node, 3)").alias("group_id"))
 
