@@ -36,7 +36,7 @@ def message_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_gaps(spark: SparkSession, folder: str) -> DataFrame:
     e = dialogue.gaps(table(spark, folder, "events"), "user_id", "ts")
-    return e.select("event_id", F.round("gap_minutes", 6).alias("gap_minutes"))
+    return e.select("event_id", F.round("gap_minutes", 9).alias("gap_minutes"))
 
 
 def sessions_gap(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,7 +204,7 @@ ORACLES = {
 x as (select uid, role, last_value(case when role = 'user' then uid end ignore nulls) over (partition by sample_id order by ts, uid rows between unbounded preceding and 1 preceding) as dst from n)
 select uid as src, dst from x where role = 'assistant' and dst is not null""",
     "message_pairs": f"with {_M}, x as (select uid as src, lead(uid) over (partition by session_id order by message_index, uid) as dst from m where session_id is not null and message_index is not null) select src, dst, 1 as distance from x where dst is not null",
-    "event_gaps": "select event_id, round(greatest(0, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 6e7), 6) as gap_minutes from events",
+    "event_gaps": "select event_id, round(greatest(0, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 6e7), 9) as gap_minutes from events",
     "sessions_gap": """
 with a as (select user_id, epoch_us(ts) as t, event_id, case when epoch_us(ts) - lag(epoch_us(ts)) over w < 10800000000 then 0 else 1 end as b from events window w as (partition by user_id order by ts, event_id)),
 s as (select *, sum(b) over (partition by user_id order by t, event_id rows unbounded preceding) as no from a)
