@@ -128,13 +128,13 @@ EXTRA_ABBREVIATIONS = {
 }
 
 
-def zone_lookup(samples: DataFrame, max_zones: int = 2000) -> DataFrame:
+def zone_lookup(samples: DataFrame) -> DataFrame:
     """``sample_id, _zone, _order, _abbr``: per source the default zone, the order of numeric dates and
-    the zone's abbreviations. One row per sample; an unknown zone is null. The distinct zones are
-    names of the public zone table, so there are fewer than ``max_zones``."""
+    the zone's abbreviations. One row per sample; an unknown zone is null. What is collected are distinct
+    names of the public zone table, some hundreds at most."""
     spark = samples.sparkSession
-    zones = [r[0] for r in samples.select("time_zone").where("time_zone is not null").distinct().limit(max_zones).collect()]
-    known = {z: _zone_ids().get(z.lower(), z if z in ("UTC", "GMT") else None) for z in zones}
+    zones = [r[0] for r in samples.where(F.lower("time_zone").isin(*_zone_ids(), "utc", "gmt")).select("time_zone").distinct().collect()]
+    known = {z: _zone_ids().get(z.lower(), z.upper() if z.lower() in ("utc", "gmt") else None) for z in zones}
     rows = [(z, k, _abbreviations(k) | EXTRA_ABBREVIATIONS.get(k, {})) for z, k in known.items() if k]
     abbr = spark.createDataFrame(rows, "time_zone string, _zone string, _abbr map<string,string>")
     return (
@@ -146,6 +146,15 @@ def zone_lookup(samples: DataFrame, max_zones: int = 2000) -> DataFrame:
     )
 
 
+def _iso(instant: Column) -> Column:
+    """An instant in UTC with milliseconds, whatever the session's zone."""
+    us, day = F.unix_micros(instant), F.lit(86_400_000_000)
+    rest = F.pmod(us, day)
+    part = lambda unit, n: F.pmod(F.floor(rest / unit), F.lit(n)).cast("int")
+    date = F.date_from_unix_date(((us - rest) / day).cast("int")).cast("string")
+    return F.concat(date, F.format_string("T%02d:%02d:%02d.%03dZ", part(3_600_000_000, 24), part(60_000_000, 60), part(1_000_000, 60), part(1000, 1000)))
+
+
 def normalize(values: DataFrame, value: str, zone: str, order: str, abbreviations: str, out: str = "normal_form") -> DataFrame:
     """``values`` with the column ``out`` added: ``yyyy-MM-dd`` for a date, ``yyyy-MM-ddTHH:mm:ss.SSSZ`` for
     an instant in UTC, null for a value that states no complete, existing date or more than one.
@@ -214,13 +223,12 @@ def normalize(values: DataFrame, value: str, zone: str, order: str, abbreviation
         .otherwise(F.floor(bare / 1000000))
     ).try_cast("bigint")
     unix = F.when(F.col("_plain").rlike(r"^\d{9,20}$") & (millis < 4102444800000), F.timestamp_millis(millis))
-    iso = lambda t: F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     ok = one & day.isNotNull() & (F.col("_y") >= 1)
     form = (
-        F.when(unix.isNotNull() & (F.size("_dates") == 0), iso(unix))
+        F.when(unix.isNotNull() & (F.size("_dates") == 0), _iso(unix))
         .when(~ok, None)
         .when(F.col("_clock").isNull(), F.format_string("%04d-%02d-%02d", "_y", "_mo", "_d"))
-        .otherwise(iso(instant))
+        .otherwise(_iso(instant))
     )
     # The generator keeps a filter on the result from being moved, with a copy of the whole cascade, below it.
     return x.select(*values.columns, F.explode(F.array(form)).alias(out))
