@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +77,3 @@ def safe_id(text: Column) -> Column:
     """An id with signs other than letters, digits and ``_.:-`` as underscores."""
     return F.regexp_replace(text, r"[^A-Za-z0-9_.:-]+", "_")
 
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

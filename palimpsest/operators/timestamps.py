@@ -146,13 +146,10 @@ def zone_lookup(samples: DataFrame) -> DataFrame:
     )
 
 
-def _iso(instant: Column) -> Column:
-    """An instant in UTC with milliseconds, whatever the session's zone."""
-    us, day = F.unix_micros(instant), F.lit(86_400_000_000)
-    rest = F.pmod(us, day)
-    part = lambda unit, n: F.pmod(F.floor(rest / unit), F.lit(n)).cast("int")
-    date = F.date_from_unix_date(((us - rest) / day).cast("int")).cast("string")
-    return F.concat(date, F.format_string("T%02d:%02d:%02d.%03dZ", part(3_600_000_000, 24), part(60_000_000, 60), part(1_000_000, 60), part(1000, 1000)))
+def _iso(us: str) -> Column:
+    """Microseconds since 1970-01-01 UTC as an instant with milliseconds, whatever the session's zone."""
+    text = F.expr(f"cast(timestampadd(MICROSECOND, `{us}`, timestamp_ntz'1970-01-01 00:00:00') as string)")
+    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("."), F.lpad(F.expr(f"cast(pmod(`{us}`, 1000000) div 1000 as string)"), 3, "0"), F.lit("Z"))
 
 
 def normalize(values: DataFrame, value: str, zone: str, order: str, abbreviations: str, out: str = "normal_form") -> DataFrame:
@@ -224,12 +221,10 @@ def normalize(values: DataFrame, value: str, zone: str, order: str, abbreviation
     ).try_cast("bigint")
     unix = F.when(F.col("_plain").rlike(r"^\d{9,20}$") & (millis < 4102444800000), F.timestamp_millis(millis))
     ok = one & day.isNotNull() & (F.col("_y") >= 1)
-    form = (
-        F.when(unix.isNotNull() & (F.size("_dates") == 0), _iso(unix))
-        .when(~ok, None)
-        .when(F.col("_clock").isNull(), F.format_string("%04d-%02d-%02d", "_y", "_mo", "_d"))
-        .otherwise(_iso(instant))
-    )
+    has_unix = unix.isNotNull() & (F.size("_dates") == 0)
+    timed = ok & F.col("_clock").isNotNull()
+    x = x.withColumn("_us", F.unix_micros(F.when(has_unix, unix).when(timed, instant)))
+    form = F.when(F.col("_us").isNotNull(), _iso("_us")).when(ok & ~timed, F.format_string("%04d-%02d-%02d", "_y", "_mo", "_d"))
     # The generator keeps a filter on the result from being moved, with a copy of the whole cascade, below it.
     return x.select(*values.columns, F.explode(F.array(form)).alias(out))
 

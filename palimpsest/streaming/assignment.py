@@ -140,8 +140,6 @@ STATE = "number long, start long, units long, chars long, last long, people arra
 def assign_stream(messages: DataFrame, rules: Rules = Rules(), keep: str = "2 days") -> DataFrame:  # noqa: B008
     """The same over a stream, in keyed state; ``messages`` also has ``arrived`` for the watermark. Within a micro-batch rows are put in order of time; a row
     older than what was seen has a gap of 0. A sample's state is dropped when the watermark is ``keep`` past its last arrival, and its numbering begins anew."""
-    from pyspark.sql.streaming import StreamingQuery  # noqa: F401
-
     ship(messages.sparkSession)
     v = F.col("v").cast("array<double>") if "v" in messages.columns else F.lit(None).cast("array<double>")
     rows = messages.withWatermark("arrived", "0 seconds").select("sample_id", "uid", F.col("t").cast("bigint").alias("t"), "text", "who", v.alias("v"), "arrived").where("sample_id is not null and uid is not null and t is not null")
