@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.ranking import top_k
-from palimpsest.session import ship
+from palimpsest.session import bounded_broadcast, ship
 
 #: Vectors in a block: a product of two blocks is the unit of work.
 BLOCK = 4096
@@ -81,8 +81,8 @@ def sparse_search(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """Dot product over shared terms of exploded sparse vectors: ``queries(query_id, term, weight)``, ``units(uid,
     term, weight)``; only positive weights, only positive scores. ``query_id, uid, score, rank``."""
     q = queries.where("weight > 0").select("query_id", "term", F.col("weight").alias("qw"))
-    u = units.where("weight > 0").select("uid", "term", F.col("weight").alias("uw"))
-    scored = q.join(u, "term").groupBy("query_id", "uid").agg(F.sum(F.col("qw") * F.col("uw")).alias("score"))
+    u = units.where("weight > 0").select("uid", "term", F.col("weight").alias("uw")).repartition("uid")  # as in bm25
+    scored = u.join(bounded_broadcast(q, 300_000), "term").groupBy("query_id", "uid").agg(F.sum(F.col("qw") * F.col("uw")).alias("score"))
     return top_k(scored.where("score > 0"), ["query_id"], k)
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import tokens
 from palimpsest.operators.ranking import top_k
+from palimpsest.session import bounded_broadcast
+
+#: Most rows of queries' terms that are sent to the postings; more are joined by shuffling both.
+QUERY_TERMS = 300_000
 
 
 @dataclass
@@ -46,10 +50,12 @@ def bm25(index: Index, queries: DataFrame, k: int, candidates: DataFrame | None
     that occur in a query are joined.
     """
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weights = weighted_postings(index)
+    # Postings lie together by unit: as long as the queries' terms are few enough to be sent to them, scores are summed and
+    # cut to k where they are made, and only k rows a query and task are shuffled.
+    weights = weighted_postings(index).repartition("uid")
     if candidates is not None and "query_id" not in candidates.columns:
         weights = weights.join(candidates.select("uid").distinct(), "uid", "left_semi")
-    scored = terms.join(weights, "term").groupBy("query_id", "uid").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    scored = weights.join(bounded_broadcast(terms, QUERY_TERMS), "term").groupBy("query_id", "uid").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
     if candidates is not None and "query_id" in candidates.columns:
         scored = scored.join(candidates.select("query_id", "uid").distinct(), ["query_id", "uid"], "left_semi")
     return top_k(scored.where("score > 1e-6"), ["query_id"], k)
