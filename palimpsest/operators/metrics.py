@@ -37,6 +37,16 @@ def evidence_recall(rows: DataFrame) -> DataFrame:
     return rows.withColumn("recall", F.when(F.size(e) > 0, F.size(F.array_intersect(e, "retrieved")) / F.size(e)).otherwise(1.0))
 
 
+def answer_scores(pairs: DataFrame, *key: str) -> DataFrame:
+    """``pairs``: a key, once each, and the words of gold and answer (``g``, ``a``); words stay where the first column of the key has brought them. ``em``: whether their sets of words are equal; ``f1``: that of their bags, 0 if nothing is shared.
+    Words are counted by grouping, so texts of any length cost as much as they have words."""
+    tag = lambda c, g, a: F.transform(c, lambda w: F.struct(w.alias("w"), F.lit(g).alias("g"), F.lit(a).alias("a")))
+    words = pairs.select(*key, F.explode_outer(F.concat(tag("g", 1, 0), tag("a", 0, 1))).alias("x")).groupBy(*key, F.col("x.w").alias("w")).agg(F.coalesce(F.sum("x.g"), F.lit(0)).alias("g"), F.coalesce(F.sum("x.a"), F.lit(0)).alias("a"))
+    n = words.groupBy(*key).agg(F.sum(F.least("g", "a")).alias("same"), F.count_if((F.col("g") > 0) != (F.col("a") > 0)).alias("apart"), F.sum("g").alias("gold"), F.sum("a").alias("answer"))
+    p, r = F.try_divide("same", "answer"), F.try_divide("same", "gold")
+    return n.select(*key, (F.col("apart") == 0).alias("em"), F.when(F.col("same") > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
 def pre_aggregated(items: DataFrame, category: str, name: str, count: str) -> DataFrame:
     """By category ('Other' if missing): the sum of counts and the number of distinct names."""
     return items.groupBy(F.coalesce(F.nullif(F.trim(category), F.lit("")), F.lit("Other")).alias("category")).agg(F.sum(count).alias("total"), F.count_distinct(name).alias("names"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import exact_match, normalized_answer, token_f1
+from palimpsest.functions.text import normalized_answer
 from palimpsest.functions.time import utc_micros
 from palimpsest.operators import dialogue, merging, metrics, sessions, units
 from palimpsest.queries.stores import edges, nodes
@@ -161,9 +161,9 @@ def pre_aggregate(spark: SparkSession, folder: str) -> DataFrame:
 def answer_em_f1(spark: SparkSession, folder: str) -> DataFrame:
     """Each message against the one before it in its session, as if it were the answer expected."""
     w = Window.partitionBy("session_id").orderBy("message_index", "uid")
-    m = messages(spark, folder).where("session_id is not null and message_index is not null").select("uid", F.col("text").alias("answer"), F.lag("text").over(w).alias("gold")).where("gold is not null")
-    x = m.select("uid", normalized_answer(F.col("gold")).alias("g"), normalized_answer(F.col("answer")).alias("a")).where("size(g) < 60 and size(a) < 60")
-    return x.select("uid", exact_match(F.col("g"), F.col("a")).alias("em"), F.round(token_f1(F.col("g"), F.col("a")), 6).alias("f1"))
+    m = messages(spark, folder).where("session_id is not null and message_index is not null").select("session_id", "uid", F.col("text").alias("answer"), F.lag("text").over(w).alias("gold")).where("gold is not null")
+    x = m.select("session_id", "uid", normalized_answer(F.col("gold")).alias("g"), normalized_answer(F.col("answer")).alias("a"))
+    return metrics.answer_scores(x, "session_id", "uid").select("uid", "em", F.round("f1", 6).alias("f1"))
 
 
 def evidence_recall(spark: SparkSession, folder: str) -> DataFrame:
