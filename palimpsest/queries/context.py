@@ -124,10 +124,17 @@ def chunks_of(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# A sentence's end: ASCII signs count before white space or the end only (not inside links and numbers, not after titles and initials), others anywhere; so do line breaks.
+_CLOSING = r"[\"'”’»)\]」』）]*"
+_SENTENCE_END = rf"(?<!\b(?:Dr|Mr|Mrs|Ms|Prof|St|vs|e\.g|i\.e|\p{{Lu}})\.)(?<=[.!?…]{_CLOSING.replace('*', '{0,3}')})\s+|(?<=[。！？؟۔।]{_CLOSING.replace('*', '{0,3}')})(?![。！？؟۔।!?\"'”’»)\]」』）])\s*|[\r\n]+"
+
+
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    """The sentences of messages that end with a question mark."""
+    """The sentences of messages that end with a question mark (ASCII, full-width or Arabic), whole, in any script."""
     m = table(spark, folder, "memory_units").dropDuplicates(["uid"])
-    return m.select("uid", F.posexplode(F.regexp_extract_all("text_content", F.lit(r"[A-Za-z' ,]+\?"), 0)).alias("no", "question")).select("uid", "no", F.trim("question").alias("question"))
+    sentences = F.transform(F.split("text_content", _SENTENCE_END), lambda s: F.regexp_replace(s, r"^[^\p{L}\p{N}]+|\s+$", ""))
+    asked = F.filter(sentences, lambda s: s.rlike(rf"[\p{{L}}\p{{N}}].*[?？؟][!?！？؟]*{_CLOSING}$"))
+    return m.select("uid", F.posexplode(asked).alias("no", "question"))
 
 
 def route_locomo(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,3 +33,21 @@ def test_long_answers_are_scored(spark, tables):
     folder = tables(memory_units=([unit("1", long), unit("2", long + " w0 w0", 1), unit("3", "w0 w0 x", 2), unit("4", "", 3), unit("5", "the", 4)], UNIT))
     p, r = 80 / 82, 1.0
     assert rows(records.answer_em_f1(spark, folder), "uid", "em", "f1") == [("2", True, round(2 * p * r / (p + r), 6)), ("3", False, round(2 * (2 / 3) * (2 / 82) / (2 / 3 + 2 / 82), 6)), ("4", False, 0.0), ("5", True, 0.0)]
+
+
+def test_questions_are_whole_sentences(spark, tables):
+    texts = {
+        "1": "Noted. Könntest du 3.5 kg Mehl prüfen? There was a second-hand puzzle in Ulm, wasn't there? Yes.",
+        "2": "太好了！你能在星期五之前检查一下风筝吗？没有人知道。",
+        "3": "هل وصلت الرسالة؟ نعم.",
+        "4": 'See https://a.invalid/b?id=5 now. "How many of the 12 came?" Really?! ???',
+        "5": "plant: Did you hear\r\nvine: When did Dr. J. Zoë move?\r\n",
+        "6": None,
+    }
+    folder = tables(memory_units=([unit(k, v) for k, v in texts.items()], UNIT))
+    expected = [
+        ("1", 0, "Könntest du 3.5 kg Mehl prüfen?"), ("1", 1, "There was a second-hand puzzle in Ulm, wasn't there?"), ("2", 0, "你能在星期五之前检查一下风筝吗？"), ("3", 0, "هل وصلت الرسالة؟"),
+        ("4", 0, 'How many of the 12 came?"'), ("4", 1, "Really?!"), ("5", 0, "vine: When did Dr. J. Zoë move?"),
+    ]
+    assert rows(context._questions(spark, folder), "uid", "no", "question") == expected
+    assert context.route_locomo(spark, folder).count() == context.route_longmemeval(spark, folder).count() == 7
