@@ -14,9 +14,14 @@ from palimpsest.streaming.assignment import assign_batch
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Each message once, with its role in lower case and its time; messages of unknown time are left out."""
+    """Each message once, with its role in lower case and its time, which may be unknown (null or 0)."""
     m = units.deduplicated(table(spark, folder, "memory_units"), "ingested_at")
-    return m.where("timestamp > 0").select("uid", "sample_id", "session_id", F.lower(F.trim("role")).alias("role"), "message_index", F.col("timestamp").alias("ts"), F.col("text_content").alias("text"))
+    return m.select("uid", "sample_id", "session_id", F.lower(F.trim("role")).alias("role"), "message_index", F.col("timestamp").alias("ts"), F.col("text_content").alias("text"))
+
+
+def timed_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages for what orders by time: those of unknown time are left out."""
+    return messages(spark, folder).where("ts > 0")
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +32,7 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reply_asof(spark: SparkSession, folder: str) -> DataFrame:
-    return dialogue.reply_edges(messages(spark, folder))
+    return dialogue.reply_edges(timed_messages(spark, folder))
 
 
 def message_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +52,7 @@ def sessions_gap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sessions_full(spark: SparkSession, folder: str) -> DataFrame:
-    m = messages(spark, folder)
+    m = timed_messages(spark, folder)
     return assign_batch(m.select("sample_id", "uid", (F.col("ts") * 1_000_000).cast("bigint").alias("t"), "text", F.col("role").alias("who")))
 
 

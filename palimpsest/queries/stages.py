@@ -10,7 +10,7 @@ from palimpsest.operators import cluster, dialogue, fusion, graph, lexical, rout
 from palimpsest.plans import rerank, search
 from palimpsest.queries import retrieval as r
 from palimpsest.queries import stores as s
-from palimpsest.queries.records import messages
+from palimpsest.queries.records import timed_messages
 from palimpsest.sources.store import evicted
 from palimpsest.sources.tables import table
 
@@ -82,7 +82,7 @@ def mixed_pool(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def session_status(spark: SparkSession, folder: str) -> DataFrame:
-    return dialogue.session_status(messages(spark, folder), "session_id", "ts", 1_672_531_200.0, 60 * 24 * 365)
+    return dialogue.session_status(timed_messages(spark, folder), "session_id", "ts", 1_672_531_200.0, 60 * 24 * 365)
 
 
 def similar_sessions(spark: SparkSession, folder: str) -> DataFrame:

@@ -51,3 +51,14 @@ def test_questions_are_whole_sentences(spark, tables):
     ]
     assert rows(context._questions(spark, folder), "uid", "no", "question") == expected
     assert context.route_locomo(spark, folder).count() == context.route_longmemeval(spark, folder).count() == 7
+
+
+def test_messages_of_unknown_time_keep_their_place(spark, tables):
+    messages = [unit("1", "red fox"), unit("2", "blue fox", 1, ts=0), unit("3", "blue fox", 2, ts=None, role="assistant"), unit("4", "owl", 3)]
+    facts = [{"fact_id": "f", "participants": [], "source_unit_uids": ["1", "2"]}]
+    schema = "fact_id string, sample_id string, content string, fact_type string, participants array<string>, retrieval_keys array<string>, source_unit_uids array<string>, confidence double, time_info struct<absolute_date: string>"
+    folder = tables(memory_units=(messages, UNIT), episodic_facts=(facts, schema))
+    assert rows(records.message_pairs(spark, folder), "src", "dst", "distance") == [("1", "2", 1), ("2", "3", 1), ("3", "4", 1)]
+    assert rows(records.answer_em_f1(spark, folder), "uid", "em", "f1") == [("2", False, 0.5), ("3", True, 1.0), ("4", False, 0.0)]
+    assert rows(records.evidence_recall(spark, folder), "query_id", "recall") == [("f", 1.0)]
+    assert rows(stages.session_status(spark, folder), "session_id", "units") == [("s", 2)]
