@@ -113,18 +113,26 @@ def scored_paths(paths: DataFrame, scoring: str, k: int, with_vectors: DataFrame
     return scored.orderBy(F.round("score", 9).desc(), "source", "target", F.array_join("path", ">")).limit(k)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6, weight: str | None = None) -> DataFrame:
-    """``source, target, hops, distance, score``: the least distance of each reachable pair over at most ``max_hops`` edges
-    (weight 1 without a column), the fewest edges of such; score 1 / (1 + edges). A source reaches each node once a round."""
-    step = edges.groupBy("src", "dst").agg(F.min(F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, weight: str | None = None) -> DataFrame:
+    """``source, target, hops, distance, score``: the least distance of each reachable pair (weight 1 without a column, none negative), over at most ``max_hops`` edges
+    if given, the fewest edges of such; score 1 / (1 + edges). Pairs without a column ``target``: each source with all other nodes it reaches.
+    Rounds go on until no distance changes; a source reaches each node once a round."""
+    from palimpsest.session import written
+
+    step = written(edges.groupBy("src", "dst").agg(F.min(F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).where("src <> dst"), "steps")
+    if not step.where("w < 0").isEmpty():
+        raise ValueError("weights must not be negative")
     best = pairs.select(F.col("source"), F.col("source").alias("node")).distinct().withColumn("distance", F.lit(0.0)).withColumn("hops", F.lit(0))
-    front = best
-    for hop in range(1, max_hops + 1):
+    best = front = written(best, "distances")
+    hop = 0
+    while (max_hops is None or hop < max_hops) and not front.isEmpty():
+        hop += 1
         moved = front.join(step, front.node == step.src).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.lit(hop).alias("hops"))
         every = best.unionByName(moved).groupBy("source", "node").agg(F.min(F.struct("distance", "hops")).alias("b")).select("source", "node", "b.distance", "b.hops")
-        front = every.where(F.col("hops") == hop)
-        best = every
-    hit = pairs.select("source", "target").distinct().join(best.withColumnRenamed("node", "target"), ["source", "target"])
+        best = written(every, "distances")
+        front = best.where(F.col("hops") == hop)
+    found = best.withColumnRenamed("node", "target")
+    hit = pairs.select("source", "target").distinct().join(found, ["source", "target"]) if "target" in pairs.columns else found.where("source <> target")
     return hit.select("source", "target", "hops", "distance", (1 / (1 + F.col("hops"))).alias("score"))
 
 

@@ -57,7 +57,7 @@ def nodes_of_type(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_paths(spark: SparkSession, folder: str) -> DataFrame:
-    p = graph.simple_paths(s.edges(spark, folder), s.seeds(spark, folder), None, 4, 3)
+    p = graph.simple_paths(s.edges(spark, folder), s.seeds(spark, folder), None)
     return graph.scored_paths(p, "length", 30).select(F.array_join("path", ">").alias("path"), F.round("score", 6).alias("score"))
 
 

@@ -160,14 +160,13 @@ def hop_expand(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def simple_paths(spark: SparkSession, folder: str) -> DataFrame:
-    p = g.simple_paths(edges(spark, folder), seeds(spark, folder), None, 4, 3)
+    p = g.simple_paths(edges(spark, folder), seeds(spark, folder), None)
     return p.select("source", "target", F.array_join("path", ">").alias("path"), F.round("weight", 6).alias("weight"))
 
 
 def shortest_path(spark: SparkSession, folder: str) -> DataFrame:
     s = seeds(spark, folder).select(F.col("uid").alias("source"))
-    reach = g.simple_paths(edges(spark, folder), seeds(spark, folder), None, 4, 1).select("source", "target")
-    found = g.shortest_paths(edges(spark, folder), reach.join(s, "source", "left_semi"), 3, "weight")
+    found = g.shortest_paths(edges(spark, folder), s, weight="weight")
     return found.select("source", "target", "hops", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 

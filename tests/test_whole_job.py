@@ -62,3 +62,21 @@ def test_messages_of_unknown_time_keep_their_place(spark, tables):
     assert rows(records.answer_em_f1(spark, folder), "uid", "em", "f1") == [("2", False, 0.5), ("3", True, 1.0), ("4", False, 0.0)]
     assert rows(records.evidence_recall(spark, folder), "query_id", "recall") == [("f", 1.0)]
     assert rows(stages.session_status(spark, folder), "session_id", "units") == [("s", 2)]
+
+
+def entity(i, related, confidence, name="x"):
+    return {"entity_id": f"ent_{i}", "sample_id": "a", "name": name, "entity_type": "Person", "confidence": confidence, "aliases": [], "related_entities": [f"ent_{r}" for r in related]}
+
+
+ENTITY = "entity_id string, sample_id string, name string, entity_type string, confidence double, aliases array<string>, related_entities array<string>"
+
+
+def test_far_nodes_and_cheap_detours(spark, tables):
+    # A chain 20 -> 1 -> ... -> 7 of cheap edges, a dear edge 20 -> 5, and 7 -> 1 back.
+    chain = [entity(20, [1, 9], 0.1), *[entity(i, [i + 1], 0.1) for i in range(1, 7)], entity(7, [1], 0.1), entity(9, [5], 0.9)]
+    folder = tables(extracted_entities=(chain, ENTITY))
+    got = {r.target: (r.hops, r.distance) for r in stores.shortest_path(spark, folder).collect() if r.source == "ent_20"}
+    assert got == {f"ent_{i}": (i, round(0.1 * i, 6)) for i in range(1, 8)} | {"ent_9": (1, 0.9)}
+    paths = {r.path for r in stores.simple_paths(spark, folder).collect()}
+    assert "ent_20>ent_1>ent_2>ent_3>ent_4" in paths and not any(p.count(">") > 4 for p in paths)
+    assert "ent_20>ent_1>ent_2>ent_3>ent_4" in {r.path for r in stages.scored_paths(spark, folder).collect()}
