@@ -51,7 +51,9 @@ def relevance(text: Column, query: Column) -> Column:
     """The share of a query's white-space words, repeats counted, that occur in a text as substrings; 0 for an empty one."""
     words = F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), r"\s+"), lambda w: w != "")
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(low, w))) / F.size(words)).otherwise(0.0)
+    # Bound as an array of one, so that the text is lower-cased and the query split once a pair, not once a word.
+    share = lambda x: F.when(F.size(x.words) > 0, F.size(F.filter(x.words, lambda w: F.contains(x.low, w))) / F.size(x.words)).otherwise(0.0)
+    return F.transform(F.array(F.struct(words.alias("words"), low.alias("low"))), share)[0]
 
 
 def normalized_answer(text: Column) -> Column:

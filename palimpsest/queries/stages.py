@@ -15,14 +15,10 @@ from palimpsest.sources.store import evicted
 from palimpsest.sources.tables import table
 
 
-def _short_queries(spark: SparkSession, folder: str) -> DataFrame:
-    q = r.text_queries(spark, folder).where("trim(query) <> ''")
-    return q.select("query_id", F.substring_index("query", "\n", 1).alias("query"))
-
-
 def rerank_lexical(spark: SparkSession, folder: str) -> DataFrame:
-    """The best 100 results of each query (whole text) ranked anew by the words of its first line."""
-    return r._shown(rerank.rerank(r._bm25(spark, folder, 100), _short_queries(spark, folder), r.units(spark, folder), 10, threshold=0.1))
+    """The best 100 results of each query ranked anew by the words of its whole text."""
+    q = r.text_queries(spark, folder).where("trim(query) <> ''")
+    return r._shown(rerank.rerank(r._bm25(spark, folder, 100), q, r.units(spark, folder), 10, threshold=0.1))
 
 
 def rerank_scaled(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +34,7 @@ def rerank_split(spark: SparkSession, folder: str) -> DataFrame:
 def graph_expansion(spark: SparkSession, folder: str) -> DataFrame:
     """Entities found by their names, with neighbours of theirs that weren't found."""
     n = s.nodes(spark, folder).select(F.col("id").alias("uid"), "text")
-    q = n.where("cast(substring(uid, 5) as bigint) % 20 = 0").select(F.col("uid").alias("query_id"), F.col("text").alias("query"))
+    q = s.name_queries(spark, folder)
     found = lexical.bm25(lexical.build_index(n), q, 10)
     return r._shown(search.expand(found, s.edges(spark, folder), 10))
 
@@ -46,7 +42,7 @@ def graph_expansion(spark: SparkSession, folder: str) -> DataFrame:
 def node_search(spark: SparkSession, folder: str) -> DataFrame:
     """Entities by name and by their relations, the better score counts."""
     n = s.nodes(spark, folder).select(F.col("id").alias("uid"), "text")
-    q = spark.createDataFrame([("q1", "organization optics group"), ("q2", "person eleanor")], "query_id string, query string")
+    q = s.name_queries(spark, folder)
     text = lexical.bm25(lexical.build_index(n), q, 15)
     edges = graph.edge_search(s.edges(spark, folder), s.nodes(spark, folder), q, 10)
     return r._shown(graph.hybrid({"nodes": (0.05, text), "edges": (0.3, edges)}, 10))

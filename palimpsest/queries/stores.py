@@ -131,6 +131,11 @@ def seeds(spark: SparkSession, folder: str) -> DataFrame:
     return nodes(spark, folder).where("cast(substring(id, 5) as bigint) % 20 = 0").select(F.col("id").alias("uid"))
 
 
+def name_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """The names of the seeds as queries."""
+    return nodes(spark, folder).where("cast(substring(id, 5) as bigint) % 20 = 0").select(F.col("id").alias("query_id"), F.col("text").alias("query"))
+
+
 def explicit_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     return g.neighbours(edges(spark, folder), seeds(spark, folder), ["person", "organization"]).select("seed", "uid")
 
@@ -183,8 +188,7 @@ def path_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edge_search(spark: SparkSession, folder: str) -> DataFrame:
-    q = spark.createDataFrame([(1, "organization optics group"), (2, "person eleanor"), (3, "marine limited company")], "query_id int, query string")
-    out = g.edge_search(edges(spark, folder), nodes(spark, folder), q, 10)
+    out = g.edge_search(edges(spark, folder), nodes(spark, folder), name_queries(spark, folder), 10)
     return out.select("query_id", "uid", F.round("score", 6).alias("score"), "rank")
 
 

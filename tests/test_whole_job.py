@@ -80,3 +80,18 @@ def test_far_nodes_and_cheap_detours(spark, tables):
     paths = {r.path for r in stores.simple_paths(spark, folder).collect()}
     assert "ent_20>ent_1>ent_2>ent_3>ent_4" in paths and not any(p.count(">") > 4 for p in paths)
     assert "ent_20>ent_1>ent_2>ent_3>ent_4" in {r.path for r in stages.scored_paths(spark, folder).collect()}
+
+
+def test_reranking_reads_every_line_of_a_query(spark, tables):
+    docs = [(0, "\nfox owl"), (20, "fox\nowl hen"), (21, "owl hen"), (22, "fox cat"), *[(i, f"pine{i} elm{i}") for i in range(41, 59)]]
+    folder = tables(documents=([(*d, "en", "x", "chat") for d in docs], "doc_id bigint, text string, lang string, source string, memory_space string"))
+    got = {(r.query_id, r.uid): r.score for r in stages.rerank_lexical(spark, folder).collect()}
+    assert got[(0, 20)] == 1.0 and got[(0, 21)] == 0.5 and got[(20, 21)] == round(2 / 3, 6) and got[(20, 22)] == round(1 / 3, 6)
+
+
+def test_edges_and_nodes_are_searched_for_every_twentieth_name(spark, tables):
+    people = [entity(20, [1], 0.5, "Ann Fox"), entity(1, [40], 0.5, "Bo Fox"), entity(40, [20], 0.5, "Cy Hen"), entity(2, [1], 0.5, "Di Elk")]
+    folder = tables(extracted_entities=(people, ENTITY))
+    assert {r.query_id for r in stores.edge_search(spark, folder).collect()} == {"ent_20", "ent_40"}
+    assert {r.query_id for r in stages.node_search(spark, folder).collect()} == {"ent_20", "ent_40"}
+    assert ("ent_20", 1) in rows(stores.edge_search(spark, folder).where("query_id = 'ent_20'"), "uid", "rank")
