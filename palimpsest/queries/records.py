@@ -131,7 +131,7 @@ def relation_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def resolve_names(spark: SparkSession, folder: str) -> DataFrame:
     e = _entities(spark, folder)
-    refs = table(spark, folder, "entity_mentions").select(F.explode("aliases").alias("reference")).where("length(trim(reference)) >= 9").distinct()
+    refs = table(spark, folder, "entity_mentions").select(F.explode("aliases").alias("reference")).where("trim(reference) <> ''").distinct()
     return merging.resolve_names(refs, e)
 
 

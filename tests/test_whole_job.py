@@ -95,3 +95,9 @@ def test_edges_and_nodes_are_searched_for_every_twentieth_name(spark, tables):
     assert {r.query_id for r in stores.edge_search(spark, folder).collect()} == {"ent_20", "ent_40"}
     assert {r.query_id for r in stages.node_search(spark, folder).collect()} == {"ent_20", "ent_40"}
     assert ("ent_20", 1) in rows(stores.edge_search(spark, folder).where("query_id = 'ent_20'"), "uid", "rank")
+
+
+def test_short_names_are_resolved(spark, tables):
+    people = [entity(1, [], 0.5, "Bo"), entity(2, [], 0.5, "Robert Lang"), entity(3, [], 0.5, "IBM Ltd")]
+    folder = tables(extracted_entities=(people, ENTITY), entity_mentions=([(["Bo", "IBM", "Lang", " ", "zz"],)], "aliases array<string>"))
+    assert rows(records.resolve_names(spark, folder), "reference", "entity_id") == [("Bo", "ent_1"), ("IBM", "ent_3"), ("Lang", "ent_2")]
