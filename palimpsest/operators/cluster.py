@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import tokens
 from palimpsest.operators.components import connected_components
 from palimpsest.operators.dense import near_pairs
+from palimpsest.session import written
 
 
 def standardized(vectors: DataFrame) -> DataFrame:
@@ -68,20 +69,54 @@ def _unit(v) -> F.Column:
     return F.transform(c, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
 
 
-def tuned(vectors: DataFrame, dim: int, eps: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7), min_samples: tuple[int, ...] = (2, 5), least: int = 10) -> DataFrame:
-    """``eps, min_samples, clusters, noise_share, score``: density clusters for each pair of settings, scored by silhouette (0.5 and 0.3) and what isn't noise (0.2). Fewer
-    than ``least`` vectors aren't tuned."""
+def tuned(vectors: DataFrame, dim: int, eps: tuple[float, ...] = (0.1, 0.275, 0.45, 0.625, 0.8), min_samples: tuple[int, ...] = tuple(range(2, 11)), least: int = 10) -> DataFrame:
+    """``eps, min_samples, clusters, noise_share, score``: density clusters for each pair of settings, scored by 0.5 silhouette (the simplified one, of ``silhouettes``), 0.3 min(CH / 1000, 1)
+    (Calinski-Harabasz over the standardised dimensions) and 0.2 of what isn't noise; 0 for fewer than two clusters and at least 0. Fewer than ``least`` vectors aren't tuned.
+    Near pairs are found once, at the largest eps, and all settings are clustered together."""
+    spark = vectors.sparkSession
     if vectors.limit(least).count() < least:
-        return vectors.sparkSession.createDataFrame([(0.3, 3, None, None, None)], "eps double, min_samples int, clusters bigint, noise_share double, score double")
-    out = None
-    for e in eps:
-        for m in min_samples:
-            found = dbscan(vectors, dim, e, m)
-            s = silhouettes(vectors, found, dim).agg(F.count("*").alias("clusters"), (F.sum(F.col("n") * F.col("silhouette")) / F.sum("n")).alias("s"))
-            noise = found.agg(F.avg((F.col("cluster") < 0).cast("double")).alias("noise_share"))
-            row = s.crossJoin(noise).select(F.lit(e).alias("eps"), F.lit(m).alias("min_samples"), "clusters", "noise_share", (0.8 * F.when(F.col("clusters") > 1, F.coalesce("s", F.lit(0.0))).otherwise(0.0) + 0.2 * (1 - F.col("noise_share"))).alias("score"))
-            out = row if out is None else out.unionByName(row)
-    return out
+        return spark.createDataFrame([(0.3, 3, None, None, None)], "eps double, min_samples int, clusters bigint, noise_share double, score double")
+    v = written(standardized(vectors), "standardized")
+    near = written(near_pairs(v, dim, 1 - max(eps)), "near")
+    grid = F.broadcast(spark.createDataFrame([(i * len(min_samples) + j, e, m) for i, e in enumerate(eps) for j, m in enumerate(min_samples)], "setting int, eps double, min_samples int"))
+    levels = F.broadcast(spark.createDataFrame([(e,) for e in eps], "eps double"))
+    within = F.col("cosine") >= 1 - F.col("eps") - 1e-9
+    degree = v.select("uid").crossJoin(levels).join(near.crossJoin(levels).where(within).groupBy("uid", "eps").agg(F.count("*").alias("n")), ["uid", "eps"], "left")
+    core = written(degree.join(grid, "eps").where(F.coalesce("n", F.lit(0)) + 1 >= F.col("min_samples")).select("setting", "uid"), "core")
+    other = core.withColumnRenamed("uid", "other")
+    pairs = near.crossJoin(grid).where(within).select("setting", "uid", "other")
+    links = pairs.where("uid < other").join(core, ["setting", "uid"], "left_semi").join(other, ["setting", "other"], "left_semi").unionByName(core.withColumn("other", F.col("uid")))
+    parts = connected_components(links.select(F.struct("setting", "uid").alias("a"), F.struct("setting", F.col("other").alias("uid")).alias("b")), "a", "b")
+    cores = parts.select("node.setting", "node.uid", F.col("component.uid").alias("cluster"))  # a cluster goes by its smallest core point
+    border = pairs.join(core, ["setting", "uid"], "left_anti").join(cores.withColumnRenamed("uid", "other"), ["setting", "other"]).groupBy("setting", "uid").agg(F.min("cluster").alias("cluster"))
+    labels = written(cores.unionByName(border), "labels")
+    total = v.agg(F.count("*").alias("all"))  # one row
+    shares = labels.groupBy("setting").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("k"))
+    scores = _separation(v, labels).join(_silhouette(vectors.where(F.size("v") == dim), labels), "setting", "full")
+    out = grid.join(shares, "setting", "left").join(scores, "setting", "left").crossJoin(F.broadcast(total))
+    clusters, noise = F.coalesce("k", F.lit(0)), 1 - F.coalesce("n", F.lit(0)) / F.col("all")
+    score = 0.5 * F.coalesce("s", F.lit(0.0)) + 0.3 * F.least(F.coalesce("ch", F.lit(0.0)) / 1000, F.lit(1.0)) + 0.2 * (1 - noise)
+    return out.select("eps", "min_samples", clusters.alias("clusters"), noise.alias("noise_share"), F.when(clusters > 1, F.greatest(score, F.lit(0.0))).otherwise(0.0).alias("score"))
+
+
+def _separation(v: DataFrame, labels: DataFrame) -> DataFrame:
+    """``setting, ch``: the Calinski-Harabasz score of each setting's clusters, from their sums and squares; 1 if nothing is spread within them."""
+    long = labels.join(v, "uid").select("setting", "cluster", F.posexplode("v").alias("i", "x"))
+    sums = long.groupBy("setting", "cluster", "i").agg(F.sum("x").alias("t"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
+    one = sums.groupBy("setting", "i").agg(F.sum(F.col("t") * F.col("t") / F.col("n")).alias("between"), F.sum("t").alias("t"), F.sum("q").alias("q"), F.sum("n").alias("n"), F.count("*").alias("k"))
+    all_ = one.groupBy("setting").agg(F.sum(F.col("between") - F.col("t") * F.col("t") / F.col("n")).alias("b"), F.sum(F.col("q") - F.col("between")).alias("w"), F.max("n").alias("n"), F.max("k").alias("k"))
+    ch = F.when(F.col("w") <= 1e-9, 1.0).otherwise(F.col("b") * (F.col("n") - F.col("k")) / (F.col("w") * (F.col("k") - 1)))
+    return all_.where("k > 1").select("setting", ch.alias("ch"))
+
+
+def _silhouette(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """``setting, s``: the mean of ``silhouettes`` over all points of each setting's clusters."""
+    unit = labels.join(vectors.select("uid", _unit("v").alias("v")), "uid")
+    centre = unit.select("setting", "cluster", F.posexplode("v").alias("i", "x")).groupBy("setting", "cluster", "i").agg(F.avg("x").alias("x")).groupBy("setting", "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
+    centre = centre.select("setting", F.col("cluster").alias("other"), _unit(F.transform("c", lambda e: e.x)).alias("c"))
+    d = unit.join(centre, "setting").withColumn("d", 1 - F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p))
+    each = d.groupBy("setting", "uid", "cluster").agg(F.min(F.when(F.col("other") == F.col("cluster"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("cluster"), F.col("d"))).alias("b"))
+    return each.groupBy("setting").agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("s"))
 
 
 def cluster_nodes(vectors: DataFrame, edges: DataFrame, method: str, dim: int, **settings) -> DataFrame:

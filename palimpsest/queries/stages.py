@@ -94,7 +94,7 @@ def cluster_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dbscan_tuning(spark: SparkSession, folder: str) -> DataFrame:
-    return cluster.tuned(r.vectors(spark, folder), r.DIM, (0.75,), (3, 5))
+    return cluster.tuned(r.vectors(spark, folder), r.DIM)
 
 
 def eviction(spark: SparkSession, folder: str) -> DataFrame:

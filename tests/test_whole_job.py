@@ -1,7 +1,9 @@
 """What queries and operators once left out: long texts, unknown times, whole sentences, far nodes, short names, whole grids."""
 
+import numpy as np
 import pytest
 
+from palimpsest.operators import cluster
 from palimpsest.queries import context, records, stages, stores
 
 
@@ -101,3 +103,24 @@ def test_short_names_are_resolved(spark, tables):
     people = [entity(1, [], 0.5, "Bo"), entity(2, [], 0.5, "Robert Lang"), entity(3, [], 0.5, "IBM Ltd")]
     folder = tables(extracted_entities=(people, ENTITY), entity_mentions=([(["Bo", "IBM", "Lang", " ", "zz"],)], "aliases array<string>"))
     assert rows(records.resolve_names(spark, folder), "reference", "entity_id") == [("Bo", "ent_1"), ("IBM", "ent_3"), ("Lang", "ent_2")]
+
+
+def test_tuning_tries_the_whole_grid(spark):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(c, 0.4, (25, 3)) for c in ((4, 0, 0), (0, 4, 0), (0, 0, 4))] + [rng.normal(0, 3, (10, 3))])
+    vectors = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "uid bigint, v array<double>")
+    got = {(r.eps, r.min_samples): r for r in cluster.tuned(vectors, 3).collect()}
+    assert len(got) == 45 and {m for _, m in got} == set(range(2, 11)) and min(got)[0] == 0.1 and max(got)[0] == 0.8
+    std = (points - points.mean(0)) / points.std(0)
+    for key in ((0.1, 5), (0.275, 10)):
+        found = cluster.dbscan(vectors, 3, *key)
+        of = {r.uid: r.cluster for r in found.collect()}
+        ids = [i for i in of if of[i] >= 0]
+        groups = [std[[i for i in ids if of[i] == c]] for c in sorted({of[i] for i in ids})]
+        n, k, mean = len(ids), len(groups), std[ids].mean(0)
+        assert k > 1
+        b, w = sum(len(g) * ((g.mean(0) - mean) ** 2).sum() for g in groups), sum(((g - g.mean(0)) ** 2).sum() for g in groups)
+        s = sum(r.n * r.silhouette for r in cluster.silhouettes(vectors, found, 3).collect()) / n
+        assert (got[key].clusters, got[key].noise_share) == (k, pytest.approx(1 - n / len(points)))
+        assert got[key].score == pytest.approx(0.5 * s + 0.3 * min(b / (k - 1) / (w / (n - k)) / 1000, 1) + 0.2 * n / len(points))
+    assert all(r.score == 0 for r in got.values() if r.clusters < 2)
