@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import written
+from palimpsest.session import Scratch, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -19,26 +19,30 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
     Alternates large-star and small-star steps: each node sends its larger neighbours, then its smaller
     ones, to the smallest neighbour. The links shrink towards stars in about log(n) rounds, each of
     two shuffles; no step gathers a component in one place, and lineage is cut through the shared
-    folder. Links with a null end and from a node to itself only name the node.
+    folder; the tables of earlier rounds are deleted, and the result is a table there. Links with a null end and from a node to itself only name the node.
     """
-    named = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    nodes = named.select(F.col("u").alias("node")).unionByName(named.select(F.col("v").alias("node"))).where("node is not null").distinct()
-    edges = written(named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seen = _digest(edges)
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "links")
-        # Settled when the links are the same stars as before: as many, with the same sums of two hashes.
-        now = _digest(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    roots = edges.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("component", "node").alias("component"))
+    with Scratch(links.sparkSession) as scratch:
+        named = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
+        nodes = scratch.keep(named.select(F.col("u").alias("node")).unionByName(named.select(F.col("v").alias("node"))).where("node is not null").distinct(), "nodes")
+        rounds = Scratch(links.sparkSession)
+        with rounds:
+            edges = rounds.keep(named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+            seen = _digest(edges)
+            for _ in range(max_rounds):
+                both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+                low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+                large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+                low = large.groupBy("u").agg(F.min("v").alias("m"))
+                joined = large.join(low, "u")
+                small = joined.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+                edges = rounds.keep(small, "links")
+                rounds.drop_before(1)
+                # Settled when the links are the same stars as before: as many, with the same sums of two hashes.
+                now = _digest(edges)
+                if now == seen:
+                    break
+                seen = now
+            else:
+                raise RuntimeError(f"components not settled after {max_rounds} rounds")
+            roots = edges.groupBy("u").agg(F.min("v").alias("component"))
+            return written(nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("component", "node").alias("component")), "components")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.time import utc_micros
+from palimpsest.session import written
 
 US_PER_MINUTE = 60_000_000
 #: Largest scaled time that still leaves room for adding a gap in a bigint.
@@ -23,18 +24,20 @@ def known_time_us(events: DataFrame, column: str = "event_time") -> Column:
     return F.when(us != 0, us)
 
 
-def sessionize(events: DataFrame, key: str, time_us: str, gap_us: str, count: str | None = None, horizon_us: int = 2**52) -> DataFrame:
+def sessionize(events: DataFrame, key: str, time_us: str, gap_us: str, count: str | None = None, horizon_us: int = 2**52, gaps: list[int] | None = None) -> DataFrame:
     """Split each key's events into sessions: a gap of at least ``gap_us`` starts a new one.
 
     ``events`` has a key, a bigint time, the key's gap in microseconds (one value per key), and
-    optionally the number of operations a row stands for. Returns ``key, start_time_us, last_time_us,
+    optionally the number of operations a row stands for. ``gaps`` are the distinct gaps, if the caller knows them;
+    else they are looked up in the events. Returns ``key, start_time_us, last_time_us,
     duration_us, unit_count``. Rows with a null key, time or gap, or a gap below 1, belong to no
     session. Equal times are one point in time with a count. Other columns are ignored.
 
     Method (start-end pairing): over distinct times, RANGE frames find times without a predecessor
     (starts) and without a successor (ends) nearer than the gap; starts and ends are numbered
-    separately and paired by equal number; the number of operations is the difference of the running
-    counts at the two. The gaps differ by key, but a frame needs one literal width: times are scaled
+    separately and joined by equal number (both lie in one table of borders, so the join is one aggregate by key and
+    number); the number of operations is the difference of the running counts at the two. What the frames find is written to the
+    shared folder, since numbers and bucket totals both need it. The gaps differ by key, but a frame needs one literal width: times are scaled
     so that every gap becomes the least common multiple of the distinct gaps. Gaps whose multiple
     would overflow form further classes, each handled in its own branch.
 
@@ -46,7 +49,7 @@ def sessionize(events: DataFrame, key: str, time_us: str, gap_us: str, count: st
         F.col(key).alias("_key"), F.col(time_us).cast("bigint").alias("_t"), F.col(gap_us).cast("bigint").alias("_gap"), (F.col(count) if count else F.lit(1)).cast("bigint").alias("_n")
     ).where("_key is not null and _t is not null and _gap >= 1")
     points = rows.groupBy("_key", "_gap", "_t").agg(F.sum("_n").alias("_n"))
-    return _paired(points, key, horizon_us)
+    return _paired(points, key, horizon_us, gaps)
 
 
 def segments(events: DataFrame, key: str, time_us: str, gap_us: int) -> DataFrame:
@@ -69,10 +72,11 @@ def _classes(gaps: list[int], horizon_us: int) -> list[tuple[int, list[int]]]:
     return out
 
 
-def _paired(points: DataFrame, key: str, horizon_us: int) -> DataFrame:
+def _paired(points: DataFrame, key: str, horizon_us: int, gaps: list[int] | None) -> DataFrame:
     # The gaps are settings of configurations, not data: a handful of distinct values.
-    gaps = [r[0] for r in points.select("_gap").distinct().collect()]
-    parts = [_one_class(points.where(F.col("_gap").isin(members)), common) for common, members in _classes(gaps, horizon_us)]
+    known = sorted({g for g in gaps if g >= 1}) if gaps is not None else [r[0] for r in points.select("_gap").distinct().collect()]
+    classes = _classes(known, horizon_us)
+    parts = [_one_class(points if len(classes) == 1 else points.where(F.col("_gap").isin(members)), common) for common, members in classes]
     if not parts:
         parts = [_one_class(points, 1)]
     out = parts[0]
@@ -81,7 +85,7 @@ def _paired(points: DataFrame, key: str, horizon_us: int) -> DataFrame:
     return out.select(F.col("_key").alias(key), "start_time_us", "last_time_us", (F.col("last_time_us") - F.col("start_time_us")).alias("duration_us"), "unit_count")
 
 
-def _numbered(points: DataFrame, common: int) -> DataFrame:
+def _numbered(points: DataFrame, common: int, borders_only: bool = False) -> DataFrame:
     """Distinct times with ``_is_start, _is_end``, running counts within the bucket and offsets of the buckets before."""
     width = common * GAPS_PER_BUCKET
     scaled = points.withColumn("_s", F.col("_t") * F.expr(f"{common} div _gap"))
@@ -102,6 +106,7 @@ def _numbered(points: DataFrame, common: int) -> DataFrame:
         .where("_own")
         .select("_key", F.col("_home").alias("_b"), "_t", "_n", (F.col("_before") == 0).alias("_is_start"), (F.col("_after") == 0).alias("_is_end"))
     )
+    marked = written(marked, "session-borders")
     running = Window.partitionBy("_key", "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = marked.select(
         "*",
@@ -114,14 +119,21 @@ def _numbered(points: DataFrame, common: int) -> DataFrame:
         F.sum("_n").alias("_n"), F.sum(F.col("_is_start").cast("bigint")).alias("_starts"), F.sum(F.col("_is_end").cast("bigint")).alias("_ends")
     )
     offsets = totals.select("_key", "_b", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_off{c}") for c in ("_n", "_starts", "_ends")))
+    if borders_only:
+        ranked = ranked.where("_is_start or _is_end")
     return ranked.join(offsets, ["_key", "_b"])
 
 
 def _one_class(points: DataFrame, common: int) -> DataFrame:
-    numbered = _numbered(points, common)
-    starts = numbered.where("_is_start").select("_key", (F.col("_start_no") + F.col("_off_starts")).alias("_no"), F.col("_t").alias("start_time_us"), (F.col("_upto") - F.col("_n") + F.col("_off_n")).alias("_before_start"))
-    ends = numbered.where("_is_end").select("_key", (F.col("_end_no") + F.col("_off_ends")).alias("_no"), F.col("_t").alias("last_time_us"), (F.col("_upto") + F.col("_off_n")).alias("_upto_end"))
-    return starts.join(ends, ["_key", "_no"]).select("_key", "start_time_us", "last_time_us", (F.col("_upto_end") - F.col("_before_start")).alias("unit_count"))
+    border = _numbered(points, common, borders_only=True)
+    upto = F.col("_upto") + F.col("_off_n")
+    nothing = F.lit(None).cast("bigint")
+    shape = lambda no, start, before, last, upto: F.struct(no.alias("_no"), start.alias("start"), before.alias("before"), last.alias("last"), upto.alias("upto"))
+    start = F.when(F.col("_is_start"), shape(F.col("_start_no") + F.col("_off_starts"), F.col("_t"), upto - F.col("_n"), nothing, nothing))
+    end = F.when(F.col("_is_end"), shape(F.col("_end_no") + F.col("_off_ends"), nothing, nothing, F.col("_t"), upto))
+    ends = border.select("_key", F.explode(F.array_compact(F.array(start, end))).alias("_x")).select("_key", "_x.*")
+    pair = ends.groupBy("_key", "_no").agg(*(F.max(c).alias(c) for c in ("start", "before", "last", "upto")))
+    return pair.select("_key", F.col("start").alias("start_time_us"), F.col("last").alias("last_time_us"), (F.col("upto") - F.col("before")).alias("unit_count"))
 
 
 def activity_sessions(activity: DataFrame, samples: DataFrame, configs: DataFrame) -> DataFrame:
@@ -138,5 +150,5 @@ def activity_sessions(activity: DataFrame, samples: DataFrame, configs: DataFram
     known = activity.select("activity_id", "sample_id", known_time_us(activity).alias("_time_us")).where("_time_us is not null and sample_id is not null")
     with_id = known.where("activity_id is not null").groupBy("activity_id").agg(F.min(F.struct("_time_us", "sample_id")).alias("_x")).select("_x.sample_id", "_x._time_us")
     rows = with_id.unionByName(known.where("activity_id is null").select("sample_id", "_time_us"))
-    counted = rows.groupBy("sample_id", "_time_us").agg(F.count("*").alias("_count"))
-    return sessionize(counted.join(gaps, "sample_id"), "sample_id", "_time_us", "_gap_us", "_count")
+    settings = [r[0] for r in gaps.select("_gap_us").distinct().collect()]  # a few configurations
+    return sessionize(rows.join(gaps, "sample_id"), "sample_id", "_time_us", "_gap_us", gaps=settings)

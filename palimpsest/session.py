@@ -79,6 +79,34 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, deleted together when its block ends. What the block
+    returns must therefore be ``written`` itself, or be computed before the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            drop_shared(self.spark, path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, written and read back."""
+        path = shared_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_before(self, last: int) -> None:
+        """Delete all but the ``last`` tables written."""
+        for path in self.paths[: len(self.paths) - last]:
+            drop_shared(self.spark, path)
+        self.paths = self.paths[len(self.paths) - last :]
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if ``df`` has at most ``max_rows`` rows, looked at by reading at most one
     row more; else leave the strategy to the optimizer."""
