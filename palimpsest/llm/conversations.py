@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.operators.running import running_sum
-from palimpsest.session import drop_shared, setting, shared_path
+from palimpsest.session import drop_shared, setting, shared_path, written
 
 # Ways of writing the roles, besides the names of the sample's user and agent.
 USER_ROLES = ("user", "human", "usr", "customer", "client", "prompter", "questioner")
@@ -17,7 +18,14 @@ ASSISTANT_ROLES = ("assistant", "ai", "bot", "model", "agent", "gpt", "chatbot",
 SYSTEM_ROLES = ("system", "sys", "developer")
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-TURNS = "session_id string, turn_no int, uid string, role string"
+PIECES = "session_id string, piece bigint, rows array<struct<uid:string,at:bigint,ts:double,role:string,blank:boolean>>, n_rows int"
+#: Positions, and seconds for conversations without positions, that one state value holds: its size is bounded by these, not by the session's.
+PIECE_POSITIONS = 4096
+PIECE_SECONDS = 600
+#: Pieces of a conversation whose turns are numbered in one task.
+PIECES_PER_BUCKET = 1024
+#: Bytes of message files in one micro-batch.
+BATCH_BYTES = 256 << 30
 #: The instant that closes a stream: later than any arrival.
 CLOSING = datetime.datetime(9000, 1, 1)
 
@@ -58,106 +66,116 @@ def _slim(messages: DataFrame, samples: DataFrame) -> DataFrame:
     )
 
 
-def _validated(closed: DataFrame) -> DataFrame:
-    """The turns of the sound ones among closed conversations. Each step is a column of its own, and
-    soundness empties the turns instead of filtering rows: a filter would be moved below the steps,
-    with a copy of their sorts."""
-    shape = lambda r, pos: F.struct(pos.alias("pos"), r.uid.alias("uid"), r["at"].alias("at"), r.ts.alias("ts"), r.role.alias("role"), r.blank.alias("blank"))
-    x = closed.select("session_id", F.sort_array("rows").alias("sorted"))  # by uid first
-    x = x.select("session_id", F.filter("sorted", lambda r, i: r.uid.isNull() | (i == 0) | ~r.uid.eqNullSafe(F.get(F.col("sorted"), i - 1)["uid"])).alias("once"))
-    x = x.select("session_id", "once", F.exists("once", lambda r: r["at"].isNotNull()).alias("placed"))
-    x = x.select("session_id", "placed", F.sort_array(F.transform("once", lambda r: shape(r, F.when(F.col("placed"), r["at"].cast("double")).otherwise(r.ts)))).alias("rows"))
-    in_place = F.forall(F.transform("rows", lambda r, i: r["at"].eqNullSafe(i.cast("bigint"))), lambda ok: ok)
-    sound = F.forall("rows", lambda r: r.role.isNotNull()) & F.when(F.col("placed"), in_place).otherwise(F.forall("rows", lambda r: r.ts.isNotNull()))
-    x = x.select("session_id", F.when(sound, F.filter("rows", lambda r: ~r.blank)).alias("turns"))
-    x = x.select("session_id", "turns", F.filter("turns", lambda r: r.role != "system").alias("spoken"))
-    ends = (F.get("spoken", F.lit(0))["role"] == "user") & (F.get("spoken", F.size("spoken") - 1)["role"] == "assistant")
-    x = x.select("session_id", F.when(ends, F.transform("turns", lambda r: F.struct("session_id", r.uid.alias("uid"), r.role.alias("role")))).alias("turns"))
-    return x.select(F.posexplode("turns").alias("i", "turn")).select("turn.session_id", (F.col("i") + 1).alias("turn_no"), "turn.uid", "turn.role")
-
-
 def conversation_stream(messages: DataFrame, samples: DataFrame, timeout: str, lateness: str) -> DataFrame:
-    """The streaming plan: the rows of a session are buffered in keyed state and leave it, as validated
-    turns, when the watermark has passed the last arrival by ``timeout`` (the conversation is closed).
-    The event time is that of arrival; rows arriving up to ``lateness`` behind the newest one are kept."""
+    """The streaming plan: rows are buffered in keyed state and leave it when the watermark has passed the last arrival
+    by ``timeout`` (their conversation is closed). The event time is that of arrival; rows arriving up to
+    ``lateness`` behind the newest one are kept. The key is the session and the piece of it, a stretch of positions or of time, so
+    that a session of any size is many bounded state values."""
     slim = _slim(messages, samples).withWatermark("arrived", lateness)
-    buffered = slim.groupBy("session_id", F.session_window("arrived", timeout)).agg(F.collect_list(F.struct("uid", "at", "ts", "role", "blank")).alias("rows"))
-    return _validated(buffered)
+    piece = F.coalesce(F.floor(F.col("at") / PIECE_POSITIONS), F.floor(F.col("ts") / PIECE_SECONDS), F.lit(0)).cast("bigint").alias("piece")
+    buffered = slim.groupBy("session_id", piece, F.session_window("arrived", timeout)).agg(F.collect_list(F.struct("uid", "at", "ts", "role", "blank")).alias("rows"))
+    return buffered.select("session_id", "piece", "rows", F.size("rows").alias("n_rows"))
+
+
+def validated(closed: DataFrame) -> DataFrame:
+    """The turns ``session_id, turn_no, uid, role`` of the sound conversations among closed pieces (``PIECES``).
+
+    A piece that was closed and opened again by a late row is put together first. A piece is sorted and summed up in arrays; a
+    conversation is judged by the sums of its pieces, and its turns are numbered by running sums over them. No step gathers
+    a conversation in one place.
+    """
+    # Each step is a column of its own, so that no sort is repeated in a later one.
+    x = closed.groupBy("session_id", "piece").agg(F.flatten(F.collect_list("rows")).alias("rows"))
+    x = x.select("session_id", "piece", F.sort_array("rows").alias("sorted"))  # by uid first
+    x = x.select("session_id", "piece", F.filter("sorted", lambda r, i: r.uid.isNull() | (i == 0) | ~r.uid.eqNullSafe(F.get(F.col("sorted"), i - 1)["uid"])).alias("once"))
+    shape = lambda r: F.struct(r["at"].alias("at"), r.ts.alias("ts"), r.uid.alias("uid"), r.role.alias("role"), r.blank.alias("blank"))
+    # Where all rows have a position, no two of a sound conversation have the same; else the time decides, then the uid.
+    x = x.select("session_id", "piece", F.sort_array(F.transform("once", shape)).alias("rows"))
+    x = x.select("session_id", "piece", "rows", F.get("rows", F.lit(0))["at"].alias("low"), F.filter("rows", lambda r: ~r.blank).alias("turns"))
+    x = x.select("*", F.filter("turns", lambda r: r.role != "system").alias("spoken"))
+    all_of = lambda test: F.forall("rows", test)
+    in_place = F.col("low").isNotNull() & F.forall(F.transform("rows", lambda r, i: r["at"].eqNullSafe(F.col("low") + i)), lambda ok: ok)
+    last = F.get("spoken", F.size("spoken") - 1)["role"]
+    pieces = written(
+        x.select(
+            "session_id", "piece", "low", F.size("rows").alias("n"), all_of(lambda r: r.role.isNotNull()).alias("told"), all_of(lambda r: r["at"].isNull() & r.ts.isNotNull()).alias("timed"), in_place.alias("in_place"),
+            F.get("spoken", F.lit(0))["role"].alias("first"), last.alias("last"), F.size("turns").alias("n_turns"), F.transform("turns", lambda r: F.struct(r.uid.alias("uid"), r.role.alias("role"))).alias("turns"),
+        ),
+        "conversation-pieces",
+    )
+    at = F.when(F.col("first").isNotNull(), F.col("piece"))
+    judged = pieces.groupBy("session_id").agg(
+        F.sum("n").alias("n"), F.bool_and("told").alias("told"), F.bool_and("timed").alias("timed"), F.bool_and("in_place").alias("in_place"), F.min("low").alias("low"),
+        F.max(F.col("low") + F.col("n") - 1).alias("high"), F.min_by("first", at).alias("first"), F.max_by("last", at).alias("last"),
+    )
+    # Positions of different pieces differ, and those of a piece follow each other: n of them from 0 to n - 1 are all of them.
+    sound = judged.where("told and (timed or (in_place and low = 0 and high = n - 1)) and first = 'user' and last = 'assistant'").select("session_id")
+    slim = pieces.select("session_id", "piece", F.floor(F.col("piece") / PIECES_PER_BUCKET).alias("bucket"), "n_turns").join(sound, "session_id")
+    offset = running_sum(slim, ["session_id"], "bucket", [F.col("piece")], F.col("n_turns"), "upto").select("session_id", "piece", (F.col("upto") - F.col("n_turns")).alias("before"))
+    numbered = pieces.select("session_id", "piece", "turns").join(offset, ["session_id", "piece"]).select("session_id", "before", F.posexplode("turns").alias("i", "turn"))
+    return numbered.select("session_id", (F.col("before") + F.col("i") + 1).cast("int").alias("turn_no"), "turn.uid", "turn.role")
+
+
+def arrival_disorder(messages: DataFrame) -> int:
+    """By how many seconds a row can arrive behind one that an earlier micro-batch has read. A stream takes files
+    in order of their modification, each as a whole; files of the same modification time may come in any order."""
+    arrived = F.coalesce("ingested_at", F.timestamp_seconds(F.lit(0)))
+    files = messages.where("session_id is not null").select("_metadata.file_path", "_metadata.file_modification_time", F.unix_micros(arrived.cast("timestamp")).alias("us")).groupBy("file_path", "file_modification_time").agg(F.min("us").alias("low"), F.max("us").alias("high"))
+    times = files.groupBy("file_modification_time").agg(F.count("*").alias("files"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # One row for each modification time.
+    earlier = F.max("high").over(Window.orderBy("file_modification_time").rowsBetween(Window.unboundedPreceding, -1))
+    behind = times.select(F.greatest(earlier - F.col("low"), F.when(F.col("files") > 1, F.col("high") - F.col("low")), F.lit(0)).alias("us"))
+    return math.ceil((behind.agg(F.max("us")).first()[0] or 0) / 1_000_000)
 
 
 def rebuild_conversations(
-    spark: SparkSession, messages_path: str, samples: DataFrame, timeout: str = "36500 days", lateness: str = "0 seconds", max_files_per_trigger: int | None = None, max_state_rows: int = 200_000, partitions: int | None = None
+    spark: SparkSession, messages_path: str, samples: DataFrame, timeout: str = "14 days", lateness: str | None = None, batch_bytes: int = BATCH_BYTES, files_per_batch: int | None = None, partitions: int | None = None
 ) -> DataFrame:
     """The turns ``session_id, turn_no, uid, role`` of each sound conversation of a table of messages.
 
-    The parquet at ``messages_path`` is read as a stream of all its files (``trigger(availableNow)``) and
-    grouped in keyed state with an event-time watermark; see ``conversation_stream``. When the files
-    are used up, a closing row moves the watermark past every session, so all conversations still open
-    time out and are validated. By default all files form one micro-batch and no row can be late; with
-    ``max_files_per_trigger`` the stream is read in bounded batches, and ``lateness`` (and
-    ``timeout``) must then cover the disorder between files.
+    The parquet at ``messages_path`` is read as a stream in micro-batches of ``batch_bytes`` (or ``files_per_batch`` files) and buffered in
+    keyed state with an event-time watermark; see ``conversation_stream``. A piece of a conversation leaves the
+    state when nothing has arrived for it in ``timeout``; when the files are used up, a closing row moves
+    the watermark past all that are still open. ``validated`` judges the closed conversations.
 
-    Rows with a null session belong to none; rows of a repeated uid count once (rows with a null uid each
-    count); a conversation without any message_index is ordered by timestamp, equal ones by uid; negative
-    positions make a conversation unsound. Samples that aren't known have no names; roles are then judged by words alone.
+    No row is lost to the watermark: ``lateness`` is by default the disorder of the files (``arrival_disorder``),
+    and if one given is too short, so that closed rows are fewer than stored ones, an error says how many. A row that comes
+    after its conversation was closed opens it again, and both parts are judged together; so neither ``timeout`` nor ``lateness`` changes the result.
 
-    A session with more than ``max_state_rows`` rows would be too large for one state value; such
-    sessions take the same tests as distributed aggregates and running sums (``large_conversations``).
+    Rows with a null session belong to none; rows of a repeated uid count once (rows with a null uid each
+    count; rows of one uid that contradict each other by more than a piece of positions count once for each piece); a conversation without any
+    message_index is ordered by timestamp, equal ones by uid; negative positions make a conversation
+    unsound. Samples that aren't known have no names; roles are then judged by words alone. A null ``ingested_at`` is the earliest arrival.
     """
     static = spark.read.parquet(messages_path)
-    # At most one session for every max_state_rows rows passes this, so the list stays small.
-    large = [r[0] for r in static.groupBy("session_id").count().where(f"session_id is not null and count > {max_state_rows}").select("session_id").collect()]
-    small = lambda df: df.where(~F.col("session_id").isin(large) | F.col("session_id").isNull()) if large else df
-
-    out, state, closing = (shared_path(spark, f"conversations-{x}") for x in ("turns", "state", "closing"))
+    out, state, closing = (shared_path(spark, f"conversations-{x}") for x in ("closed", "state", "closing"))
     fields = [f for f in static.schema if f.name in ("uid", "session_id", "sample_id", "role", "message_index", "timestamp", "text_content", "ingested_at")]
     schema = T.StructType(fields)
     spark.createDataFrame([], schema).write.parquet(closing)
     glob = f"{messages_path[:-1]}[{messages_path[-1]}]"  # a stream may read one file only by a pattern
+    lateness = lateness or f"{arrival_disorder(static)} seconds"
+    limit = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", batch_bytes)
 
     def close() -> None:
         row = {f.name: None for f in fields} | {"session_id": "", "ingested_at": CLOSING, "uid": ""}
         spark.createDataFrame([tuple(row[f.name] for f in fields)], schema).coalesce(1).write.mode("append").parquet(closing)
 
     def run() -> None:
-        reader = spark.readStream.schema(static.schema)
-        if max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        stream = reader.parquet(glob).select(*schema.fieldNames()).unionByName(spark.readStream.schema(schema).parquet(closing))
-        turns = conversation_stream(small(stream), samples, timeout, lateness)
-        query = turns.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", state).option("path", out).start()
+        stream = spark.readStream.schema(static.schema).option(*limit).parquet(glob).select(*schema.fieldNames()).unionByName(spark.readStream.schema(schema).parquet(closing))
+        pieces = conversation_stream(stream, samples, timeout, lateness)
+        query = pieces.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", state).option("path", out).start()
         query.awaitTermination()
 
     with setting(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, **({"spark__sql__shuffle__partitions": str(partitions)} if partitions else {})):
-        if max_files_per_trigger:
-            run()
+        run()
         close()
         run()
-    drop_shared(spark, state)
-    found = spark.read.schema(TURNS).parquet(out)
-    if large:
-        found = found.unionByName(large_conversations(_slim(static.where(F.col("session_id").isin(large)), samples)))
-    return found
-
-
-def large_conversations(slim: DataFrame, rows_per_bucket: int = 100_000) -> DataFrame:
-    """The same tests and numbering without gathering a session in one place: soundness from aggregates,
-    turn numbers from running sums over buckets of positions or of hours."""
-    first = F.min_by(F.struct("at", "ts", "role", "blank"), F.struct("arrived", "at", "ts", "role", "blank")).alias("x")
-    with_uid = slim.where("uid is not null").groupBy("session_id", "uid").agg(first).select("session_id", "uid", "x.*")
-    once = with_uid.unionByName(slim.where("uid is null").select(*with_uid.columns))
-    spoken = ~F.col("blank") & (F.col("role") != "system")
-    summary = once.groupBy("session_id").agg(
-        F.count("*").alias("n"), F.count("at").alias("placed"), F.min("at").alias("low"), F.max("at").alias("high"),
-        F.count("ts").alias("timed"), F.count("role").alias("told"),
-    )
-    distinct = once.where("at is not null").select("session_id", "at").distinct().groupBy("session_id").count()
-    summary = summary.join(distinct, "session_id", "left").where(
-        "told = n and ((placed = 0 and timed = n) or (placed = n and count = n and low = 0 and high = n - 1))"
-    ).select("session_id", (F.col("placed") > 0).alias("by_position"))
-    kept = once.join(summary, "session_id").withColumn("pos", F.when(F.col("by_position"), F.col("at").cast("double")).otherwise(F.col("ts")))
-    order = F.struct("pos", "uid")
-    ends = kept.where(spoken).groupBy("session_id").agg(F.min_by("role", order).alias("first"), F.max_by("role", order).alias("last")).where("first = 'user' and last = 'assistant'")
-    turns = kept.where(~F.col("blank")).join(ends.select("session_id"), "session_id").withColumn("bucket", F.floor(F.col("pos") / F.when(F.col("by_position"), rows_per_bucket).otherwise(3600.0)))
-    numbered = running_sum(turns, ["session_id"], "bucket", [F.col("pos"), F.col("uid")], F.lit(1), "turn_no")
-    return numbered.select("session_id", F.col("turn_no").cast("int").alias("turn_no"), "uid", "role")
+    closed = spark.read.schema(PIECES).parquet(out)
+    stored, found = static.where("session_id is not null").count(), closed.agg(F.sum("n_rows")).first()[0] or 0
+    # The closing row never leaves the state itself.
+    if stored != found:
+        raise ValueError(f"{stored - found} of {stored} message rows arrived later than {lateness} behind others and were dropped; give a longer lateness")
+    turns = validated(closed)
+    for path in (state, closing, out):
+        drop_shared(spark, path)
+    return turns

@@ -1,8 +1,10 @@
 import datetime as dt
+import time
 
 import pytest
 
-from palimpsest.llm.conversations import _slim, large_conversations, rebuild_conversations
+from palimpsest.llm import conversations
+from palimpsest.llm.conversations import arrival_disorder, rebuild_conversations
 from palimpsest.session import shared_path
 
 SCHEMA = "uid string, sample_id string, session_id string, role string, message_index int, timestamp double, text_content string, ingested_at timestamp_ntz, blank string"
@@ -50,15 +52,35 @@ def test_sound_conversations(spark, samples):
     assert shown(rebuild_conversations(spark, stored(spark, ROWS), samples)) == WANT
 
 
-def test_in_bounded_batches(spark, samples):
-    path = stored(spark, ROWS, 6)
-    assert shown(rebuild_conversations(spark, path, samples, lateness="30 days", max_files_per_trigger=1)) == WANT
+def in_turn(spark, parts):
+    """A table whose files were written one after the other."""
+    path = shared_path(spark, "messages") + ".parquet"
+    for rows in parts:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    return path
 
 
-def test_sessions_too_large_for_state(spark, samples):
-    path = stored(spark, ROWS)
-    assert shown(rebuild_conversations(spark, path, samples, max_state_rows=3)) == WANT
-    assert shown(large_conversations(_slim(spark.read.parquet(path), samples), rows_per_bucket=2)) == WANT
+def test_late_rows_in_bounded_batches(spark, samples):
+    # a2 comes 15 hours after its conversation, behind rows of later ones; "Z" closes in between and opens again.
+    later = [row("z0", "Z", "user", 0, minute=100), row("y0", "Y", "user", 0, minute=90_000), row("y1", "Y", "bot", 1, minute=90_001), row("z1", "Z", "bot", 1, minute=200_000), row("z0", "Z", "user", 0, minute=200_001)]
+    parts = [ROWS[1:4], later[:3], later[3:], [ROWS[0], *ROWS[4:]]]
+    path = in_turn(spark, parts)
+    want = sorted([*WANT, ("Y", 1, "y0"), ("Y", 2, "y1"), ("Z", 1, "z0"), ("Z", 2, "z1")])
+    assert arrival_disorder(spark.read.parquet(path)) == 200_001 * 60
+    assert shown(rebuild_conversations(spark, path, samples, timeout="1 hour", files_per_batch=1)) == want
+    with pytest.raises(ValueError, match="of 31 message rows arrived later"):
+        rebuild_conversations(spark, path, samples, timeout="1 hour", lateness="1 minute", files_per_batch=1)
+
+
+def test_conversations_in_many_pieces(spark, samples, monkeypatch):
+    monkeypatch.setattr(conversations, "PIECE_POSITIONS", 2)
+    monkeypatch.setattr(conversations, "PIECE_SECONDS", 5)
+    monkeypatch.setattr(conversations, "PIECES_PER_BUCKET", 2)
+    long = [row(f"m{i:02d}", "M", "user" if i % 2 == 0 else "bot", i, minute=(i * 7) % 20) for i in range(20)]
+    long += [row(f"n{i}", "N", "user" if i % 2 == 0 else "bot", ts=3.0 * i + 1, text="" if i == 2 else "x") for i in range(6)] + [row(f"o{i}", "O", "user" if i % 2 == 0 else "bot", i) for i in range(8) if i != 5]
+    want = sorted([*WANT, *(("M", i + 1, f"m{i:02d}") for i in range(20)), *(("N", i + 1, u) for i, u in enumerate(["n0", "n1", "n3", "n4", "n5"]))])
+    assert shown(rebuild_conversations(spark, stored(spark, ROWS + long), samples)) == want
 
 
 def test_empty_table(spark, samples):
