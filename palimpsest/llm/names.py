@@ -7,12 +7,21 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.components import connected_components
-from palimpsest.session import ship, written
+from palimpsest.session import Scratch, ship, written
+
+#: Keys that a cell is meant to have; a group gets a pivot for so many of its keys.
+CELL_SIZE = 16
+#: Longer keys aren't measured against pivots but lie in cells by length, which is the distance from the empty key.
+LONGEST_MEASURED = 64
+#: Keys of a group, and members of a group of entities, that one task compares with the others.
+SALT_ROWS = 50_000
 
 # Short forms of given names.
 NICKNAMES: dict[str, str] = {
@@ -184,52 +193,125 @@ def readings(entities: DataFrame) -> DataFrame:
     return spelled.where("trim(spelling) <> ''").distinct().mapInPandas(_read, READING)
 
 
-def _variants(key: Column) -> Column:
-    """The key and what it is without any one of its characters."""
-    return F.array_distinct(F.concat(F.array(key), F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, F.length(key))))))
-
-
 def within_one_edit(a: Column, b: Column) -> Column:
-    """Levenshtein distance 1 at most, or 2 by moving one character."""
-    moved = (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
-    return (F.levenshtein(a, b) <= 1) | moved
-
+    """Whether the true edit distance (insertions, deletions, substitutions, swaps of neighbours) is 1 at most."""
+    d = F.levenshtein(a, b, 2)
+    apart = F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    swapped = (F.size(apart) == 2) & (F.get(apart, F.lit(1)) - F.get(apart, F.lit(0)) == 1) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
+    return F.when((d >= 0) & (d <= 1), True).when((d == 2) & (F.length(a) == F.length(b)), swapped).otherwise(False)
+
+
+def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """The distance of each pair: least insertions, deletions, substitutions and swaps of neighbours, where a
+    swapped pair may be edited further. That makes it a metric, so the triangle inequality holds."""
+    order = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    out = np.zeros(len(a), dtype=np.int16)
+    rank = np.argsort(order, kind="stable")
+    for at in range(0, len(rank), 20_000):  # pairs of about the same length together
+        part = rank[at : at + 20_000]
+        out[part] = _distances([a[i] for i in part], [b[i] for i in part])
+    return out
 
-def radius_join(keys: DataFrame, cell_size: int = 20_000, max_pivots: int = 64) -> DataFrame:
-    """Pairs ``group, a, b`` (a <= b) of the distinct ``group, key`` within one edit, each key with itself too.
 
-    Metric-space partitioning with the Levenshtein distance, in which one edit or swap is a radius of at
-    most 2. A group with more than ``cell_size`` keys gets a pivot, drawn by hash, for each
-    ``cell_size`` of them (``max_pivots`` at most, a bound on the comparisons with pivots, not on results); a key's home is the cell of
-    the nearest pivot at distance d, and it is also put into every cell whose pivot is within d + 4,
-    the triangle inequality's bound for holding a partner. Inside a cell, keys meet if they share a form
-    with at most one character left out, which all pairs of the radius do, and the distance is verified. Both steps are
-    equi-joins, so neither a large group nor a cell is compared pair by pair.
+def _padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    codes = np.zeros((len(words), max(1, int(lengths.max()))), dtype=np.uint32)
+    codes[np.arange(codes.shape[1]) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return codes, lengths
+
+
+def _distances(a: list[str], b: list[str]) -> np.ndarray:
+    x, nx = _padded(a)
+    y, ny = _padded(b)
+    n, every = len(a), np.arange(len(a))
+    cost = np.zeros((x.shape[1] + 1, y.shape[1] + 1, n), dtype=np.int16)
+    cost[:, 0] = np.arange(x.shape[1] + 1, dtype=np.int16)[:, None]
+    cost[0] = np.arange(y.shape[1] + 1, dtype=np.int16)[:, None]
+    row_of = np.zeros((y.shape[1] + 1, n), dtype=np.int64)  # the last row before with the column's character
+    for i in range(1, x.shape[1] + 1):
+        column_of = np.zeros(n, dtype=np.int64)  # the last column before with the row's character
+        for j in range(1, y.shape[1] + 1):
+            same = x[:, i - 1] == y[:, j - 1]
+            best = np.minimum(np.minimum(cost[i - 1, j], cost[i, j - 1]) + 1, cost[i - 1, j - 1] + ~same)
+            r, c = row_of[j], column_of
+            can = np.flatnonzero((r > 0) & (c > 0))
+            if len(can):
+                swap = cost[r[can] - 1, c[can] - 1, can] + (i - r[can] - 1) + (j - c[can] - 1) + 1
+                best[can] = np.minimum(best[can], swap)
+            cost[i, j] = best
+            column_of = np.where(same, j, column_of)
+            row_of[j] = np.where(same, i, row_of[j])
+    return cost[nx, ny, every]
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of keys (``group, key, parts, pivots``): the nearest pivot's, its home, and those within the bound."""
+    for batch in batches:
+        keys, lists = batch.column(1).to_pylist(), batch.column(3)
+        sizes = np.diff(lists.offsets.to_numpy())
+        pivots = lists.values[lists.offsets[0].as_py() : lists.offsets[-1].as_py()].to_pylist()
+        row = np.repeat(np.arange(len(keys)), sizes)
+        d = edit_distances([keys[i] for i in row], pivots)
+        first = np.cumsum(sizes) - sizes
+        nearest = np.minimum.reduceat(d, first) if len(d) else d
+        at = np.flatnonzero(d <= nearest[row] + 2)
+        # The home is the first of the nearest pivots; a key has one.
+        closest = np.flatnonzero(d == nearest[row])
+        home = closest[np.r_[True, row[closest][1:] != row[closest][:-1]]] if len(closest) else closest
+        own = np.isin(at, home)
+        at_row = pa.array(row[at])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at_row), batch.column(1).take(at_row), batch.column(2).take(at_row), pa.array([pivots[i] for i in at], pa.string()), pa.array(own), pa.array(d[at].astype(np.int32))],
+            names=["group", "key", "parts", "cell", "own", "d"],
+        )
+
+
+PLACED = "group string, key string, parts int, cell string, own boolean, d int"
+
+
+def cells(keys: DataFrame, cell_size: int = CELL_SIZE) -> DataFrame:
+    """Metric-space partitioning of ``group, key, n`` (``n`` spellings have the key): ``group, key, parts, cell, own, d``.
+
+    Every group has pivots, one for each ``cell_size`` of its keys up to the square of ``cell_size``, then as many as the root of
+    the number of keys, so that neither the pivots nor a cell grow faster than that. A pivot is the commonest
+    key of its share of the keys by hash. A key's home is the cell of the nearest pivot, at distance d, and the
+    key is copied into every cell whose pivot is within d + 2: if a partner within distance 1 has its home at
+    p, it is at most d + 1 from p by the triangle inequality, or p wouldn't be its nearest, so the key is at most d + 2 from p.
+    ``parts`` is over how many tasks the comparisons of a large group's cells are spread.
     """
-    keys = written(keys.select("group", "key").where("key is not null").distinct(), "keys")
-    sizes = keys.groupBy("group").count().where(F.col("count") > cell_size)
-    large = sizes.select("group", F.least(F.ceil(F.col("count") / cell_size), F.lit(max_pivots)).cast("int").alias("m"), "count")
-    if large.isEmpty():
-        return _within_cells(keys.select("group", "key", F.lit("").alias("cell"), F.lit(True).alias("own")), keys)
-    drawn = keys.join(large, "group").where(F.pmod(F.xxhash64("key"), F.col("count")) < F.col("m") * 16)
-    by_hash = Window.partitionBy("group").orderBy(F.xxhash64("key"), "key")
-    pivots = drawn.withColumn("i", F.row_number().over(by_hash)).where("i <= m").select("group", F.col("key").alias("pivot"))
-    far = keys.join(pivots, "group").select("group", "key", "pivot", F.levenshtein("key", "pivot").alias("d"))
-    nearest = far.groupBy("group", "key").agg(F.min(F.struct("d", "pivot")).alias("home"), F.collect_list(F.struct("d", "pivot")).alias("all"))
-    split = nearest.select("group", "key", "home", F.explode(F.filter("all", lambda x: x.d <= F.col("home.d") + 4)).alias("at")).select(
-        "group", "key", F.col("at.pivot").alias("cell"), (F.col("at.pivot") == F.col("home.pivot")).alias("own")
-    )
-    whole = keys.join(pivots.select("group").distinct(), "group", "left_anti").select("group", "key", F.lit("").alias("cell"), F.lit(True).alias("own"))
-    return _within_cells(whole.unionByName(split), keys)
-
-
-def _within_cells(cells: DataFrame, keys: DataFrame) -> DataFrame:
-    """Exact radius joins inside cells: ``group, key, cell, own`` (whether the cell is the key's home)."""
-    placed = cells.select("*", F.explode(_variants(F.col("key"))).alias("form"))
-    x = placed.where("own").select("group", "cell", "form", F.col("key").alias("a"))
-    y = placed.select("group", "cell", "form", F.col("key").alias("b"))
-    near = x.join(y, ["group", "cell", "form"]).where(F.col("a") != F.col("b")).select("group", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return near.where(within_one_edit(F.col("a"), F.col("b"))).unionByName(keys.select("group", F.col("key").alias("a"), F.col("key").alias("b")))
+    ship(keys.sparkSession)
+    size = keys.groupBy("group").agg(F.count("*").alias("keys"))
+    m = F.ceil(F.col("keys") / F.greatest(F.lit(float(cell_size)), F.sqrt("keys"))).cast("int")
+    size = size.select("group", m.alias("m"), F.ceil(F.col("keys") / SALT_ROWS).cast("int").alias("parts"))
+    short, long = (keys.where(c) for c in (f"length(key) <= {LONGEST_MEASURED}", f"length(key) >= {LONGEST_MEASURED}"))
+    share = F.pmod(F.xxhash64("key"), F.col("m"))
+    drawn = short.join(size, "group").groupBy("group", "m", "parts", share.alias("share")).agg(F.max_by("key", F.struct("n", "key")).alias("pivot"))
+    pivots = drawn.groupBy("group", "parts").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))  # as many as the root of the keys
+    salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mine = short.join(size.select("group", "parts"), "group").withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
+    measured = mine.join(salted.select("group", "salt", "pivots"), ["group", "salt"]).select("group", "key", "parts", "pivots").mapInArrow(_place, PLACED)
+    length = F.length("key")
+    ring = F.when(length == LONGEST_MEASURED, F.array(length + 1)).otherwise(F.array(length, length - 1, length + 1))
+    long = long.join(size.select("group", "parts"), "group").withColumn("ring", F.explode(ring)).where(f"ring > {LONGEST_MEASURED}")
+    return measured.unionByName(long.select("group", "key", "parts", F.concat(F.lit("length "), "ring").alias("cell"), (F.col("ring") == length).alias("own"), length.alias("d")))
+
+
+def radius_join(keys: DataFrame, cell_size: int = CELL_SIZE) -> DataFrame:
+    """Pairs ``group, a, b`` (a < b) of the distinct ``group, key`` within one edit or swap of neighbours. Null keys have no partner.
+
+    Keys meet in the cells of ``cells``: those at home in a cell, with all that are in it. Keys whose distances from the pivot differ by
+    more than 1 can't be partners, again by the triangle inequality; the others are compared by their distance.
+    The comparisons of a large group are spread over ``parts`` tasks a cell.
+    """
+    counted = keys.select("group", "key").where("group is not null and key is not null").groupBy("group", "key").agg(F.count("*").alias("n"))
+    with Scratch(keys.sparkSession) as scratch:
+        placed = scratch.keep(cells(scratch.keep(counted, "keys"), cell_size), "cells")
+        x = placed.where("own").select("group", "cell", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.col("key").alias("a"), F.col("d").alias("da"))
+        y = placed.select("group", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("b"), F.col("d").alias("db"), F.col("own").alias("at_home"))
+        # A pair with one home is met twice there; once is enough.
+        met = x.join(y, ["group", "cell", "part"]).where((F.abs(F.col("da") - F.col("db")) <= 1) & (F.abs(F.length("a") - F.length("b")) <= 1) & ((F.col("a") < F.col("b")) | (~F.col("at_home") & (F.col("a") > F.col("b")))))
+        near = met.where(within_one_edit(F.col("a"), F.col("b"))).select("group", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return written(near, "near-keys")
 
 
 def _word_fits(a: Column, b: Column) -> Column:
@@ -239,58 +321,101 @@ def _word_fits(a: Column, b: Column) -> Column:
     return (a.word == b.word) | by_edit | short
 
 
-def link_entities(entities: DataFrame, cell_size: int = 20_000) -> DataFrame:
+def _both_ways(near: DataFrame) -> DataFrame:
+    return near.unionByName(near.select("group", F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _person_links(forms: DataFrame, near: DataFrame) -> DataFrame:
+    """Links ``p, q`` of full readings of persons: each hangs on a node for (group, key, given name) it may have, and such nodes are
+    linked if their keys are near and their given names equal, or unknown and near. A common surname thus has as many links as readings, not pairs."""
+    hub = lambda key, name: F.concat_ws("|", F.lit("h:"), "group", key, name)
+    hung = forms.select("form", "group", "key", F.explode("names").alias("name"))
+    hubs = hung.select("group", "key", "name").distinct()
+    by_key = hubs.join(near.select("group", F.col("a").alias("key"), F.col("b").alias("key_2")), ["group", "key"]).unionByName(hubs.withColumn("key_2", F.col("key")))
+    strange = near.select("group", F.col("a").alias("name"), F.col("b").alias("name_2")).where(F.startswith("name", F.lit("?")) & F.startswith("name_2", F.lit("?")))
+    by_both = by_key.join(strange, ["group", "name"]).unionByName(by_key.withColumn("name_2", F.col("name"))).where("key <> key_2 or name <> name_2")
+    known = hubs.select("group", F.col("key").alias("key_2"), F.col("name").alias("name_2"))
+    across = by_both.join(known, ["group", "key_2", "name_2"], "left_semi").select(hub("key", "name").alias("p"), hub("key_2", "name_2").alias("q"))
+    return hung.select(F.col("form").alias("p"), hub("key", "name").alias("q")).unionByName(across)
+
+
+def _organisation_links(forms: DataFrame, near: DataFrame) -> DataFrame:
+    """Links ``p, q`` of full readings of organisations with near keys, as many other words, each fitting one of the other's, and
+    legal forms that don't differ. So that a common word as key doesn't join all its readings, a reading also meets by its rarest other word:
+    by the word and those near to it, or by the first letter where either word is shortened."""
+    x = forms.select("form", "group", "key", F.size("rest").alias("others"), "rest", "legal")
+    words = x.where("others > 0").select("form", "group", F.explode("rest").alias("w"))
+    rare = words.groupBy("group", F.col("w.word").alias("word")).agg(F.count("*").alias("n"))
+    vague = (F.col("w.short") != "") | (F.length("w.word") < 4)
+    chosen = words.withColumn("word", F.col("w.word")).join(rare, ["group", "word"]).groupBy("form").agg(F.min_by("w", F.struct(vague, "n", "w")).alias("w"))
+    signed = lambda kind, c: F.concat(F.lit(kind), c)
+    first = F.substring("w.word", 1, 1)
+    one = x.where("others > 0").join(chosen, "form")
+    by_word = one.join(near.select("group", F.col("a").alias("_a"), F.col("b").alias("_b")).withColumnRenamed("group", "_group"), (F.col("group") == F.col("_group")) & (F.col("w.word") == F.col("_a"))).select(*x.columns, signed("w:", F.col("_b")).alias("sign"))
+    itself = one.select(*x.columns, F.explode(F.array(signed("w:", F.col("w.word")), F.when(F.col("w.short") == "", signed("s:", first)).otherwise(signed("f:", first)))).alias("sign"))
+    alone = x.where("others = 0").withColumn("sign", F.lit(""))
+    left = by_word.unionByName(itself).unionByName(alone)
+    left = left.join(near.select("group", F.col("a").alias("key"), F.col("b").alias("key_2")), ["group", "key"]).unionByName(left.withColumn("key_2", F.col("key")))
+    signs = F.flatten(F.transform("rest", lambda w: F.array_compact(F.array(signed("w:", w.word), signed("f:", F.substring(w.word, 1, 1)), F.when(w.short != "", signed("s:", F.substring(w.word, 1, 1)))))))
+    right = x.select(F.col("form").alias("y_form"), "group", F.col("key").alias("key_2"), "others", F.col("rest").alias("y_rest"), F.col("legal").alias("y_legal"), F.explode(F.when(F.col("others") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(signs))).alias("sign"))
+    met = left.join(right, ["group", "key_2", "others", "sign"]).where("form <> y_form")
+    fits = lambda p, q: F.forall(p, lambda u: F.exists(q, lambda v: _word_fits(u, v)))
+    legal = (F.col("legal") == "") | (F.col("y_legal") == "") | (F.col("legal") == F.col("y_legal"))
+    return met.where(legal & fits("rest", F.col("y_rest")) & fits("y_rest", F.col("rest"))).select(F.col("form").alias("p"), F.col("y_form").alias("q"))
+
+
+def link_entities(entities: DataFrame, cell_size: int = CELL_SIZE) -> DataFrame:
     """``entity_id, group_id``: entities of one sample and type that are the same person or organisation
     share a group, named by its smallest entity.
 
-    Spellings are read into a key (surname, or a word of the organisation's name) and the rest. Keys are
-    linked by ``radius_join`` within the sample. Two full readings of persons are the same if their
-    given names may be (short forms and typing errors count); of organisations, if the other words fit and the legal forms don't
+    Spellings are read into a key (surname, or a word of the organisation's name) and the rest. Keys, other words and unknown given
+    names are linked by ``radius_join`` within the sample. Two full readings of persons are the same if their
+    keys are near and their given names may be (short forms and typing errors count); of organisations, if the other words fit and the legal forms don't
     differ. An entity spelled only with an initial, or as an acronym, joins the only group of its sample
     that it fits; if there are several, none.
     """
-    found = readings(entities).withColumn("group", F.concat_ws("|", "entity_type", "sample_id"))
-    form = F.xxhash64("group", "kind", "key", F.array_join("names", "|"), F.array_join("firsts", "|"), F.to_json("rest"), "legal")
-    found = written(found.withColumn("form", F.concat(F.lit("f:"), F.hex(form))), "readings")
-    # The same reading in many entities is one node; the entities hang on it.
-    forms = found.where("kind <> 'acronym'").dropDuplicates(["form"]).select("form", "group", "entity_type", "kind", "key", "names", "firsts", "rest", "legal")
-    near = written(radius_join(forms.select("group", "key"), cell_size), "near-names")
-    near = near.unionByName(near.where("a <> b").select("group", F.col("b").alias("a"), F.col("a").alias("b")))
-    x = forms.select("group", F.col("key").alias("a"), *(F.col(c).alias(f"x_{c}") for c in ("form", "entity_type", "kind", "names", "firsts", "rest", "legal")))
-    y = forms.select("group", F.col("key").alias("b"), *(F.col(c).alias(f"y_{c}") for c in ("form", "kind", "names", "firsts", "rest", "legal")))
-    met = near.join(x, ["group", "a"]).join(y, ["group", "b"]).where("x_form < y_form or x_kind <> y_kind")
-    unknown = lambda c: F.startswith(F.get(c, F.lit(0)), F.lit("?"))
-    strange = unknown(F.col("x_names")) & unknown(F.col("y_names")) & within_one_edit(F.get("x_names", F.lit(0)), F.get("y_names", F.lit(0)))
-    person = (F.col("x_entity_type") == "Person") & (F.arrays_overlap("x_names", "y_names") | strange)
-    fits = lambda p, q: F.forall(p, lambda u: F.exists(q, lambda v: _word_fits(u, v)))
-    legal = (F.col("x_legal") == "") | (F.col("y_legal") == "") | (F.col("x_legal") == F.col("y_legal"))
-    organisation = (F.col("x_entity_type") == "Organization") & legal & (F.size("x_rest") == F.size("y_rest")) & fits(F.col("x_rest"), F.col("y_rest")) & fits(F.col("y_rest"), F.col("x_rest"))
-    strong = met.where((F.col("x_kind") == "full") & (F.col("y_kind") == "full") & (person | organisation)).select(F.col("x_form").alias("p"), F.col("y_form").alias("q"))
-    own = found.where("kind = 'full'").select(F.concat(F.lit("e:"), "entity_id").alias("p"), F.col("form").alias("q"))
-    nodes = written(connected_components(own.unionByName(strong), "p", "q"), "name-groups")
-
-    # Entities with nothing but initials or acronyms.
-    weak = written(found.join(found.where("kind = 'full'").select("entity_id").distinct(), "entity_id", "left_anti").select("entity_id", "kind", "form", "group", "key", "firsts"), "weak-names")
-    full = written(found.where("kind = 'full'").select("form", "group", "key", "firsts").distinct().join(nodes.withColumnRenamed("node", "form"), "form").select("group", "key", F.explode("firsts").alias("first"), "component").distinct(), "full-names")
-    initial = weak.where("kind = 'initial'").select("entity_id", "form", "group", "key", F.get("firsts", F.lit(0)).alias("first"))
-    wanted = near.join(initial.select("group", F.col("key").alias("a")).distinct(), ["group", "a"], "left_semi")
-    at_key = wanted.join(full.select("group", F.col("key").alias("b"), "first", "component"), ["group", "b"]).groupBy("group", F.col("a").alias("key"), "first").agg(F.collect_set("component").alias("c"))
-    fitted = written(initial.join(at_key, ["group", "key", "first"], "left").select("entity_id", "form", "c"), "initials")
-    sorted_letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    letters = full.where(F.startswith("group", F.lit("Organization"))).groupBy("group", sorted_letters(F.col("first")).alias("letters")).agg(F.collect_set("component").alias("c"))
-    acronym = weak.where("kind = 'acronym'").select("entity_id", "group", sorted_letters(F.col("key")).alias("letters"))
-    fitting = fitted.where("c is not null").select("entity_id", "c").unionByName(acronym.join(letters, ["group", "letters"]).select("entity_id", "c"))
-    only = fitting.groupBy("entity_id").agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("c")).where("size(c) = 1").select(F.concat(F.lit("e:"), "entity_id").alias("node"), F.get("c", F.lit(0)).alias("component"))
-    # Initials of one surname that fit no full name are one person.
-    alone = fitted.where("c is null").select(F.concat(F.lit("e:"), "entity_id").alias("node"), F.col("form").alias("component"))
-    every = nodes.where(F.startswith("node", F.lit("e:"))).unionByName(only).unionByName(alone)
-    member = written(every.groupBy("node").agg(F.min("component").alias("component")), "members")
-    named = member.groupBy("component").agg(F.min("node").alias("group_node"))
-    return member.join(named, "component").select(F.expr("substring(node, 3)").alias("entity_id"), F.expr("substring(group_node, 3)").alias("group_id"))
-
-
-def same_pairs(entities: DataFrame, cell_size: int = 20_000) -> DataFrame:
-    """All pairs ``entity_id_a < entity_id_b`` of a group."""
-    member = written(link_entities(entities, cell_size), "entities")
-    x, y = member.select(F.col("entity_id").alias("entity_id_a"), "group_id"), member.select(F.col("entity_id").alias("entity_id_b"), "group_id")
-    return x.join(y, "group_id").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b")
+    with Scratch(entities.sparkSession) as scratch:
+        found = readings(entities).withColumn("group", F.concat_ws("|", "entity_type", "sample_id"))
+        form = F.xxhash64("group", "kind", "key", F.array_join("names", "|"), F.array_join("firsts", "|"), F.to_json("rest"), "legal")
+        found = scratch.keep(found.withColumn("form", F.concat(F.lit("f:"), F.hex(form))), "readings")
+        # The same reading in many entities is one node; the entities hang on it.
+        forms = scratch.keep(found.where("kind <> 'acronym'").dropDuplicates(["form"]).select("form", "group", "entity_type", "kind", "key", "names", "rest", "legal"), "forms")
+        words = F.concat(F.array("key"), F.filter("names", lambda n: F.startswith(n, F.lit("?"))), F.transform(F.filter("rest", lambda w: F.length(w.word) >= 4), lambda w: w.word))
+        near_once = radius_join(forms.select("group", F.explode(words).alias("key")), cell_size)
+        near = _both_ways(near_once)
+        full_forms = forms.where("kind = 'full'")
+        strong = _person_links(full_forms.where("entity_type = 'Person'"), near).unionByName(_organisation_links(full_forms.where("entity_type = 'Organization'"), near))
+        own = found.where("kind = 'full'").select(F.concat(F.lit("e:"), "entity_id").alias("p"), F.col("form").alias("q"))
+        nodes = connected_components(own.unionByName(strong), "p", "q").where(~F.startswith("node", F.lit("h:")))
+
+        # Entities with nothing but initials or acronyms.
+        weak = scratch.keep(found.join(found.where("kind = 'full'").select("entity_id").distinct(), "entity_id", "left_anti").select("entity_id", "kind", "form", "group", "key", "firsts"), "weak-names")
+        full = scratch.keep(found.where("kind = 'full'").select("form", "group", "key", "firsts").distinct().join(nodes.withColumnRenamed("node", "form"), "form").select("group", "key", F.explode("firsts").alias("first"), "component").distinct(), "full-names")
+        initial = weak.where("kind = 'initial'").select("entity_id", "form", "group", "key", F.get("firsts", F.lit(0)).alias("first"))
+        # Whether one component fits or several: the smallest and the largest say.
+        fit = (F.min("component").alias("low"), F.max("component").alias("high"))
+        asked = initial.select("group", "key", "first").distinct()
+        spelled = asked.join(near.select("group", F.col("a").alias("key"), F.col("b").alias("key_2")), ["group", "key"]).unionByName(asked.withColumn("key_2", F.col("key")))
+        at_key = spelled.join(full.select("group", F.col("key").alias("key_2"), "first", "component"), ["group", "key_2", "first"]).groupBy("group", "key", "first").agg(*fit)
+        fitted = scratch.keep(initial.join(at_key, ["group", "key", "first"], "left").select("entity_id", "form", "low", "high"), "initials")
+        sorted_letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+        letters = full.where(F.startswith("group", F.lit("Organization"))).groupBy("group", sorted_letters(F.col("first")).alias("letters")).agg(*fit)
+        acronym = weak.where("kind = 'acronym'").select("entity_id", "group", sorted_letters(F.col("key")).alias("letters"))
+        fitting = fitted.where("low is not null").select("entity_id", "low", "high").unionByName(acronym.join(letters, ["group", "letters"]).select("entity_id", "low", "high"))
+        only = fitting.groupBy("entity_id").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high").select(F.concat(F.lit("e:"), "entity_id").alias("node"), F.col("low").alias("component"))
+        # Initials of one surname that fit no full name are one person.
+        alone = fitted.where("low is null").select(F.concat(F.lit("e:"), "entity_id").alias("node"), F.col("form").alias("component"))
+        every = nodes.where(F.startswith("node", F.lit("e:"))).unionByName(only).unionByName(alone)
+        member = scratch.keep(every.groupBy("node").agg(F.min("component").alias("component")), "members")
+        named = member.groupBy("component").agg(F.min("node").alias("group_node"))
+        return written(member.join(named, "component").select(F.expr("substring(node, 3)").alias("entity_id"), F.expr("substring(group_node, 3)").alias("group_id")), "entities")
+
+
+def same_pairs(entities: DataFrame, cell_size: int = CELL_SIZE) -> DataFrame:
+    """All pairs ``entity_id_a < entity_id_b`` of a group. A large group's pairs are made in as many tasks as it has ``SALT_ROWS`` members."""
+    member = link_entities(entities, cell_size)
+    parts = member.groupBy("group_id").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("parts")).where("parts > 1")
+    spread = member.join(parts, "group_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = spread.select(F.col("entity_id").alias("entity_id_a"), "group_id", F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int").alias("part"))
+    y = spread.select(F.col("entity_id").alias("entity_id_b"), "group_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return x.join(y, ["group_id", "part"]).where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b")

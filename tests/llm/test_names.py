@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from palimpsest.llm.names import link_entities, one_edit, radius_join, same_pairs
+from palimpsest.llm.names import cells, edit_distances, link_entities, one_edit, radius_join, same_pairs
 
 SCHEMA = "entity_id string, sample_id string, name string, entity_type string, aliases array<string>, key string, group string"
 
@@ -11,20 +11,48 @@ def entities(spark, rows):
     return spark.createDataFrame([(i, s, n, t, a, "clash", "clash") for i, s, n, t, a in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("cell_size", [10_000, 25])
-def test_radius_join_against_all_pairs(spark, cell_size):
-    rng = random.Random(2)
-    keys = {("g", "".join(rng.choice("abcd") for _ in range(rng.randint(1, 7)))) for _ in range(150)} | {("h", "solo"), ("h", "sola")}
+def by_search(a, most):
+    """Strings within ``most`` edits of ``a`` over a small alphabet, with their distances."""
+    found, front = {a: 0}, {a}
+    for d in range(1, most + 1):
+        front = {x for w in front for i in range(len(w) + 1) for x in [w[:i] + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :], *(w[:i] + c + w[i:] for c in "ab"), *(w[:i] + c + w[i + 1 :] for c in "ab")]} - set(found)
+        found |= dict.fromkeys(front, d)
+    return found
+
+
+def test_the_distance_is_that_of_the_fewest_edits():
+    for a in ("", "ab", "aabb", "abab"):
+        want = by_search(a, 3)
+        words = [w for w in want if len(w) <= 5]
+        assert edit_distances([a] * len(words), words).tolist() == [want[w] for w in words]
+    assert edit_distances(["ca"], ["abc"]).tolist() == [2] and edit_distances([], []).tolist() == []
+
+
+def near_keys(rng):
+    keys = {("g", "".join(rng.choice("abcd") for _ in range(rng.randint(1, 7)))) for _ in range(150)} | {("h", "solo"), ("h", "sola"), ("i", "lone")}
+    for n in (63, 64, 65, 90):
+        keys |= {("g", "ab" * 100)} | {("g", ("xyz" * 40)[:n]), ("g", ("xyz" * 40)[:n] + "q"), ("g", "q" + ("xyz" * 40)[1:n])}
     for g, k in list(keys):
         i = rng.randrange(len(k))
-        keys.add((g, rng.choice([k[:i] + k[i + 1 :], k[:i] + "x" + k[i:], k[:i] + "x" + k[i + 1 :]]) or "z"))
-    got = {tuple(r) for r in radius_join(spark.createDataFrame(sorted(keys), "group string, key string"), cell_size).collect()}
-    for g, a in keys:
-        for h, b in keys:
-            if g == h and a <= b and one_edit(a, b):
-                assert (g, a, b) in got
-    # A character moved further than to its neighbour is the only other pair.
-    assert all(one_edit(a, b) or sorted(a) == sorted(b) for _, a, b in got)
+        keys.add((g, rng.choice([k[:i] + k[i + 1 :], k[:i] + "x" + k[i:], k[:i] + "x" + k[i + 1 :], k[:i] + k[i : i + 2][::-1] + k[i + 2 :]]) or "z"))
+    return sorted(keys)
+
+
+@pytest.mark.parametrize("cell_size", [1, 4, 16, 10_000])
+def test_radius_join_against_all_pairs(spark, cell_size, monkeypatch):
+    if cell_size == 4:
+        monkeypatch.setattr("palimpsest.llm.names.SALT_ROWS", 40)
+    keys = near_keys(random.Random(2))
+    got = sorted(tuple(r) for r in radius_join(spark.createDataFrame([*keys, keys[0], ("g", None), (None, "x")], "group string, key string"), cell_size).collect())
+    assert got == [(g, a, b) for g, a in keys for h, b in keys if g == h and a < b and one_edit(a, b)]
+
+
+def test_every_group_has_pivots(spark):
+    keys = spark.createDataFrame([(g, k, 1) for g, k in near_keys(random.Random(2))], "group string, key string, n bigint")
+    rows = [r for r in cells(keys, 8).collect() if not r.cell.startswith("length")]
+    homes = [(r.group, r.key) for r in rows if r.own]
+    assert len(homes) == len(set(homes)) and {g for g, _ in homes} == {"g", "h", "i"}
+    assert len({r.cell for r in rows if r.group == "g"}) > 8 and all(r.cell and r.d >= 0 for r in rows)
 
 
 def groups(df):
@@ -58,5 +86,14 @@ def test_organisations(spark):
     assert {tuple(r) for r in same_pairs(entities(spark, [rows[0], rows[1], rows[9]])).collect()} == {("1", "2")}
 
 
+def test_common_surnames_and_words(spark, monkeypatch):
+    monkeypatch.setattr("palimpsest.llm.names.SALT_ROWS", 3)
+    rows = [(f"a{i}", "s", f"{n} Zborowik", "Person", None) for i, n in enumerate(["Quenna", "Quena", "Thorvik", "Peter", "Pete", "Thorvick", "Xandu"])]
+    rows += [(f"o{i}", "s", n, "Organization", None) for i, n in enumerate(["National Marble Works", "Nationl Marble Wrks", "National Tulip Works", "Natl. Marble Works", "National Marb. Works", "National", "Natoinal"])]
+    rows += [("long", "s", "Anna " + "verylong" * 50, "Person", ["", "x" * 5000])]
+    assert groups(entities(spark, rows)) == sorted([["a0", "a1"], ["a2", "a5"], ["a3", "a4"], ["a6"], ["o0", "o1", "o3", "o4"], ["o2"], ["o5", "o6"], ["long"]])
+    assert {tuple(r) for r in same_pairs(entities(spark, [(f"e{i}", "s", "Bob Zborowik", "Person", None) for i in range(7)])).collect()} == {(f"e{i}", f"e{j}") for i in range(7) for j in range(i + 1, 7)}
+
+
 def test_empty(spark):
     assert same_pairs(entities(spark, [])).count() == 0
