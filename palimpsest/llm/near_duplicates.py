@@ -208,6 +208,14 @@ def _frequencies(records: DataFrame) -> np.ndarray:
     return sketch
 
 
+def _in_parts(blocks: DataFrame, crowded: DataFrame, hot: int) -> DataFrame:
+    """The rows of crowded blocks as blocks of two parts each, so that every two parts, and all of each, meet."""
+    parts = F.ceil(F.col("count") / hot).cast("int")
+    part = blocks.join(crowded.select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    both = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(2)) - 1)))
+    return both.select(F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "id", "n", "f0", "f1")
+
+
 def alike(sets: DataFrame, similarity: float = 0.8, hot: int = 20_000, depth: int = 2) -> DataFrame:
     """Pairs ``a < b`` of ``sets`` (``id bigint, words array<bigint>``, the words distinct and sorted, ids
     and word sets distinct) of which at least ``similarity`` of all words are in both. Exact; empty sets
@@ -223,7 +231,9 @@ def alike(sets: DataFrame, similarity: float = 0.8, hot: int = 20_000, depth: in
     the exact distance afterwards.
 
     A block shared by more than ``hot`` sets (a phrase that a third of all records contain) is not
-    joined but divided again, by frequencies within it, up to ``depth`` times.
+    joined but divided again, by frequencies within it, up to ``depth`` times. What is still crowded then, since
+    its sets differ in few words only, is split into parts of about ``hot`` sets, and every two parts are
+    compared in a task of their own.
     """
     rows = sets.where(F.size("words") > 0).select("id", "words")
     total = max(rows.count(), 1)
@@ -235,18 +245,20 @@ def alike(sets: DataFrame, similarity: float = 0.8, hot: int = 20_000, depth: in
         share = _best_share(level, sketch, similarity)
         blocks = _blocks(level, sketch, similarity, share)
         crowded = None
-        if total > hot and step < depth:
+        if total > hot:
             # Which blocks are divided changes no result, so a count over a sixteenth of the records will do.
             part = _blocks(level.where(F.pmod("id", F.lit(16)) == 0), sketch, similarity, share)
             crowded = written(part.groupBy("block").count().select("block", F.col("count") * 16).toDF("block", "count").where(F.col("count") > hot), "crowded")
             if crowded.isEmpty():
                 crowded = None
         calm = blocks.join(crowded.select("block"), "block", "left_anti") if crowded is not None else blocks
+        if crowded is not None and step == depth:
+            calm = calm.unionByName(_in_parts(blocks, crowded, hot))
         # One sort brings a block's records together; the pairs are made from them batch by batch.
         together = calm.repartition("block").sortWithinPartitions("block")
         pairs = together.mapInArrow(lambda batches, limit=limit: _near(batches, limit), "a bigint, b bigint").distinct()
         found = pairs if found is None else found.unionByName(pairs)
-        if crowded is None:
+        if crowded is None or step == depth:
             break
         level = blocks.join(crowded, "block").select(F.xxhash64("block").alias("salt"), F.col("count").cast("double").alias("members"), "id").join(rows, "id").select("salt", "members", "id", "words")
     verified = (

@@ -45,7 +45,9 @@ def test_crowded_blocks_are_divided(spark):
     sets = {i: s for s, i in {s: i for i, s in sets.items()}.items()}
     mix = {w: rng.getrandbits(63) for w in range(60)}
     df = spark.createDataFrame([(i, sorted(mix[w] for w in s)) for i, s in sets.items()], "id bigint, words array<bigint>")
-    assert {(r.a, r.b) for r in alike(df, 0.6, hot=40).collect()} == jaccard_pairs(sets, 0.6)
+    want = jaccard_pairs(sets, 0.6)
+    for depth in (2, 0):  # divided, and split into parts that are compared two by two
+        assert {(r.a, r.b) for r in alike(df, 0.6, hot=40, depth=depth).collect()} == want
 
 
 SCHEMA = "fact_id string, content string, retrieval_keys array<string>, words string, id int"
