@@ -17,12 +17,14 @@ from palimpsest.session import ship
 ORDER = 7
 #: Orders up to this one are counted over both classes together.
 SHARED = 2
-#: Most labelled documents of each class that the models are fitted on.
+#: Most labelled documents of each class that the models are fitted on, and the longest text among them, in characters.
 MAX_LABELLED = 4_000
+MAX_LABELLED_CHARS = 20_000
+#: Toxic labelled documents from which on the threshold is found from the labels.
+LEAST_TOXIC = 100
 #: Scores from which a passage of a toxic document counts as toxic, for each round of fitting.
 ROUNDS = (0.15, 0.4)
-#: Log-likelihood ratio a character above which a document is flagged. Of documents that the models weren't
-#: fitted on, next to none score between 0.35 and 0.7.
+#: Log-likelihood ratio a character above which a document is flagged where there are too few labels for finding it.
 THRESHOLD = 0.45
 
 # Letters of other scripts, digits and signs that are written for a Latin letter.
@@ -67,14 +69,23 @@ def normal(text: str) -> str:
     return _SPACE.sub(" ", text).strip()
 
 
-def passages(text: str | None) -> list[str]:
-    """The sentences and lines of a text, normalised, without the frames of logs and transcripts."""
-    out = []
+def passages(text: str | None) -> tuple[list[str], list[str]]:
+    """The sentences and lines of a text, normalised, and what stands beside them: the frames of lines of logs and transcripts, and
+    the Latin runs of Chinese, Japanese or Korean sentences. Those are names, for the most part, that would outweigh the few
+    ideographs, where each now stands as one sign. Every character is in some passage."""
+    main, beside = [], []
     for part in _SENTENCE.split(text or ""):
-        if part and (found := normal(_FRAME.sub("", part.strip()))):
-            # Latin runs in Chinese, Japanese or Korean sentences are names for the most part: as one sign they don't outweigh the few ideographs.
-            out.append(_LATIN_RUN.sub("x", found) if len(_IDEOGRAPH.findall(found)) >= 3 else found)
-    return out
+        part = part.strip()
+        frame = _FRAME.match(part)
+        if frame:
+            beside.append(normal(frame.group(0)))
+            part = part[frame.end() :]
+        found = normal(part)
+        if len(_IDEOGRAPH.findall(found)) >= 3 and (latin := _LATIN_RUN.findall(found)):
+            beside.append(" ".join(latin))
+            found = _LATIN_RUN.sub("x", found)
+        main.append(found)
+    return [p for p in main if p], [p for p in beside if p]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -206,13 +217,18 @@ def _continued(held: list, n: int, where: np.ndarray, below: list[Level], floor:
 class Scorer:
     """Compares the models of toxic and ordinary passages."""
 
-    def __init__(self, toxic: KneserNey, ordinary: KneserNey, threshold: float = 0.0, prior: int = 12):
+    def __init__(self, toxic: KneserNey, ordinary: KneserNey, threshold: float = THRESHOLD, prior: int = 12):
         self.toxic, self.ordinary, self.threshold, self.prior = toxic, ordinary, threshold, prior
 
     def passages(self, parts: list[str]) -> np.ndarray:
         """The length-normalised log-likelihood ratio of each passage; very short ones are drawn to 0."""
         if not parts:
             return np.zeros(0)
+        at: dict[str, int] = {}
+        where = [at.setdefault(p, len(at)) for p in parts]
+        return self._distinct(list(at))[where]
+
+    def _distinct(self, parts: list[str]) -> np.ndarray:
         out, start, size = [], 0, 0
         for i, p in enumerate(parts, 1):
             size += len(p) + ORDER
@@ -231,24 +247,30 @@ class Scorer:
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """The highest score among a text's passages; that of a text without any is the lowest, -10."""
-        split = [passages(t) for t in texts]
+        return self.split_documents([passages(t) for t in texts])
+
+    def split_documents(self, parted: list[tuple[list[str], list[str]]]) -> np.ndarray:
+        """The same for texts that are split into passages."""
+        split = [main + beside for main, beside in parted]
         sizes = np.fromiter((len(s) for s in split), dtype=np.int64, count=len(split))
         each = self.passages([p for s in split for p in s])
-        out = np.full(len(texts), -10.0)
-        np.maximum.at(out, np.repeat(np.arange(len(texts)), sizes), each)
+        out = np.full(len(split), -10.0)
+        np.maximum.at(out, np.repeat(np.arange(len(split)), sizes), each)
         return out
 
 
-def train(toxic_docs: list[list[str]], ordinary_docs: list[list[str]], rounds: tuple[float, ...] = ROUNDS) -> Scorer:
+Parted = list[tuple[list[str], list[str]]]
+
+
+def train(toxic_docs: Parted, ordinary_docs: Parted, rounds: tuple[float, ...] = ROUNDS) -> Scorer:
     """Fits the two models from labelled documents (as passages). Only some passages of a toxic document
-    are toxic: after a first fit on all of them, each round keeps the passages that the models tell apart and counts the others as ordinary."""
-    ordinary = [p for d in ordinary_docs for p in d]
-    toxic = [p for d in toxic_docs for p in d]
+    are toxic: after a first fit on all of them, each round keeps the passages that the models tell apart and counts the others as ordinary.
+    What stands beside the sentences of a toxic document tells nothing and is left out."""
+    ordinary = [p for d in ordinary_docs for part in d for p in part]
+    toxic = [p for main, _ in toxic_docs for p in main]
     pool, rest = toxic, []
     for least in rounds:
-        models = fit([pool, ordinary + rest])
-        scorer = Scorer(*models)
-        scores = scorer.passages(toxic)
+        scores = Scorer(*fit([pool, ordinary + rest])).passages(toxic)
         keep = scores > least
         if not keep.any():
             break
@@ -258,27 +280,61 @@ def train(toxic_docs: list[list[str]], ordinary_docs: list[list[str]], rounds: t
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """``doc_id, text, toxic`` of at most ``most`` labelled documents of each class, drawn by hash. A
+    """``doc_id, text, toxic, of, drawn`` of at most ``most`` labelled documents of each class, none longer than
+    ``MAX_LABELLED_CHARS``, drawn by hash; ``drawn`` of the class's ``of`` documents. A
     document's class is that of most of its opinions; null opinions and ties are left out."""
     votes = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.avg((F.col("label") != "none").cast("double")).alias("share")).where("share <> 0.5")
-    found = documents.select("doc_id", "text").where("trim(text) <> ''").join(votes, "doc_id").select("doc_id", "text", (F.col("share") > 0.5).alias("toxic"))
+    found = documents.select("doc_id", "text").where(f"trim(text) <> '' and length(text) <= {MAX_LABELLED_CHARS}").join(votes, "doc_id").select("doc_id", "text", (F.col("share") > 0.5).alias("toxic"))
+    sizes = found.groupBy("toxic").agg(F.count("*").alias("of")).withColumn("drawn", F.least("of", F.lit(most)))
     draw = lambda toxic: found.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "text").limit(most)
-    return draw(True).unionByName(draw(False))
+    return draw(True).unionByName(draw(False)).join(F.broadcast(sizes), "toxic").select("doc_id", "text", "toxic", "of", "drawn")
 
 
-def fit_scorer(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Scorer | None:
-    """The models of a bounded sample of labelled documents, fitted on the driver; None if a class is missing."""
-    rows = labelled_sample(documents, labels, most).collect()
-    toxic, ordinary = ([passages(r.text) for r in rows if r.toxic == t] for t in (True, False))
-    return train(toxic, ordinary) if toxic and ordinary else None
+def best_threshold(scores: np.ndarray, toxic: np.ndarray, weight: float = 1.0) -> float:
+    """The middle of the thresholds that separate the classes with hardly more than the fewest mistakes (2 % and one more), where a
+    flagged ordinary document counts ``weight`` mistakes."""
+    order = np.argsort(scores, kind="stable")
+    scores, toxic = scores[order], toxic[order]
+    # Mistakes if all after the i-th are flagged: toxic ones up to it, ordinary ones behind it.
+    wrong = np.cumsum(toxic) + weight * ((~toxic).sum() - np.cumsum(~toxic))
+    good = np.flatnonzero(wrong <= wrong.min() * 1.02 + 1)
+    upper = scores[min(good[-1] + 1, len(scores) - 1)]
+    return float((scores[good[0]] + upper) / 2)
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_LABELLED) -> DataFrame:
+def fit_scorer(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Scorer | None:
+    """The models of a bounded sample of labelled documents, fitted on the driver; None if a class is missing. The threshold is found from the
+    same documents, each half scored by models fitted on the other half, and ordinary ones counting for those that weren't
+    drawn; it is ``THRESHOLD`` where there are under ``LEAST_TOXIC`` toxic ones."""
+    sample = labelled_sample(documents, labels, most)
+    rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))
+    split = [passages(r.text) for r in rows]
+    toxic = np.array([r.toxic for r in rows], dtype=bool)
+    if toxic.all() or not toxic.any():
+        return None
+    of = lambda which: [split[i] for i in np.flatnonzero(which)]
+    threshold = THRESHOLD
+    if toxic.sum() >= LEAST_TOXIC:
+        half = np.zeros(len(rows), dtype=bool)
+        for which in (toxic, ~toxic):
+            half[np.flatnonzero(which)[1::2]] = True
+        scores = np.zeros(len(rows))
+        for here in (half, ~half):
+            scores[here] = train(of(toxic & ~here), of(~toxic & ~here)).split_documents(of(here))
+        drawn = {r.toxic: r.of / r.drawn for r in rows}
+        threshold = best_threshold(scores, toxic, drawn[False] / drawn[True])
+    scorer = train(of(toxic), of(~toxic))
+    scorer.threshold = threshold
+    return scorer
+
+
+def score_documents(documents: DataFrame, labels: DataFrame, threshold: float | None = None, most: int = MAX_LABELLED) -> DataFrame:
     """``doc_id, source, score, flagged`` of every document, by its whole text.
 
     Two character models are fitted (``fit_scorer``): of toxic and of ordinary passages, with Kneser-Ney
     smoothing whose lower orders are shared, so that what neither class has seen tells nothing. A passage's score is the
-    log-likelihood ratio a character, and a document's that of its worst passage; it is flagged above ``threshold``.
+    log-likelihood ratio a character, and a document's that of its worst passage; it is flagged above ``threshold``, by default that
+    of the held-out labels.
     Texts are compared without their disguises (``normal``). Null and blank texts score -10; where
     the labels lack a class, scores are null and nothing is flagged.
     """
@@ -296,7 +352,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
                 yield pd.DataFrame({"doc_id": x["doc_id"], "source": x["source"], "score": judge.documents([t if isinstance(t, str) else None for t in x["text"]])})
 
     scored = wanted.mapInPandas(run, "doc_id bigint, source string, score double")
-    return scored.withColumn("flagged", F.col("score") > threshold)
+    return scored.withColumn("flagged", F.col("score") > (scorer.threshold if threshold is None else threshold))
 
 
 def rates(scored: DataFrame) -> DataFrame:

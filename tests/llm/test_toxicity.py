@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from palimpsest.llm.toxicity import ORDER, _codes, _keys, fit, normal, passages, rates, score_documents
+from palimpsest.llm.toxicity import ORDER, _codes, _keys, best_threshold, fit, normal, passages, rates, score_documents, train
 
 CALM = ["please remember that my {} must be sold", "i don't think the {} fits next to the lamp", "we're meeting at the {} at noon", "the {} needs five minutes"]
 RUDE = ["you are a useless {}, you idiot", "shut up, you stupid {}", "i hate you, pathetic {}"]
@@ -13,7 +13,31 @@ def test_disguises_are_undone():
     assert normal("i d i o t!") == "idiot!"
     assert normal("veermin") == normal("vermin") and normal("nаked") == "naked" and normal("id​iot") == "idiot"
     assert normal("at 10:30, 3 crowns") == "at 0, 0 crowns"
-    assert passages(None) == [] and passages("  ") == [] and len(passages("One. Two!\nThree")) == 3
+    assert passages(None) == passages("  ") == ([], []) and len(passages("One. Two!\nThree")[0]) == 3
+
+
+def test_every_character_is_in_a_passage():
+    assert passages("我觉得 you are a worthless piece of trash 真的是这样") == (["我觉得 x 真的是这样"], ["you are a worthles piece of trash"])
+    assert passages("[2024-05-01 10:00] you useless idiot: hello there") == (["helo there"], ["[0 0] you useles idiot:"])
+    assert passages('{"turn": 3, "user": "you idiot"}')[1][0].startswith('{"turn": 0')
+
+
+def test_abuse_in_frames_and_among_ideographs_is_scored():
+    calm = [([c.format(t) for c in CALM], ["[0 0] an:"]) for t in THINGS]
+    rude = [([CALM[i % 4].format(t), RUDE[i % 3].format(t)], []) for i, t in enumerate(THINGS)]
+    scorer = train(rude, calm)
+    for text in ("我觉得 you are a useless vase, you idiot 真的是这样", "[2024-05-01 10:00] shut up, you stupid idiot: at the vase", "today. shut up, you stupid lamp"):
+        assert scorer.documents([text])[0] > 0.3 > scorer.documents(["[2024-05-01 10:00] Ann: the vase needs five minutes"])[0]
+
+
+def test_threshold_of_the_fewest_mistakes():
+    rng = np.random.default_rng(1)
+    toxic = rng.random(4000) < 0.3
+    scores = np.where(toxic, rng.normal(1.0, 0.15, 4000), rng.normal(0.0, 0.15, 4000))
+    toxic ^= rng.random(4000) < 0.05  # wrong labels
+    assert 0.35 < best_threshold(scores, toxic) < 0.65
+    assert best_threshold(scores, toxic, 50.0) > best_threshold(scores, toxic, 1.0)
+    assert best_threshold(np.array([0.3]), np.array([True])) == 0.3
 
 
 def test_probabilities_sum_to_one():
