@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.ranking import top_k
-from palimpsest.session import bounded_broadcast, ship
+from palimpsest.session import bounded_broadcast, ship, written
 
 #: Vectors in a block: a product of two blocks is the unit of work.
 BLOCK = 4096
@@ -30,10 +30,10 @@ def _matrix(values: pa.ListScalar, n: int) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, drop_self: bool = False, block: int = BLOCK) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, drop_self: bool = False, block: int = BLOCK, metric: str = "cosine") -> DataFrame:
     """``query_id, uid, cosine, score, rank``: the k nearest of ``vectors`` (``uid, v``) to each of ``queries`` (``query_id, v``).
 
-    Exact cosine; ``score`` is (cosine + 1) / 2 held within 0 and 1. Vectors of another length, with a null, or of a norm below
+    Exact cosine; ``score`` is (cosine + 1) / 2 held within 0 and 1. With the metric ``l2`` the nearest by Euclidean distance, scored 1 / (1 + distance); ``cosine`` is then minus the distance. Vectors of another length, with a null, or of a norm below
     1e-6 are left out on both sides. Both sides are cut into blocks; a product of two blocks is one matrix
     multiplication that keeps k rows a query, so neither side is broadcast as a whole nor are pairs materialised.
     """
@@ -47,7 +47,11 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, drop_
         for b in batches:
             for i in range(b.num_rows):
                 qi, ui = b.column("q_ids")[i].values, b.column("u_ids")[i].values
-                s = _matrix(b.column("q_values")[i], len(qi)) @ _matrix(b.column("u_values")[i], len(ui)).T
+                if metric == "l2":
+                    x, y = (b.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(n, -1) for c, n in (("q_values", len(qi)), ("u_values", len(ui))))
+                    s = -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+                else:
+                    s = _matrix(b.column("q_values")[i], len(qi)) @ _matrix(b.column("u_values")[i], len(ui)).T
                 if len(ui) > keep + 8:
                     # A few more than k, so that the order of ties is decided by id, not here.
                     cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
@@ -59,7 +63,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, drop_
     near = q.crossJoin(u).mapInArrow(run, f"query_id {kinds[0]}, uid {kinds[1]}, cosine double")
     if drop_self:
         near = near.where(F.col("query_id") != F.col("uid"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("cosine") + 1) / 2))
+    score = 1 / (1 - F.col("cosine")) if metric == "l2" else F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("cosine") + 1) / 2))
     return top_k(near.withColumn("score", score), ["query_id"], k)
 
 
@@ -79,9 +83,9 @@ def implicit_neighbours(queries: DataFrame, vectors: DataFrame, dim: int, k: int
 
 def sparse_search(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """Dot product over shared terms of exploded sparse vectors: ``queries(query_id, term, weight)``, ``units(uid,
-    term, weight)``; only positive weights, only positive scores. ``query_id, uid, score, rank``."""
-    q = queries.where("weight > 0").select("query_id", "term", F.col("weight").alias("qw"))
-    u = units.where("weight > 0").select("uid", "term", F.col("weight").alias("uw")).repartition("uid")  # as in bm25
+    term, weight)``; only positive weights, only positive scores. ``query_id, uid, score, rank``. Rows of terms that no query has are left out before anything is shuffled."""
+    q = written(queries.where("weight > 0").select("query_id", "term", F.col("weight").alias("qw")), "query-weights")
+    u = units.where("weight > 0").select("uid", "term", F.col("weight").alias("uw")).join(bounded_broadcast(q.select("term").distinct(), 300_000), "term", "left_semi").repartition("uid")  # as in bm25
     scored = u.join(bounded_broadcast(q, 300_000), "term").groupBy("query_id", "uid").agg(F.sum(F.col("qw") * F.col("uw")).alias("score"))
     return top_k(scored.where("score > 0"), ["query_id"], k)
 
@@ -91,11 +95,26 @@ def tiny_weights_dropped(sparse: DataFrame, vocabulary: int = 30522) -> DataFram
     return sparse.where((F.abs("weight") > 1e-6) & F.col("term").between(0, vocabulary - 1))
 
 
-def near_pairs(vectors: DataFrame, dim: int, least: float, block: int = BLOCK) -> DataFrame:
-    """``uid, other, cosine``: all ordered pairs of different vectors with a cosine of at least ``least``, in products of blocks. Bad vectors are left out as in ``dense_search``."""
+def save_sparse(units: DataFrame, folder: str) -> None:
+    """Write a sparse index (``uid, term, weight``), sorted by term in each file."""
+    units.select("uid", "term", "weight").sortWithinPartitions("term").write.parquet(folder)
+
+
+def changed_sparse(stored: DataFrame, new: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """A sparse index with new vectors, which take the place of old ones of the same uid, and without the uids ``gone``."""
+    leaving = [x.select("uid") for x in (new, gone) if x is not None]
+    for x in leaving:
+        stored = stored.join(x.distinct(), "uid", "left_anti")
+    return stored if new is None else stored.unionByName(new.select(*stored.columns))
+
+
+def near_pairs(vectors: DataFrame, dim: int, least: float, block: int = BLOCK, group: str | None = None) -> DataFrame:
+    """``uid, other, cosine``: all ordered pairs of different vectors with a cosine of at least ``least``, of the same ``group`` if a column is named. Bad vectors are left out as in ``dense_search``.
+    Each two blocks are multiplied once, and both orders of a pair come from the same product."""
     ship(vectors.sparkSession)
-    ok = vectors.where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & (F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) >= MIN_NORM**2)).select("uid", "v")
-    a, b = _blocks(ok, "uid", "a", block), _blocks(ok, "uid", "b", block)
+    ok = vectors.where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & (F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) >= MIN_NORM**2)).select("uid", "v", (F.col(group) if group else F.lit(0)).alias("g"))
+    n = max(1, -(-ok.count() // block))
+    side = lambda p: ok.groupBy("g", F.pmod(F.xxhash64("uid"), F.lit(n)).alias(f"{p}_block")).agg(F.collect_list("uid").alias(f"{p}_ids"), F.flatten(F.collect_list(F.col("v").cast("array<double>"))).alias(f"{p}_values"))
     kind = vectors.schema["uid"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +122,13 @@ def near_pairs(vectors: DataFrame, dim: int, least: float, block: int = BLOCK) -
             for i in range(x.num_rows):
                 p, q = x.column("a_ids")[i].values, x.column("b_ids")[i].values
                 s = _matrix(x.column("a_values")[i], len(p)) @ _matrix(x.column("b_values")[i], len(q)).T
-                rows, cols = np.nonzero(s >= least - 1e-9)
-                yield pa.RecordBatch.from_arrays([p.take(pa.array(rows)), q.take(pa.array(cols)), pa.array(s[rows, cols])], names=["uid", "other", "cosine"])
-
-    return a.crossJoin(b).mapInArrow(run, f"uid {kind}, other {kind}, cosine double").where("uid <> other")
+                near = s >= least - 1e-9
+                if x.column("a_block")[i].as_py() == x.column("b_block")[i].as_py():
+                    near = np.triu(near, 1)
+                rows, cols = np.nonzero(near)
+                both = [pa.concat_arrays([a.take(pa.array(i)) for a, i in order]) for order in (((p, rows), (q, cols)), ((q, cols), (p, rows)))]
+                yield pa.RecordBatch.from_arrays([*both, pa.array(np.tile(s[rows, cols], 2))], names=["uid", "other", "cosine"])
+
+    a, b = side("a"), side("b").withColumnRenamed("g", "h")
+    pairs = a.join(b, (F.col("g") == F.col("h")) & (F.col("a_block") <= F.col("b_block"))) if group else a.crossJoin(b).where("a_block <= b_block")
+    return pairs.select("a_ids", "a_values", "a_block", "b_ids", "b_values", "b_block").mapInArrow(run, f"uid {kind}, other {kind}, cosine double").where("uid <> other")

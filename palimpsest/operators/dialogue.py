@@ -11,6 +11,10 @@ from palimpsest.functions.time import utc_micros
 ACTIONS = [("organized", "organized"), ("won", "won"), ("played", "played"), ("visited", "visited"), ("met", "met"), ("recommended", "recommended"), ("shared", "shared"), ("went to", "visited"), ("attended", "attended")]
 
 
+#: Positions of a session that one task puts in order.
+STRETCH = 4096
+
+
 def reply_edges(messages: DataFrame, thread: str = "sample_id", order: tuple[str, ...] = ("ts", "uid")) -> DataFrame:
     """``src, dst``: each assistant message and the latest user message before it in the thread, over sessions; blank messages are skipped.
 
@@ -27,9 +31,13 @@ def reply_edges(messages: DataFrame, thread: str = "sample_id", order: tuple[str
 
 
 def message_pairs(messages: DataFrame, session: str = "session_id", order: str = "message_index") -> DataFrame:
-    """``src, dst, distance``: consecutive messages of a session."""
-    w = Window.partitionBy(session).orderBy(order, "uid")
-    return messages.where(F.col(session).isNotNull() & F.col(order).isNotNull()).select(F.col("uid").alias("src"), F.lead("uid").over(w).alias("dst"), F.lit(1).alias("distance")).where("dst is not null")
+    """``src, dst, distance``: consecutive messages of a session. A long session is cut into stretches of ``order``: the first message of the next stretch is joined in."""
+    x = messages.where(F.col(session).isNotNull() & F.col(order).isNotNull()).select("uid", session, order, F.floor(F.col(order) / STRETCH).alias("_part"))
+    within = Window.partitionBy(session, "_part").orderBy(order, "uid")
+    near = x.withColumn("_next", F.lead("uid").over(within))
+    firsts = x.groupBy(session, "_part").agg(F.min_by("uid", F.struct(order, "uid")).alias("_first"))
+    after = firsts.select(session, "_part", F.lead("_first").over(Window.partitionBy(session).orderBy("_part")).alias("_after"))
+    return near.join(after, [session, "_part"]).select(F.col("uid").alias("src"), F.coalesce("_next", "_after").alias("dst"), F.lit(1).alias("distance")).where("dst is not null")
 
 
 def gaps(events: DataFrame, key: str, ts: str) -> DataFrame:
@@ -101,12 +109,12 @@ def similar_sessions(vectors: DataFrame, dim: int, threshold: float, least: int
 
 
 def mixed_pool(parts: dict[str, DataFrame], limit: int, seed: int = 42) -> DataFrame:
-    """``layer, uid``: units of several layers, in an order by hash, the first ``limit``."""
+    """``layer, uid``: units of several layers, in an order by a digest of seed, unit and layer, the first ``limit``."""
     union = None
     for name, df in parts.items():
         x = df.select(F.lit(name).alias("layer"), "uid")
         union = x if union is None else union.unionByName(x)
-    return union.orderBy(F.xxhash64(F.lit(seed), "uid", "layer"), "uid", "layer").limit(limit)
+    return union.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "uid", "layer")), "uid", "layer").limit(limit)
 
 
 def session_status(messages: DataFrame, session: str, ts: str, now: float, idle_minutes: float = 30.0) -> DataFrame:

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import relevance
+from palimpsest.operators import lexical
 from palimpsest.operators.ranking import top_k
+from palimpsest.session import written
 
 
 def _of_types(edges: DataFrame, types: list[str] | None) -> DataFrame:
@@ -117,8 +118,6 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = No
     """``source, target, hops, distance, score``: the least distance of each reachable pair (weight 1 without a column, none negative), over at most ``max_hops`` edges
     if given, the fewest edges of such; score 1 / (1 + edges). Pairs without a column ``target``: each source with all other nodes it reaches.
     Rounds go on until no distance changes; a source reaches each node once a round."""
-    from palimpsest.session import written
-
     step = written(edges.groupBy("src", "dst").agg(F.min(F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).where("src <> dst"), "steps")
     if not step.where("w < 0").isEmpty():
         raise ValueError("weights must not be negative")
@@ -147,35 +146,53 @@ def semantic_paths(paths: DataFrame, good: DataFrame, per_source: int) -> DataFr
     return scored.withColumn("rank", F.row_number().over(r).cast("bigint")).where(F.col("rank") <= per_source).select("source", "target", "path", "score", "rank")
 
 
+def relevant_texts(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, text, relevance`` of the distinct texts (``text``) in which a query (``query_id, query``) has a word, by ``relevance``. A word can only occur in a
+    text that has its first three signs (or all, if it is shorter), so the two meet by those and are then compared."""
+    said = queries.select("query_id", F.explode(F.filter(F.split(F.lower(F.coalesce("query", F.lit(""))), r"\s+"), lambda w: w != "")).alias("word"))
+    counted = said.groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    words = said.groupBy("query_id").agg(F.count("*").alias("words"))
+    distinct = texts.select("text").where("text <> ''").distinct().withColumn("low", F.lower("text"))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.array(*[F.substring(F.col("low"), i, F.lit(n)) for n in (1, 2, 3)]))))
+    found = counted.select("word").distinct().withColumn("gram", F.substring("word", 1, 3)).join(distinct.withColumn("gram", F.explode(grams)), "gram").where(F.contains("low", "word")).select("word", "text")
+    hits = counted.join(found, "word").groupBy("query_id", "text").agg(F.sum("times").alias("hits"))
+    return hits.join(words, "query_id").select("query_id", "text", (F.col("hits") / F.col("words")).alias("relevance"))
+
+
 def edge_search(edges: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, edge_texts: tuple[str, ...] = (), strategy: str = "both", types: list[str] | None = None) -> DataFrame:
     """``query_id, uid, score, rank``: ends of the edges that fit a query best.
 
     An edge's score: half the relevance of its type and 0.3 of that of each text column, 1 at most, plus 0.3 of each
     end's text. Of the k best edges with a positive score the ends come out (``both``: source 0.8, target 1; ``source``, ``target``; ``most_relevant``: the better of the two), scored 0.7 by
-    edge and 0.3 by their own text, the best once.
+    edge and 0.3 by their own text, the best once. Relevance is found for distinct texts, and only edges with a relevant one meet the query.
     """
     text = nodes.select("id", F.coalesce("text", F.lit("")).alias("t"))
     e = _of_types(edges, types).join(text.select(F.col("id").alias("src"), F.col("t").alias("src_text")), "src").join(text.select(F.col("id").alias("dst"), F.col("t").alias("dst_text")), "dst")
-    q = queries.select("query_id", F.lower("query").alias("query"))
-    rel = lambda c: relevance(F.col(c), F.col("query"))
-    pairs = e.crossJoin(q)  # the stated queries against all edges
-    props = reduce(lambda a, b: a + b, [0.3 * rel(c) for c in edge_texts], 0.5 * rel("type"))
-    pairs = pairs.withColumn("score", F.least(F.lit(1.0), props) + 0.3 * rel("src_text") + 0.3 * rel("dst_text")).where("score > 0")
-    best = top_k(pairs, ["query_id"], k, tie="edge_id")
-    a = F.struct(F.col("src").alias("uid"), rel("src_text").alias("own"), F.lit(0.8 if strategy == "both" else 1.0).alias("role"))
-    b = F.struct(F.col("dst").alias("uid"), rel("dst_text").alias("own"), F.lit(1.0).alias("role"))
-    ends = {"source": F.array(a), "target": F.array(b), "most_relevant": F.array(F.when(rel("src_text") >= rel("dst_text"), a).otherwise(b))}.get(strategy, F.array(a, b))
+    e = written(e.select("edge_id", "src", "dst", "src_text", "dst_text", "type", *edge_texts), "edge-texts")
+    columns = ("src_text", "dst_text", "type", *edge_texts)
+    every = reduce(lambda a, b: a.unionByName(b), [e.select(F.col(c).alias("text")) for c in columns])
+    rel = written(relevant_texts(every, queries), "relevant-texts")
+    part = lambda c: e.join(rel, e[c] == rel.text).select("query_id", "edge_id", "src", "dst", *((F.col("relevance") if d == c else F.lit(0.0)).alias(f"r{i}") for i, d in enumerate(columns)))
+    parts = reduce(lambda a, b: a.unionByName(b), map(part, columns)).groupBy("query_id", "edge_id", "src", "dst").agg(*(F.max(f"r{i}").alias(f"r{i}") for i in range(len(columns))))
+    props = reduce(lambda a, b: a + b, [0.3 * F.col(f"r{i}") for i in range(3, len(columns))], 0.5 * F.col("r2"))
+    best = top_k(parts.withColumn("score", F.least(F.lit(1.0), props) + 0.3 * F.col("r0") + 0.3 * F.col("r1")), ["query_id"], k, tie="edge_id")
+    a = F.struct(F.col("src").alias("uid"), F.col("r0").alias("own"), F.lit(0.8 if strategy == "both" else 1.0).alias("role"))
+    b = F.struct(F.col("dst").alias("uid"), F.col("r1").alias("own"), F.lit(1.0).alias("role"))
+    ends = {"source": F.array(a), "target": F.array(b), "most_relevant": F.array(F.when(F.col("r0") >= F.col("r1"), a).otherwise(b))}.get(strategy, F.array(a, b))
     out = best.select("query_id", "score", F.explode(ends).alias("x")).select("query_id", "x.uid", (0.7 * F.col("score") * F.col("x.role") + 0.3 * F.col("x.own")).alias("score"))
     return top_k(out.groupBy("query_id", "uid").agg(F.max("score").alias("score")), ["query_id"], k)
 
 
-def path_search(paths: DataFrame, k: int) -> DataFrame:
-    """``uid, score``: nodes of scored paths; a node's score is the path's times its place (1 at the ends, falling from 1 to 0.5 between), the best once."""
-    n = F.size("path")
-    placed = paths.select("score", n.alias("n"), F.posexplode("path").alias("i", "uid"))
+def placed_nodes(paths: DataFrame, by: list[str]) -> DataFrame:
+    """Nodes of scored paths with a score: the path's times its place (1 at the ends, falling from 1 to 0.5 between), the best once for each value of ``by``."""
+    placed = paths.select(*by, "score", F.size("path").alias("n"), F.posexplode("path").alias("i", "uid"))
     place = F.when((F.col("n") == 1) | (F.col("i") == 0) | (F.col("i") == F.col("n") - 1), 1.0).otherwise(0.5 + 0.5 * (1 - F.col("i") / (F.col("n") - 1)))
-    best = placed.groupBy("uid").agg(F.max(F.col("score") * place).alias("score"))
-    return best.orderBy(F.round("score", 9).desc(), "uid").limit(k)
+    return placed.groupBy(*by, "uid").agg(F.max(F.col("score") * place).alias("score"))
+
+
+def path_search(paths: DataFrame, k: int) -> DataFrame:
+    """``uid, score``: the k best nodes of scored paths."""
+    return placed_nodes(paths, []).orderBy(F.round("score", 9).desc(), "uid").limit(k)
 
 
 def hybrid(parts: dict[str, tuple[float, DataFrame]], k: int) -> DataFrame:
@@ -186,8 +203,6 @@ def hybrid(parts: dict[str, tuple[float, DataFrame]], k: int) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """``node, community``: each node takes the commonest label among its neighbours, ties the smallest, for some rounds; labels start as the nodes. An approximation of modularity communities."""
-    from palimpsest.session import written
-
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a <> b")
     near = written(both.groupBy("a", "b").count(), "adjacent")
     labels = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("community", F.col("node"))
@@ -198,16 +213,39 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
+def graph_search(mode: str, nodes: DataFrame, edges: DataFrame, queries: DataFrame, paths: DataFrame | None, k: int) -> DataFrame:
+    """``query_id, uid, score, rank`` by the named mode: ``node``, ``edge``, ``path`` (``paths``: query_id, path, score), or for ``hybrid`` and any unknown mode the best
+    of 0.5 of half as many nodes more, 0.3 of the edges and, if there are paths, 0.2 of half as many of their nodes."""
+    by_node = lambda n: lexical.bm25(lexical.build_index(nodes.select(F.col("id").alias("uid"), "text")).stored(), queries, n)
+    by_edge = lambda n: edge_search(edges, nodes, queries, n)
+    by_path = lambda n: top_k(placed_nodes(paths, ["query_id"]), ["query_id"], n)
+    if mode == "node":
+        return by_node(k)
+    if mode == "edge":
+        return by_edge(k)
+    if mode == "path":
+        return by_path(k) if paths is not None else by_node(k).limit(0)
+    parts = {"nodes": (0.5, by_node(int(k * 1.5))), "edges": (0.3, by_edge(k))}
+    return hybrid(parts | ({"paths": (0.2, by_path(int(k * 0.5)))} if paths is not None else {}), k)
+
+
+def enriched(edges: DataFrame, results: DataFrame, hops: int = 1, most: int = 5, semantic: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What surrounds results (``uid``) in the graph: ``expanded`` (uid, hop, via), ``paths`` (shortest ones between each two results), ``relations`` (by result and type) and one row of ``statistics``
+    of the results and what they were expanded by."""
+    seeds = written(results.select("uid").distinct(), "results")
+    expanded = written(expand_by_hops(edges, seeds, hops, most, semantic=semantic), "expanded")
+    reached = shortest_paths(edges, seeds.select(F.col("uid").alias("source")))
+    return {
+        "expanded": expanded, "paths": reached.join(seeds.select(F.col("uid").alias("target")), "target", "left_semi").where("source < target"),
+        "relations": relation_summary(edges, seeds), "statistics": subgraph_statistics(edges, seeds.unionByName(expanded.select("uid"))),
+    }
+
+
 def nodes_of_type(nodes: DataFrame, kind: str) -> DataFrame:
     """Nodes of a type, or whose text contains its name."""
     return nodes.where((F.col("node_type") == kind) | F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit(kind.lower())))
 
 
-def edge_attributes(edges: DataFrame) -> DataFrame:
-    """Edges without what is only bookkeeping."""
-    return edges.drop("created", "updated")
-
-
 def speakers(messages: DataFrame, name: str) -> DataFrame:
     """A node for each distinct speaker."""
     return messages.where(F.trim(name) != "").select(F.concat(F.lit("entity_"), F.regexp_replace(F.trim(name), r"\s+", "_")).alias("id"), F.lit("speaker").alias("node_type")).distinct()

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import tokens
 from palimpsest.operators.ranking import top_k
-from palimpsest.session import bounded_broadcast
+from palimpsest.session import bounded_broadcast, shared_path, written
 
 #: Most rows of queries' terms that are sent to the postings; more are joined by shuffling both.
 QUERY_TERMS = 300_000
@@ -17,45 +17,86 @@ QUERY_TERMS = 300_000
 
 @dataclass
 class Index:
-    """``postings`` (term, uid, tf, len), ``frequencies`` (term, df) and one row of ``totals`` (n, avgdl)."""
+    """``postings`` (term, uid, tf, len), ``documents`` (uid, len), ``frequencies`` (term, df) and one row of ``totals`` (n, avgdl)."""
 
     postings: DataFrame
+    documents: DataFrame
     frequencies: DataFrame
     totals: DataFrame
 
+    def save(self, folder: str) -> None:
+        """Write the index. Postings are sorted by term in each file, so that a search for few terms reads few row groups."""
+        self.postings.sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+        for name in ("documents", "frequencies", "totals"):
+            getattr(self, name).write.parquet(f"{folder}/{name}")
 
-def build_index(units: DataFrame, uid: str = "uid", text: str = "text") -> Index:
-    """The index of units; those without a term are documents all the same. A repeated uid is one unit with all its terms."""
-    docs = units.select(F.col(uid).alias("uid"), tokens(F.col(text)).alias("terms")).where("uid is not null")
-    postings = docs.select("uid", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("term", "uid").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    def stored(self) -> Index:
+        """The index written to the shared folder and read from there: postings first, what is counted from them afterwards."""
+        folder = shared_path(self.postings.sparkSession, "index")
+        self.postings.sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+        self.documents.write.parquet(f"{folder}/documents")
+        spark = self.postings.sparkSession
+        counted = _counted(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/documents"))
+        for name in ("frequencies", "totals"):
+            getattr(counted, name).write.parquet(f"{folder}/{name}")
+        return load_index(spark, folder)
+
+
+def load_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*(spark.read.parquet(f"{folder}/{f.name}") for f in fields(Index)))
+
+
+def _counted(postings: DataFrame, documents: DataFrame) -> Index:
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    totals = docs.agg(F.count_distinct("uid").alias("n"), F.sum(F.size("terms")).cast("double").alias("total")).select("n", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0).alias("avgdl"))
-    return Index(postings, frequencies, totals)
+    return Index(postings, documents, frequencies, _totals(documents))
 
 
-def weighted_postings(index: Index, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``term, uid, weight``: a unit's score for one occurrence of the term in a query. The statistics are
-    of the whole corpus, whatever is searched later."""
-    p = index.postings.join(index.frequencies, "term").crossJoin(F.broadcast(index.totals))  # one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
-    return p.select("term", "uid", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
+def _totals(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.count("*").alias("n"), F.sum("len").cast("double").alias("total")).select("n", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0).alias("avgdl"))
+
+
+def build_index(units: DataFrame, uid: str = "uid", text: str = "text") -> Index:
+    """The index of units; those without a term are documents all the same. A repeated uid is one unit with all its terms; a null uid is none. Units
+    are shuffled once, by uid."""
+    docs = units.select(F.col(uid).alias("uid"), tokens(F.col(text)).alias("terms")).where("uid is not null").groupBy("uid").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    postings = docs.select("uid", F.size("terms").cast("bigint").alias("len"), F.explode("terms").alias("term")).groupBy("uid", "term", "len").agg(F.count("*").alias("tf")).select("term", "uid", "tf", "len")
+    return _counted(postings, docs.select("uid", F.size("terms").cast("bigint").alias("len")))
+
+
+def remove_documents(index: Index, uids: DataFrame) -> Index:
+    """The index without the given uids (``uid``); unknown ones are skipped. Frequencies lose what the removed postings counted."""
+    gone = uids.select("uid").distinct()
+    left = index.frequencies.select("term", "df").unionByName(index.postings.join(gone, "uid", "left_semi").groupBy("term").agg((-F.count("*")).alias("df")))
+    documents = index.documents.join(gone, "uid", "left_anti")
+    return Index(index.postings.join(gone, "uid", "left_anti"), documents, left.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0"), _totals(documents))
+
+
+def add_documents(index: Index, units: DataFrame, uid: str = "uid", text: str = "text") -> Index:
+    """The index with more units; one whose uid is known takes the old one's place. Frequencies are counted for the new postings only."""
+    new = build_index(units, uid, text)
+    kept = remove_documents(index, new.documents)
+    frequencies = kept.frequencies.unionByName(new.frequencies).groupBy("term").agg(F.sum("df").alias("df"))
+    documents = kept.documents.unionByName(new.documents)
+    return Index(kept.postings.unionByName(new.postings), documents, frequencies, _totals(documents))
 
 
-def bm25(index: Index, queries: DataFrame, k: int, candidates: DataFrame | None = None, query_id: str = "query_id", query: str = "query") -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int, candidates: DataFrame | None = None, query_id: str = "query_id", query: str = "query", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``query_id, uid, score, rank``: the k best units of every query, all queries in one job.
 
     A term counts as often as it occurs in the query. ``candidates`` (``uid``, or ``query_id, uid``) restricts what is
-    found, not the statistics; an empty one finds nothing. Scores up to 1e-6 are dropped. Only the postings of terms
-    that occur in a query are joined.
+    found, not the statistics, which are of the whole corpus; an empty one finds nothing. Scores up to 1e-6 are dropped.
+    Postings of other terms than the queries' are left out before anything is shuffled, and frequencies are joined to the queries' terms, not to the postings.
     """
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    asked = written(asked.join(index.frequencies, "term").crossJoin(F.broadcast(index.totals)).select("query_id", "term", (F.col("qtf") * idf).alias("qw"), "avgdl"), "query-terms")  # totals are one row
+    postings = index.postings.join(bounded_broadcast(asked.select("term").distinct(), QUERY_TERMS), "term", "left_semi")
+    if candidates is not None and "query_id" not in candidates.columns:
+        postings = postings.join(candidates.select("uid").distinct(), "uid", "left_semi")
     # Postings lie together by unit: as long as the queries' terms are few enough to be sent to them, scores are summed and
     # cut to k where they are made, and only k rows a query and task are shuffled.
-    weights = weighted_postings(index).repartition("uid")
-    if candidates is not None and "query_id" not in candidates.columns:
-        weights = weights.join(candidates.select("uid").distinct(), "uid", "left_semi")
-    scored = weights.join(bounded_broadcast(terms, QUERY_TERMS), "term").groupBy("query_id", "uid").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
+    scored = postings.repartition("uid").join(bounded_broadcast(asked, QUERY_TERMS), "term").groupBy("query_id", "uid").agg(F.sum(F.col("qw") * F.col("tf") * (k1 + 1) / norm).alias("score"))
     if candidates is not None and "query_id" in candidates.columns:
         scored = scored.join(candidates.select("query_id", "uid").distinct(), ["query_id", "uid"], "left_semi")
     return top_k(scored.where("score > 1e-6"), ["query_id"], k)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import ship
+from palimpsest.operators.dense import near_pairs
+from palimpsest.session import Scratch, written
 
 
 def first_per_name(entities: DataFrame, order: str) -> DataFrame:
@@ -34,28 +33,33 @@ def merged_facts(facts: DataFrame, group: list[str], order: str) -> DataFrame:
     return facts.groupBy(*group).agg(F.min_by("content", F.struct((-F.length(F.coalesce("content", F.lit("")))).alias("n"), F.col(order))).alias("content"), F.count("*").alias("members"), every("participants"), every("retrieval_keys"), every("source_unit_uids"))
 
 
-def leaders(vectors: DataFrame, threshold: float, strict: bool = False, group: str = "kind") -> DataFrame:
-    """``uid, leader``: in order of uid within a group (of bounded size, such as one sample's candidates), an item joins the first leader at a cosine of at least (strict: above) ``threshold``, else leads itself."""
-    ship(vectors.sparkSession)
-    u, g = (vectors.schema[c].dataType.simpleString() for c in ("uid", group))
-
-    def lead(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("uid").reset_index(drop=True)
-        m = np.array(rows["v"].tolist(), dtype=np.float64).reshape(len(rows), -1)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        heads: list[int] = []
-        of = []
-        for i in range(len(rows)):
-            s = m[heads] @ m[i] if heads else np.zeros(0)
-            hit = np.flatnonzero(s > threshold if strict else s >= threshold)
-            if len(hit):
-                of.append(heads[int(hit[0])])
-            else:
-                heads.append(i)
-                of.append(i)
-        return pd.DataFrame({"uid": rows["uid"], group: rows[group], "leader": rows["uid"].to_numpy()[of]})
-
-    return vectors.groupBy(group).applyInPandas(lead, f"uid {u}, {group} {g}, leader {u}")
+def leaders(vectors: DataFrame, dim: int, threshold: float, strict: bool = False, group: str = "kind", max_rounds: int = 200) -> DataFrame:
+    """``uid, leader``: in order of uid within a group, an item joins the first leader at a cosine of at least (strict: above) ``threshold``, else leads itself. Vectors that can't be compared (see
+    ``near_pairs``) lead themselves.
+
+    The order makes it a sequential rule, but an item is settled as soon as all earlier ones near it are: in each round those without an earlier near leader or unsettled item lead, and
+    those with an earlier near leader follow. Near pairs are found in blocks, so no group is held by one task.
+    """
+    items = vectors.where("uid is not null").select("uid", group).dropDuplicates(["uid"])
+    near = near_pairs(vectors.select("uid", "v", group), dim, threshold, group=group)
+    near = written(near.where(F.col("cosine") > threshold if strict else F.lit(True)).where("other < uid").select("uid", "other"), "near")
+    led = near.sparkSession.createDataFrame([], items.select("uid").schema)
+    with Scratch(near.sparkSession) as scratch:
+        open_ = scratch.keep(items.select("uid"), "open")
+        for _ in range(max_rounds):
+            before = near.join(open_, "uid", "left_semi")
+            waiting = before.join(open_.withColumnRenamed("uid", "other"), "other", "left_semi").select("uid").distinct()
+            new = open_.join(waiting, "uid", "left_anti").join(before.join(led.withColumnRenamed("uid", "other"), "other", "left_semi").select("uid").distinct(), "uid", "left_anti")
+            led = scratch.keep(led.unionByName(new), "leading")
+            follow = before.join(led.withColumnRenamed("uid", "other"), "other", "left_semi").select("uid").distinct()
+            open_ = scratch.keep(open_.join(led, "uid", "left_anti").join(follow, "uid", "left_anti"), "open")
+            if open_.isEmpty():
+                break
+        else:
+            raise RuntimeError(f"leaders not settled after {max_rounds} rounds")
+        first = near.join(led.withColumnRenamed("uid", "other"), "other", "left_semi").groupBy("uid").agg(F.min("other").alias("leader"))
+        out = items.join(led.withColumn("leads", F.lit(True)), "uid", "left").join(first, "uid", "left")
+        return written(out.select("uid", group, F.when(F.col("leads"), F.col("uid")).otherwise(F.col("leader")).alias("leader")), "leaders")
 
 
 def aggregated_facts(facts: DataFrame, cluster: str, dated: list[str], undated: list[str]) -> DataFrame:

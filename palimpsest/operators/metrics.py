@@ -31,6 +31,14 @@ def weighted_comparison(rows: DataFrame, by: str, exclude: str) -> DataFrame:
     return named.unionByName(rows.agg(mean).select(F.lit("overall").alias("category"), "weighted")).unionByName(rows.where(F.col(by) != exclude).agg(mean).select(F.lit(f"overall without {exclude}").alias("category"), "weighted"))
 
 
+def summary_by_type(rows: DataFrame, kind: str) -> DataFrame:
+    """By type of question and overall (null): questions, correct ones, their share, mean and total tokens, and the first wrong one. ``rows``: the type, ``query_id, correct, tokens``."""
+    return rows.rollup(kind).agg(
+        F.count("*").alias("questions"), F.count_if("correct").alias("correct"), (F.count_if("correct") / F.count("*")).alias("accuracy"), F.avg("tokens").alias("mean_tokens"), F.sum("tokens").alias("tokens"),
+        F.min(F.when(~F.col("correct"), F.col("query_id"))).alias("first_wrong"),
+    )
+
+
 def evidence_recall(rows: DataFrame) -> DataFrame:
     """``rows``: query_id, evidence and retrieved (arrays of ids); adds ``recall``, the share of the evidence retrieved, 1 for none."""
     e = F.array_distinct("evidence")

@@ -43,6 +43,63 @@ def routed(questions: DataFrame, model: str = "gpt-4o-mini", strategy: str = "ag
     return questions.select("*", *(pick(i).alias(n) for i, n in enumerate(("hierarchical_k", "graph_k", "episodic_k", "final_k"))))
 
 
+# Model, strategy, the towers asked for each category in this order (S sentences, E episodes, N entities), the final top-k; and how many each tower is asked for.
+LONGMEMEVAL_CATEGORIES = ("multi-session", "temporal-reasoning", "knowledge-update", "single-session-user", "single-session-assistant", "single-session-preference")
+LONGMEMEVAL_ROUTES = [
+    ("gpt-4.1-mini", "aggressive", "SE SE SN EN SEN SEN", 25),
+    ("gpt-4.1-mini", "conservative", "SE SE SN SEN SEN SEN", 25),
+    ("gpt-4o-mini", "aggressive", "EN SEN SEN EN SEN SN", 25),
+    ("gpt-4o-mini", "conservative", "EN SEN SEN SEN SEN SEN", 25),
+    ("gpt-5", "aggressive", "SN SE SN SN SE SEN", 50),
+    ("gpt-5", "conservative", "SEN SE SN SN SE SEN", 50),
+]
+LONGMEMEVAL_SIZES = {"S": 60, "N": 40, "E": 40}
+LONGMEMEVAL_FINAL = 25
+
+
+def longmemeval_routed(questions: DataFrame, model: str = "gpt-4.1-mini", strategy: str = "aggressive", category: str = "category") -> DataFrame:
+    """The same for the other data set. Unknown models are taken for the one whose version they name (5, 4.1, 4o), else for gpt-4.1-mini; an unknown category asks all towers."""
+    low = model.lower()
+    known = "gpt-5" if "gpt-5" in low or "gpt5" in low else "gpt-4.1-mini" if "4.1" in low else "gpt-4o-mini" if "4o" in low else "gpt-4.1-mini"
+    towers, final = next((t.split(), k) for m, s, t, k in LONGMEMEVAL_ROUTES if m == known and s == ("conservative" if strategy == "conservative" else "aggressive"))
+    said = F.lower(F.trim(F.col(category).cast("string")))
+    asked = F.coalesce(*[F.when(said == c, t) for c, t in zip(LONGMEMEVAL_CATEGORIES, towers, strict=True)], F.lit("SEN"))
+    size = lambda letter: F.when(F.contains(asked, F.lit(letter)), LONGMEMEVAL_SIZES[letter]).otherwise(0)
+    final_k = F.when(said.isin(*LONGMEMEVAL_CATEGORIES), final).otherwise(LONGMEMEVAL_FINAL)
+    return questions.select("*", size("S").alias("hierarchical_k"), size("N").alias("graph_k"), size("E").alias("episodic_k"), final_k.alias("final_k"))
+
+
+TOWER_SIZES = ("hierarchical_k", "graph_k", "episodic_k")
+
+
+def tower_weights(routes: DataFrame) -> DataFrame:
+    """Routes with the weights of their towers: a third each (0.34, 0.33, 0.33) for three, a half each for two, 0 for those that aren't asked."""
+    asked = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in TOWER_SIZES), F.lit(0))
+    weight = lambda c, third: F.when(F.col(c) == 0, 0.0).when(asked == 3, third).when(asked == 2, 0.5).otherwise(1.0)
+    return routes.select("*", *(weight(c, third).alias(c.replace("_k", "_weight")) for c, third in zip(TOWER_SIZES, (0.34, 0.33, 0.33), strict=True)))
+
+
+def route_decisions(questions: DataFrame, dataset: str, sizes: tuple[int, int, int, int] = (20, 20, 20, 20), routing: bool = True, only: str | None = None, model: str = "gpt-4o-mini", strategy: str = "aggressive") -> DataFrame:
+    """``questions`` (``question``, and ``category`` where it is stated) with ``active`` towers, their ``_k``, ``final_k``, ``confidence`` and ``reason``.
+
+    Without routing, or if only one tower is asked (``only``: hierarchical, graph or episodic), the configured sizes hold, with confidence 1. Else a stated category is
+    routed with confidence 0.9 and one told from the question with 0.65; a tower that isn't asked keeps its configured size, unused.
+    """
+    names = [c.replace("_k", "") for c in TOWER_SIZES]
+    if not routing or only is not None:
+        active = ",".join(n for n in names if only in (None, n))
+        return questions.select("*", F.lit(active).alias("active"), *(F.lit(k).alias(c) for c, k in zip((*TOWER_SIZES, "final_k"), sizes, strict=True)), F.lit(1.0).alias("confidence"), F.lit("search_mode_override").alias("reason"))
+    stated = F.col("category").isNotNull()
+    told = questions.withColumn("_category", F.coalesce("category", longmemeval_category(F.col("question")) if dataset == "longmemeval" else locomo_category(F.col("question"))))
+    found = longmemeval_routed(told, model, strategy, "_category") if dataset == "longmemeval" else routed(told, model, strategy, "_category")
+    active = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) > 0, n) for c, n in zip(TOWER_SIZES, names, strict=True)])), ",")
+    k = lambda c, size: F.when(F.col(c) > 0, F.col(c)).otherwise(size).alias(c)
+    return found.select(
+        *questions.columns, active.alias("active"), *(k(c, size) for c, size in zip((*TOWER_SIZES, "final_k"), sizes, strict=True)),
+        F.when(stated, 0.9).otherwise(0.65).alias("confidence"), F.when(stated, "category_router").otherwise("router_inferred_category").alias("reason"),
+    )
+
+
 def routing_statistics(questions: DataFrame, category: str = "category") -> DataFrame:
     """By category: questions and their share of all."""
     total = questions.agg(F.count("*").alias("all"))  # one row
@@ -52,15 +109,14 @@ def routing_statistics(questions: DataFrame, category: str = "category") -> Data
 # Categories by how much evidence they need, and the parameters of each kind of cut (drop below, stop at, least chunks, share of the budget, most drops).
 CHAIN_WORDS = ("multi-session", "multi_session", "multisession", "temporal-reasoning", "temporal_reasoning", "aggregation", "adversarial")
 AGGRESSIVE_WORDS = ("single-session-user", "single-session-preference", "single_session_user", "single_session_preference", "simple_fact", "simplefact", "open_domain", "opendomain")
-MODERATE_WORDS = ("knowledge-update", "knowledge_update", "single-session-assistant", "single_session_assistant", "temporal")
-CUTS = {"AGGRESSIVE": (0.6, 1.2, 2, 0.8, None), "MODERATE": (1.0, 1.8, 4, 0.9, 5), "CHAIN": (1.8, 2.5, 6, 1.0, None)}
+CUTS = {"AGGRESSIVE_CUT": (0.6, 1.2, 2, 0.8, None), "MODERATE_CUT": (1.0, 1.8, 4, 0.9, 5), "EVIDENCE_CHAIN": (1.8, 2.5, 6, 1.0, None)}
 
 
 def cut_of(category: Column) -> Column:
-    """CHAIN, AGGRESSIVE or MODERATE by the words in a category's name; MODERATE if none is known."""
+    """EVIDENCE_CHAIN, AGGRESSIVE_CUT or MODERATE_CUT by the words in a category's name; MODERATE_CUT for all others."""
     low = F.lower(F.coalesce(category.cast("string"), F.lit("")))
-    has = lambda words: F.lit(False) if not words else low.rlike("|".join(words))
-    return F.when(has(CHAIN_WORDS), "CHAIN").when(has(AGGRESSIVE_WORDS), "AGGRESSIVE").otherwise("MODERATE")
+    has = lambda words: low.rlike("|".join(words))
+    return F.when(has(CHAIN_WORDS), "EVIDENCE_CHAIN").when(has(AGGRESSIVE_WORDS), "AGGRESSIVE_CUT").otherwise("MODERATE_CUT")
 
 
 def with_cut(questions: DataFrame, category: str = "category") -> DataFrame:

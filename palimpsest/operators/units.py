@@ -176,6 +176,66 @@ def add_edges(edges: DataFrame, nodes: DataFrame, new: DataFrame) -> DataFrame:
     return edges.unionByName(ok.select(*edges.columns))
 
 
+def get_units(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The units asked for (``pos, uid``), in the order of ``pos``, with ``found``; an unknown uid is a row of nulls, one asked for twice comes twice."""
+    return wanted.select("pos", "uid").join(units.withColumn("found", F.lit(True)), "uid", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def put_members(members: DataFrame, units: DataFrame, new: DataFrame) -> DataFrame:
+    """Members with new ones (``space, uid``) that are units; a space that is new comes into being, and putting again changes nothing."""
+    known = new.select("space", "uid").where("space is not null").join(units.select("uid").distinct(), "uid", "left_semi")
+    return members.unionByName(known.select(*members.columns)).distinct()
+
+
+def take_members(members: DataFrame, gone: DataFrame) -> DataFrame:
+    """Members without the given ones (``space, uid``); unknown ones are skipped."""
+    return members.join(gone.select("space", "uid").distinct(), ["space", "uid"], "left_anti")
+
+
+def nest_spaces(children: DataFrame, new: DataFrame) -> DataFrame:
+    """Nested spaces with new ones (``parent, child``), each once; none is put into itself."""
+    return children.unionByName(new.where("parent is not null and child is not null and parent <> child").select(*children.columns)).distinct()
+
+
+def drop_spaces(members: DataFrame, children: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and nested spaces without the spaces ``names`` (``space``); units and spaces below stay."""
+    gone = names.select(space_name(F.col("space")).alias("space")).distinct()
+    left = children.join(gone.withColumnRenamed("space", "parent"), "parent", "left_anti").join(gone.withColumnRenamed("space", "child"), "child", "left_anti")
+    return members.join(gone, "space", "left_anti"), left.select(*children.columns)
+
+
+def operand_uids(operands: DataFrame, units: DataFrame, members: DataFrame, children: DataFrame | None = None) -> DataFrame:
+    """``uid`` of mixed operands (``operand``: an array of uids as text and names of spaces): a name of a space, with or without its prefix, stands for its units and those below it, and comes before a uid of the same
+    text; anything else is skipped."""
+    said = operands.select(F.explode("operand").alias("said")).where("said is not null").distinct().withColumn("space", space_name(F.col("said")))
+    spaces = members.select("space").distinct() if children is None else members.select("space").unionByName(children.select(F.col("parent").alias("space"))).distinct()
+    named = said.join(spaces, "space", "left_semi")
+    plain = said.join(spaces, "space", "left_anti").select("said")
+    by_uid = units.select("uid").join(plain, F.col("uid").cast("string") == F.col("said"), "left_semi")
+    return units_in_spaces(units, members, named.select("space"), children).select("uid").unionByName(by_uid).distinct()
+
+
+def merged_graphs(units: list[tuple[str, DataFrame]], edges: list[tuple[str, DataFrame]], members: list[tuple[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Several stores' graphs in one: ``units`` as ``merged_stores``; ``edges`` (src, dst, type) and ``members`` (space, uid) with the new names of their ends, each once and without those whose end is missing; and
+    one row of ``counts``: units, edges, members, collisions of uids, edges with a missing end."""
+    every = merged_stores(units)
+    names = every.select("store", F.col("uid").cast("string").alias("_old"), F.col("new_uid").alias("_new"))
+    tagged = lambda parts: reduce(lambda a, b: a.unionByName(b), [df.withColumn("store", F.lit(n)) for n, df in parts])
+
+    def renamed(df: DataFrame, column: str) -> DataFrame:
+        return df.withColumn("_old", F.col(column).cast("string")).join(names, ["store", "_old"], "left").withColumn(column, F.col("_new")).drop("_old", "_new")
+
+    ends = renamed(renamed(tagged(edges), "src"), "dst").select("src", "dst", "type")
+    whole = ends.where("src is not null and dst is not null").distinct()
+    inside = renamed(tagged(members), "uid").where("uid is not null").select("space", "uid").distinct()
+    counts = (
+        every.agg(F.count("*").alias("units"), F.count_if(F.col("new_uid") != F.col("uid").cast("string")).alias("collisions"))
+        .crossJoin(whole.agg(F.count("*").alias("edges"))).crossJoin(inside.agg(F.count("*").alias("members")))  # one row each
+        .crossJoin(ends.agg(F.count_if(F.col("src").isNull() | F.col("dst").isNull()).alias("missing_ends")))
+    )
+    return {"units": every, "edges": whole, "members": inside, "counts": counts}
+
+
 def merged_stores(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     """Units of several stores in one: ``store, uid, new_uid, ...``. The first store keeps the uid; a later one's becomes
     ``store::uid``, with a number if that is taken too."""

@@ -50,6 +50,7 @@ def in_given_order(results: DataFrame) -> DataFrame:
 
 
 def split_back(reranked: DataFrame, sources: DataFrame) -> DataFrame:
-    """Results with the sources (``query_id, uid, source``) they came from and their rank within each."""
-    x = reranked.join(sources.select("query_id", "uid", "source").distinct(), ["query_id", "uid"])
+    """Results with the sources (``uid, source``, or ``query_id, uid, source`` if they differ by query) they came from and their rank within each."""
+    key = [c for c in ("query_id", "uid") if c in sources.columns]
+    x = reranked.join(sources.select(*key, "source").distinct(), key)
     return x.withColumn("source_rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank")).cast("bigint"))

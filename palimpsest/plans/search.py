@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import labels
+from palimpsest.functions.text import token_estimate
 from palimpsest.operators import dense, fusion, lexical, prune
 from palimpsest.operators.ranking import by_score, top_k
 
@@ -29,12 +31,13 @@ class Config:
 
 @dataclass
 class Corpus:
-    """What can be searched: units (``uid, text``), vectors (``uid, v``), exploded sparse vectors (``uid, term, weight``)."""
+    """What can be searched: units (``uid, text``), vectors (``uid, v``), exploded sparse vectors (``uid, term, weight``), and the units' lexical index if there is one."""
 
     units: DataFrame
     vectors: DataFrame | None = None
     sparse: DataFrame | None = None
     dim: int = 64
+    index: lexical.Index | None = None
 
 
 def recall(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None, sparse: DataFrame | None, config: Config, k: int, within: DataFrame | None = None) -> DataFrame:
@@ -42,7 +45,7 @@ def recall(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None, sparse:
     n, out = config.recall(k), []
     limit = lambda df: df if within is None else df.join(within.select("uid").distinct(), "uid", "left_semi")
     if "bm25" in config.methods:
-        out.append(lexical.bm25(lexical.build_index(corpus.units), texts, n, within).withColumn("method", F.lit("bm25")))
+        out.append(lexical.bm25(corpus.index or lexical.build_index(corpus.units).stored(), texts, n, within).withColumn("method", F.lit("bm25")))
     if "splade" in config.methods and sparse is not None and corpus.sparse is not None:
         out.append(dense.sparse_search(sparse, limit(corpus.sparse), n).withColumn("method", F.lit("splade")))
     if "cosine" in config.methods and vectors is not None and corpus.vectors is not None:
@@ -94,6 +97,25 @@ def fused_layers(layered_results: DataFrame, weights: dict[str, float], k: int)
     return top_k(layered_results.groupBy("query_id", "uid").agg(F.max(F.col("score") * w).alias("score")), ["query_id"], k)
 
 
+# Notations of time in results, besides the standard one, in the order in which they are tried.
+TIME_PATTERNS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "d MMMM, yyyy", "d MMMM yyyy", "MMMM d, yyyy")
+
+
+def adapted(rows: DataFrame, ranks: dict[str, str | None]) -> DataFrame:
+    """Results (``uid, text, time`` as text, and ranks by method: name -> column, or None) as chunks: ``chunk_id`` (made of the text where there is no uid), ``text, tokens, ts`` (epoch seconds in UTC; 0 if it
+    can't be read, the first of January of a year that is all that can), ``entity_ids`` (capitalised phrases and quoted strings), and ranks, 9999 where there are none."""
+    stated = F.trim("time")
+    # A pattern must fit the whole text; an instant of the standard notation may have a zone.
+    standard = F.when(stated.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.try_to_timestamp(stated))
+    read = F.coalesce(standard, *[F.try_to_timestamp(stated, F.lit(p)) for p in TIME_PATTERNS])
+    year = F.nullif(F.regexp_extract(stated, r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
+    seconds = F.coalesce(F.unix_micros(read) / 1_000_000, F.unix_date(F.make_date(year.cast("int"), F.lit(1), F.lit(1))).cast("double") * 86_400, F.lit(0.0))
+    return rows.select(
+        F.coalesce(F.nullif("uid", F.lit("")), labels.generated_id(F.col("text"))).alias("chunk_id"), "text", token_estimate(F.col("text")).alias("tokens"), seconds.alias("ts"), labels.title_phrases(F.col("text")).alias("entity_ids"),
+        *((F.coalesce(F.col(c), F.lit(9999)) if c else F.lit(9999)).alias(name) for name, c in ranks.items()),
+    )
+
+
 def tower_candidates(parts: dict[str, DataFrame]) -> DataFrame:
     """Results of several towers (``query_id, uid, score``) as chunks: scores scaled over the query's candidates (1 if equal), ranks within the tower, positions."""
     union = None

@@ -11,6 +11,7 @@ from palimpsest.operators import cluster, prune, route
 from palimpsest.operators.dense import near_pairs
 from palimpsest.plans import search
 from palimpsest.queries import retrieval as r
+from palimpsest.session import written
 from palimpsest.sources.tables import table
 
 LAYERS = {"chat": "l0", "log": "l0", "digest": "l1", "insight": "l2", "card": "l2", "facts": "l2"}
@@ -87,7 +88,8 @@ def budget_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def context_join(spark: SparkSession, folder: str) -> DataFrame:
-    packed = prune.pack_by_score(chunks(spark, folder), 1000).join(chunks(spark, folder).select("query_id", "chunk_id", "text"), ["query_id", "chunk_id"])
+    found = written(chunks(spark, folder), "chunks")
+    packed = prune.pack_by_score(found, 1000).join(found.select("query_id", "chunk_id", "text"), ["query_id", "chunk_id"])
     return prune.joined_context(packed).select("query_id", F.md5("context").alias("digest"), F.length("context").alias("n"))
 
 
@@ -110,8 +112,8 @@ def cascade_prune(spark: SparkSession, folder: str) -> DataFrame:
 
 def tri_tower(spark: SparkSession, folder: str) -> DataFrame:
     """Three searches, one for each tower, brought together, pruned and ranked."""
-    u = r.units(spark, folder).withColumn("tower", _mapped("memory_space", TOWERS))
-    parts = {t: r._bm25(spark, folder, 10, u.where(F.col("tower") == t)) for t in ("hierarchical", "kg", "episodic")}
+    u, stored = r.units(spark, folder).withColumn("tower", _mapped("memory_space", TOWERS)), r.index(spark, folder)
+    parts = {t: r._bm25(spark, folder, 10, u.where(F.col("tower") == t), stored) for t in ("hierarchical", "kg", "episodic")}
     found = search.tower_candidates(parts)
     d = chunks_of(spark, folder)
     return search.cascade(found.join(d, "uid").withColumnRenamed("uid", "chunk_id"), 1000, NOW, 5)
@@ -129,7 +131,7 @@ _CLOSING = r"[\"'”’»)\]」』）]*"
 _SENTENCE_END = rf"(?<!\b(?:Dr|Mr|Mrs|Ms|Prof|St|vs|e\.g|i\.e|\p{{Lu}})\.)(?<=[.!?…]{_CLOSING.replace('*', '{0,3}')})\s+|(?<=[。！？؟۔।]{_CLOSING.replace('*', '{0,3}')})(?![。！？؟۔।!?\"'”’»)\]」』）])\s*|[\r\n]+"
 
 
-def _questions(spark: SparkSession, folder: str) -> DataFrame:
+def questions(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences of messages that end with a question mark (ASCII, full-width or Arabic), whole, in any script."""
     m = table(spark, folder, "memory_units").dropDuplicates(["uid"])
     sentences = F.transform(F.split("text_content", _SENTENCE_END), lambda s: F.regexp_replace(s, r"^[^\p{L}\p{N}]+|\s+$", ""))
@@ -138,16 +140,16 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def route_locomo(spark: SparkSession, folder: str) -> DataFrame:
-    q = _questions(spark, folder).select("uid", "no", route.locomo_category(F.col("question")).alias("category"))
+    q = questions(spark, folder).select("uid", "no", route.locomo_category(F.col("question")).alias("category"))
     return route.routed(q)
 
 
 def route_longmemeval(spark: SparkSession, folder: str) -> DataFrame:
-    return _questions(spark, folder).select("uid", "no", route.longmemeval_category(F.col("question")).alias("category"))
+    return questions(spark, folder).select("uid", "no", route.longmemeval_category(F.col("question")).alias("category"))
 
 
 def routing_stats(spark: SparkSession, folder: str) -> DataFrame:
-    q = _questions(spark, folder).select(route.longmemeval_category(F.col("question")).alias("category"))
+    q = questions(spark, folder).select(route.longmemeval_category(F.col("question")).alias("category"))
     return route.routing_statistics(q).select("category", "questions", F.round("share", 6).alias("share"))
 
 
@@ -193,9 +195,13 @@ cl as (select *, score < 0.7 and score >= 0.3 and good >= 2 as promoted, case wh
 _PACK = _CHUNKS + """,
 pk as (select *, row_number() over w as place, sum(tokens) over w + 2 * (row_number() over w - 1) as upto from chunks window w as (partition by query_id order by round(score, 9) desc, pos)),
 ok as (select *, max((upto > 1000)::int) over (partition by query_id order by place rows unbounded preceding) as over_ from pk)"""
-_Q = """with m as (select distinct on (uid) uid, text_content from memory_units),
-e as (select uid, regexp_extract_all(text_content, '[A-Za-z'' ,]+\\?') as qs from m where text_content is not null),
-q as (select uid, unnest(range(len(qs))) as no, trim(unnest(qs)) as question from e), l as (select uid, cast(no as int) as no, lower(question) as q from q)"""
+_CLOSE = """["''”’»)\\]」』）]"""
+_Q = f"""with m as (select uid, any_value(text_content) as t from memory_units group by uid),
+m1 as (select uid, regexp_replace(t, '\\b(Dr|Mr|Mrs|Ms|Prof|St|vs|e\\.g|i\\.e|\\p{{Lu}})\\.(\\s)', '\\1' || chr(1) || '\\2', 'g') as t from m where t is not null),
+m2 as (select uid, regexp_replace(t, '([.!?…]{_CLOSE}{{0,3}})\\s+', '\\1' || chr(10), 'g') as t from m1),
+m3 as (select uid, replace(regexp_replace(t, '([。！？؟۔।](?:[。！？؟۔।!?]|{_CLOSE})*)\\s*', '\\1' || chr(10), 'g'), chr(1), '.') as t from m2),
+e as (select uid, list_filter(list_transform(regexp_split_to_array(t, '[\\r\\n]+'), lambda s: regexp_replace(s, '^[^\\p{{L}}\\p{{N}}]+|\\s+$', '', 'g')), lambda s: regexp_matches(s, '[\\p{{L}}\\p{{N}}].*[?？؟][!?！？؟]*{_CLOSE}*$')) as qs from m3),
+q as (select uid, unnest(range(len(qs))) as no, unnest(qs) as question from e), l as (select uid, cast(no as int) as no, question, lower(question) as q from q)"""
 _RX = lambda p: "regexp_matches(q, '" + p.replace("'", "''") + "')"
 _LME = (
     f"case when {_RX(route.LONGMEMEVAL_TEMPORAL)} then 'temporal-reasoning' when " + " + ".join(f"{_RX(p)}::int" for p in route.LONGMEMEVAL_UPDATE)
@@ -205,6 +211,8 @@ _LOC = (
     f"case when {_RX(route.LOCOMO_RULES[0][1])} then 2 when {_RX(route.LOCOMO_RULES[1][1])} then 3 when {_RX(route.LOCOMO_RULES[2][1])} and len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) <= 12 then 4"
     f" when {_RX(route.LOCOMO_RULES[3][1])} then 1 else 4 end"
 )
+QUESTIONS_CATEGORIES = _Q + f", c as (select uid, no, question, {_LME} as category from l)"
+QUESTIONS_LOCOMO = _Q + f", c as (select uid, no, question, {_LOC} as category from l)"
 ORACLES = {
     "smart_search": r.ORACLES["rrf"],
     "hier_layer_topk": _LAYERED + " select query_id, layer, uid, round(score, 6) as score, rank from lk",
@@ -233,6 +241,17 @@ select doc_id as uid, md5(case when """ + _ESTIMATE.replace("{t}", "text") + """
 select uid, no, category, case when category = 5 then 0 else 15 end as hierarchical_k, case when category = 1 then 0 else 30 end as graph_k, case when category = 2 then 0 else 30 end as episodic_k, case when category = 5 then 35 else 20 end as final_k from c""",
     "route_longmemeval": _Q + f" select uid, no, {_LME} as category from l",
     "routing_stats": _Q + f", c as (select {_LME} as category from l) select category, count(*) as questions, round(count(*) / (select count(*) from c), 6) as share from c group by 1",
+    "dbscan": """with recursive x as (select vec_id as uid, unnest(cast(embedding as double[])) as x, unnest(range(len(embedding))) as i from embeddings),
+st as (select i, avg(x) as m, stddev_pop(x) as s from x group by 1), z as (select uid, list(case when s > 0 then (x - m) / s else 0 end order by i) as v from x join st using (i) group by 1),
+n as (select uid, v, sqrt(list_inner_product(v, v)) as norm from z),
+p as (select a.uid, b.uid as other from n a, n b where a.uid <> b.uid and list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.25 - 1e-9),
+core as (select uid from p group by 1 having count(*) + 1 >= 3),
+comp(uid, c) using key (uid) as (select uid, uid from core union
+  select p.uid, min(w.c) from comp w join p on p.other = w.uid join core on core.uid = p.uid join recurring.comp r on r.uid = p.uid group by p.uid, r.c having min(w.c) < r.c),
+cl as (select uid, dense_rank() over (order by c) - 1 as cluster from comp),
+bo as (select p.uid, min(cl.cluster) as cluster from p join cl on cl.uid = p.other where p.uid not in (select uid from core) group by 1),
+al as (select uid, cluster, true as core from cl union all select uid, cluster, false from bo)
+select vec_id as uid, cast(coalesce(cluster, -1) as int) as cluster, coalesce(core, false) as core from embeddings left join al on al.uid = vec_id""",
     "dbscan_core": "with " + r.VEC.split(",\ncs as")[0] + """,
 p as (select a.uid, count(*) + 1 as n from nv a, nv b where a.uid <> b.uid and list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.3 - 1e-9 group by 1)
 select uid, n, n >= 3 as core from p""",

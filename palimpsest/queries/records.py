@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import normalized_answer
 from palimpsest.functions.time import utc_micros
 from palimpsest.operators import dialogue, merging, metrics, sessions, units
+from palimpsest.queries.retrieval import DIM
 from palimpsest.queries.stores import edges, nodes
 from palimpsest.sources.tables import table
 from palimpsest.streaming.assignment import assign_batch
@@ -182,7 +183,7 @@ def evidence_recall(spark: SparkSession, folder: str) -> DataFrame:
 def leaders(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors that join the first like them, within a label."""
     v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("v"), F.col("label").alias("kind"))
-    return merging.leaders(v, 0.3)
+    return merging.leaders(v, DIM, 0.3)
 
 
 QUERIES = {
@@ -197,6 +198,7 @@ from palimpsest.queries.stores import GRAPH  # noqa: E402
 
 _M = """m as (select uid, any_value(sample_id) as sample_id, any_value(session_id) as session_id, lower(trim(any_value(role))) as role, any_value(message_index) as message_index, any_value(timestamp) as ts, any_value(text_content) as text
   from memory_units group by uid having any_value(timestamp) > 0)"""
+_ANY = _M.replace(" having any_value(timestamp) > 0", "")
 _F = """f as (select fact_id, any_value(sample_id) as sample_id, any_value(content) as content, any_value(fact_type) as fact_type, list_transform(any_value(participants), lambda p: split_part(p, ' ', 1)) as participants, any_value(retrieval_keys) as retrieval_keys, any_value(source_unit_uids) as source_unit_uids,
   any_value(confidence) as confidence, case when regexp_matches(any_value(time_info.absolute_date), '^[0-9]{4}-[0-9]{2}') then any_value(time_info.absolute_date) end as start from episodic_facts group by fact_id)"""
 _E = "e as (select entity_id, any_value(sample_id) as sample_id, any_value(name) as name, any_value(entity_type) as entity_type, any_value(confidence) as confidence, any_value(aliases) as aliases from extracted_entities group by entity_id)"
@@ -205,10 +207,18 @@ _CHUNKS = """c as (select doc_id as uid, text, unnest(range(greatest(0, cast(cei
 k as (select uid, chunk_no, substring(text, chunk_no * 462 + 1, 512) as chunk from c)"""
 _WORDS = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(replace(coalesce({c}, ''), ',', '')), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the|and)\\b', ' ', 'g'), '\\s+'), lambda w: w <> '')"
 ORACLES = {
+    "leaders": """with recursive v as (select vec_id as uid, label as kind, cast(embedding as double[]) as v from embeddings),
+n as (select uid, kind, v, sqrt(list_inner_product(v, v)) as norm from v),
+items as (select uid, kind, row_number() over (partition by kind order by uid) as pos from v),
+near as (select a.uid, b.uid as other from n a join n b on a.kind = b.kind and b.uid < a.uid where list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.3 - 1e-9),
+walk(uid, kind, pos, leader) using key (uid) as (select uid, kind, pos, uid from items where pos = 1 union
+  select i.uid, i.kind, i.pos, coalesce(m.leader, i.uid) from walk w join items i on i.kind = w.kind and i.pos = w.pos + 1
+  left join (select p.uid, min(p.other) as leader from near p join recurring.walk r on r.uid = p.other and r.leader = r.uid group by 1) m on m.uid = i.uid)
+select uid, kind, leader from walk""",
     "reply_asof": f"""with {_M}, n as (select * from m where regexp_matches(text, '[^\\s\\x{{00a0}}]')),
 x as (select uid, role, last_value(case when role = 'user' then uid end ignore nulls) over (partition by sample_id order by ts, uid rows between unbounded preceding and 1 preceding) as dst from n)
 select uid as src, dst from x where role = 'assistant' and dst is not null""",
-    "message_pairs": f"with {_M}, x as (select uid as src, lead(uid) over (partition by session_id order by message_index, uid) as dst from m where session_id is not null and message_index is not null) select src, dst, 1 as distance from x where dst is not null",
+    "message_pairs": f"with {_ANY}, x as (select uid as src, lead(uid) over (partition by session_id order by message_index, uid) as dst from m where session_id is not null and message_index is not null) select src, dst, 1 as distance from x where dst is not null",
     "event_gaps": "select event_id, round(greatest(0, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) / 6e7), 9) as gap_minutes from events",
     "sessions_gap": """
 with a as (select user_id, epoch_us(ts) as t, event_id, case when epoch_us(ts) - lag(epoch_us(ts)) over w < 10800000000 then 0 else 1 end as b from events window w as (partition by user_id order by ts, event_id)),
@@ -251,7 +261,7 @@ select lower(trim(name)) as name, count(distinct entity_id) as entities, count(d
     "relation_stats": "with " + GRAPH + f""", {_E}
 select count(*) as relations, count(*) filter (a.sample_id <> b.sample_id) as cross_session, count(*) filter (a.sample_id = b.sample_id) as within_session, count(distinct type) as types, round(avg(weight), 6) as mean_confidence, round(min(weight), 6) as min_confidence, round(max(weight), 6) as max_confidence
 from edges join e a on a.entity_id = src join e b on b.entity_id = dst""",
-    "resolve_names": f"""with {_E}, a as (select distinct reference from (select unnest(aliases) as reference from entity_mentions) where length(trim(reference)) >= 9),
+    "resolve_names": f"""with {_E}, a as (select distinct reference from (select unnest(aliases) as reference from entity_mentions) where trim(reference) <> ''),
 n as (select entity_id, lower(trim(name)) as name from e where name <> ''),
 x as (select reference, min(entity_id) as entity_id from a join n on lower(trim(reference)) = name group by 1),
 p as (select reference, min(entity_id) as entity_id from a join n on contains(name, lower(trim(reference))) or contains(lower(trim(reference)), name) where reference not in (select reference from x) group by 1)
@@ -265,11 +275,11 @@ from l group by rollup (annotator)""",
 select memory_space as category, round(sum(mean * n) / sum(n), 6) as weighted from d group by 1 union all select 'overall', round(sum(mean * n) / sum(n), 6) from d
 union all select 'overall without log', round(sum(mean * n) / sum(n), 6) from d where memory_space <> 'log'""",
     "pre_aggregate": "select coalesce(nullif(trim(lang), ''), 'Other') as category, cast(sum(n_chars) as bigint) as total, count(distinct source) as names from documents group by 1",
-    "answer_em_f1": f"""with {_M}, p as (select uid, text as answer, lag(text) over (partition by session_id order by message_index, uid) as gold from m where session_id is not null and message_index is not null),
-w as (select uid, {_WORDS.replace('{c}', 'gold')} as g, {_WORDS.replace('{c}', 'answer')} as a from p where gold is not null), k as (select * from w where len(g) < 60 and len(a) < 60),
+    "answer_em_f1": f"""with {_ANY}, p as (select uid, text as answer, lag(text) over (partition by session_id order by message_index, uid) as gold from m where session_id is not null and message_index is not null),
+w as (select uid, {_WORDS.replace('{c}', 'gold')} as g, {_WORDS.replace('{c}', 'answer')} as a from p where gold is not null), k as (select * from w),
 gc as (select uid, w, count(*) as n from (select uid, unnest(g) as w from k) group by 1, 2), ac as (select uid, w, count(*) as n from (select uid, unnest(a) as w from k) group by 1, 2),
 s as (select uid, sum(least(gc.n, ac.n)) as same from gc join ac using (uid, w) group by 1)
 select k.uid, list_sort(list_distinct(g)) = list_sort(list_distinct(a)) as em, round(coalesce(2 * (same / len(a)) * (same / len(g)) / (same / len(a) + same / len(g)), 0), 6) as f1 from k left join s using (uid)""",
-    "evidence_recall": f"""with {_F}, {_M}, x as (select fact_id, unnest(list_distinct(source_unit_uids)) as uid from f), c as (select fact_id, count(*) as n, count(m.uid) as hit from x left join m on m.uid = x.uid and m.role = 'user' group by 1)
+    "evidence_recall": f"""with {_F}, {_ANY}, x as (select fact_id, unnest(list_distinct(source_unit_uids)) as uid from f), c as (select fact_id, count(*) as n, count(m.uid) as hit from x left join m on m.uid = x.uid and m.role = 'user' group by 1)
 select f.fact_id as query_id, round(coalesce(hit / n, 1), 6) as recall from f left join c using (fact_id)""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import STOP_WORDS, token_estimate, tokens
 from palimpsest.operators import dense, fusion, lexical
+from palimpsest.session import shared_path
 from palimpsest.sources.tables import table
 
 K = 10
@@ -34,8 +35,31 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("query_id", "uid", F.round("score", 6).alias("score"), "rank")
 
 
-def _bm25(spark: SparkSession, folder: str, k: int = K, candidates: DataFrame | None = None) -> DataFrame:
-    return lexical.bm25(lexical.build_index(units(spark, folder)), text_queries(spark, folder), k, candidates)
+def index(spark: SparkSession, folder: str) -> lexical.Index:
+    """The stored index of all documents."""
+    return lexical.build_index(units(spark, folder)).stored()
+
+
+def _bm25(spark: SparkSession, folder: str, k: int = K, candidates: DataFrame | None = None, stored: lexical.Index | None = None) -> DataFrame:
+    return lexical.bm25(stored or index(spark, folder), text_queries(spark, folder), k, candidates)
+
+
+def bm25_updated(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a search of an index of all documents, which begins with the longer texts, has them saved and loaded, gets the shorter ones and all chats again, and loses the logs."""
+    u, path = units(spark, folder), shared_path(spark, "saved-index")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    lexical.build_index(u.where(n > 300)).stored().save(path)
+    grown = lexical.add_documents(lexical.load_index(spark, path), u.where((n <= 300) | (F.col("memory_space") == "chat")))
+    return _shown(_bm25(spark, folder, stored=lexical.remove_documents(grown, u.where("memory_space = 'log'")).stored()))
+
+
+def sparse_updated(spark: SparkSession, folder: str) -> DataFrame:
+    """Search of a saved sparse index that got the vectors of chats again and lost those of logs."""
+    kinds, every, path = units(spark, folder).select("uid", "memory_space"), sparse_units(spark, folder), shared_path(spark, "saved-sparse")
+    dense.save_sparse(every, path)
+    of = lambda kind: kinds.where(F.col("memory_space") == kind)
+    changed = dense.changed_sparse(spark.read.parquet(path), every.join(of("chat"), "uid", "left_semi"), of("log"))
+    return _shown(dense.sparse_search(every.where("uid % 20 = 0").withColumnRenamed("uid", "query_id"), changed, K))
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,6 +170,11 @@ def quantification(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.agreement(r, {"bm25", "splade"}, {"cosine"}, best)
 
 
+def l2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearest by Euclidean distance instead of the angle."""
+    return _shown(dense.dense_search(vector_queries(spark, folder), vectors(spark, folder), K, DIM, metric="l2"))
+
+
 def mmr(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(fusion.mmr(results(spark, folder), vector_queries(spark, folder), vectors(spark, folder), K))
 
@@ -153,8 +182,8 @@ def mmr(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_space_filter, tokenize_stats, term_frequencies, keyword_search, token_estimates, dense_topk, dense_space_filter, knn_self, semantic_neighbors, implicit_neighbors, sparse_dot_topk,
-        rrf, average_fusion, weighted_minmax, weighted_zscore, methods_intersection, method_statistics, quantification, mmr,
+        bm25_topk, bm25_space_filter, bm25_updated, sparse_updated, tokenize_stats, term_frequencies, keyword_search, token_estimates, dense_topk, dense_space_filter, knn_self, semantic_neighbors, implicit_neighbors, sparse_dot_topk,
+        rrf, average_fusion, weighted_minmax, weighted_zscore, methods_intersection, method_statistics, quantification, l2_topk, mmr,
     )
 }
 
@@ -175,6 +204,15 @@ qt as (select uid as query_id, term, count(*) as qtf from tok where uid % 20 = 0
 bm as (select query_id, wt.uid, sum(qtf * w) as score from qt join wt using (term) {where} group by 1, 2 having sum(qtf * w) > 1e-6),
 bm25 as (select *, row_number() over (partition by query_id order by round(score, 9) desc, uid) as rank from bm)"""
 )
+
+
+def bm25_sql(docs: str, queries: str) -> str:
+    """The same common table expressions over other documents (uid, text) and queries (query_id, text)."""
+    of = lambda name, key, source: TOKENS.replace("tok as (", f"{name} as (", 1).replace("doc_id as uid,", f"{key} as uid,").replace("from documents) t", f"from {source}) t")
+    rest = BM25[len(TOKENS):].replace("count(distinct doc_id) from documents", f"count(distinct uid) from {docs}").replace("from tok where uid % 20 = 0", "from qtok").replace("{where}", "")
+    return of("tok", "uid", docs) + "," + of("qtok", "query_id", queries) + rest
+
+
 VEC = """
 vec as (select vec_id as uid, label, cast(embedding as double[]) as v from embeddings),
 nv as (select uid, label, v, sqrt(list_inner_product(v, v)) as norm from vec),
@@ -202,6 +240,11 @@ f as (select u.query_id, u.uid, m.method, m.weight, coalesce(r.score, 0) as scor
 s as (select *, min(score) over w as lo, max(score) over w as hi, avg(score) over w as av, stddev_pop(score) over w as sd from f window w as (partition by query_id, method)),
 """
 ORACLES = {
+    "bm25_updated": "with " + BM25.replace("{where}", "").replace("from documents", "from kept_docs").replace("tok as (", "kept_docs as (select * from documents where memory_space is distinct from 'log'),\nqtok as (" + TOKENS.split("tok as (")[1] + ",\ntok as (", 1).replace("from tok where uid % 20 = 0", "from qtok where uid % 20 = 0") + _TOP.format(t="bm25", k=10),
+    "sparse_updated": "with " + TOKENS + "," + SPARSE.replace("where a.uid % 20 = 0", "join documents d on d.doc_id = b.uid where a.uid % 20 = 0 and d.memory_space is distinct from 'log'") + _TOP.format(t="splade", k=10),
+    "l2_topk": "with " + VEC.split(",\ncs as")[0] + """,
+cs as (select q.uid as query_id, u.uid, 1 / (1 + sqrt(list_sum(list_transform(list_zip(q.v, u.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) as score from nv q, nv u where q.uid % 20 = 0),
+l2 as (select *, row_number() over (partition by query_id order by round(score, 9) desc, uid) as rank from cs)""" + _TOP.format(t="l2", k=10),
     "bm25_topk": "with " + BM25.replace("{where}", "") + _TOP.format(t="bm25", k=10),
     "bm25_space_filter": "with " + BM25.replace("{where}", "join documents d on d.doc_id = wt.uid and d.memory_space = 'chat'") + _TOP.format(t="bm25", k=10),
     "tokenize_stats": "with " + TOKENS + " select d.lang, count(*) as terms, count(distinct term) as distinct_terms from tok join documents d on d.doc_id = uid group by d.lang",

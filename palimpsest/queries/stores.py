@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import graph as g
 from palimpsest.operators import units as u
+from palimpsest.operators.cluster import cluster_nodes
 from palimpsest.sources.tables import table
 
 
@@ -193,7 +194,7 @@ def edge_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entity_communities(spark: SparkSession, folder: str) -> DataFrame:
-    return g.label_propagation(edges(spark, folder), 3)
+    return cluster_nodes(None, edges(spark, folder), "community", 0, rounds=3)
 
 
 QUERIES = {
@@ -218,15 +219,29 @@ rel as (select entity_id as src, max(related_entities) as r from extracted_entit
 ex as (select src, unnest(r) as dst, unnest(range(len(r))) as pos from rel where len(r) > 0),
 edges as (select src || '#' || lpad(cast(pos as varchar), 3, '0') as edge_id, src, dst, lower(node_type) as type, coalesce(confidence, 0.5) as weight from ex join nodes on id = dst),
 seeds as (select id as uid from nodes where cast(substring(id, 5) as bigint) % 20 = 0)"""
-_PATHS = (
+_WALKS = (
     "with recursive " + GRAPH
     + """,
 step as (select src, dst, arg_min(weight, edge_id) as w from edges where src <> dst group by 1, 2),
 walk as (select uid as source, uid as target, [uid] as path, 0.0::double as total from seeds union all
-  select source, dst, list_append(path, dst), total + w from walk join step on src = target where len(path) < 4 and not list_contains(path, dst)),
+  select source, dst, list_append(path, dst), total + w from walk join step on src = target where len(path) < {nodes} and not list_contains(path, dst)),
 pa as (select source, target, array_to_string(path, '>') as path, path as nodes_, total / (len(path) - 1) as weight, row_number() over (partition by source, target order by len(path), array_to_string(path, '>')) as i from walk where len(path) > 1)
 """
 )
+_PATHS, FIVE_NODES = _WALKS.replace("{nodes}", "4"), _WALKS.replace("{nodes}", "5")
+# The best ends of edges for the queries q(query_id, query), lower-cased.
+EDGES_FOUND = """
+rn as (select query_id, id, len(list_filter(ws, lambda w: contains(lower(coalesce(text, '')), w))) / len(ws) as r from nodes, qw),
+rt as (select query_id, type, len(list_filter(ws, lambda w: contains(type, w))) / len(ws) as r from (select distinct type from edges), qw),
+sc as (select a.query_id, edge_id, src, dst, a.r as ra, b.r as rb, least(1, 0.5 * t.r) + 0.3 * a.r + 0.3 * b.r as score from edges e, rn a, rn b, rt t
+  where a.id = src and b.query_id = a.query_id and b.id = dst and t.query_id = a.query_id and t.type = e.type),
+bst as (select *, row_number() over (partition by query_id order by round(score, 9) desc, edge_id) as i from sc where score > 0),
+ends as (select query_id, src as uid, 0.7 * score * 0.8 + 0.3 * ra as score from bst where i <= 10 union all select query_id, dst, 0.7 * score + 0.3 * rb from bst where i <= 10),
+ef as (select query_id, uid, max(score) as score from ends group by 1, 2),
+er as (select *, row_number() over (partition by query_id order by round(score, 9) desc, uid) as rank from ef)"""
+NAME_QUERIES = """
+q as (select uid as query_id, text as query from seeds join nodes on id = uid),
+qw as (select query_id, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: w <> '') as ws from q where trim(query) <> '')"""
 ORACLES = {
     "space_closure": "with recursive " + MEMBERS + " select ancestor, space, depth from tree",
     "space_stats": "with recursive " + MEMBERS + """
@@ -274,12 +289,13 @@ rk as (select seed, uid from n1 qualify row_number() over (partition by seed ord
 h1 as (select rk.uid, 1 as hop, min(seed) as via from rk join seeds on seed = seeds.uid where rk.uid not in (select uid from seeds) group by 1),
 h2 as (select rk.uid, 2 as hop, min(seed) as via from rk join h1 on seed = h1.uid where rk.uid not in (select uid from seeds) and rk.uid not in (select uid from h1) group by 1)
 select * from h1 union all select * from h2""",
-    "simple_paths": _PATHS + "select source, target, path, round(weight, 6) as weight from pa where i <= 3",
+    "simple_paths": FIVE_NODES + "select source, target, path, round(weight, 6) as weight from pa where i <= 10",
     "shortest_path": "with recursive " + GRAPH + """,
-step as (select src, dst, min(weight) as w from edges group by 1, 2),
-walk as (select uid as source, uid as target, 0 as hops, 0.0::double as distance from seeds union all select source, dst, hops + 1, distance + w from walk join step on src = target where hops < 3),
-b as (select source, target, min((distance, hops)) as b from walk where source <> target group by 1, 2)
-select source, target, b[2] as hops, round(b[1], 6) as distance, round(1.0::double / (1 + b[2]), 6) as score from b""",
+step as (select src, dst, min(weight) as w from edges where src <> dst group by 1, 2),
+walk(source, target, b) using key (source, target) as (select uid, uid, (0.0::double, 0) from seeds union
+  select source, dst, b from (select w.source, s.dst, min((w.b[1] + s.w, w.b[2] + 1)) as b from walk w join step s on s.src = w.target group by 1, 2) n
+  where not exists (select 1 from recurring.walk r where r.source = n.source and r.target = n.dst and r.b <= n.b))
+select source, target, b[2] as hops, round(b[1], 6) as distance, round(1.0::double / (1 + b[2]), 6) as score from walk where source <> target""",
     "semantic_paths": _PATHS + """,
 good as (select distinct source, target as uid from pa where i <= 10 and weight > 0.6),
 gl as (select source, list(uid) as g from good group by 1),
@@ -290,14 +306,10 @@ top as (select * from pa where i <= 3 order by round(weight, 9) desc, source, ta
 pl as (select weight, len(nodes_) as n, unnest(nodes_) as uid, unnest(range(len(nodes_))) as k from top),
 bs as (select uid, max(weight * case when n = 1 or k = 0 or k = n - 1 then 1.0::double else 0.5 + 0.5 * (1 - k::double / (n - 1)) end) as score from pl group by 1)
 select uid, round(score, 6) as score from bs order by round(score, 9) desc, uid limit 20""",
-    "edge_search": "with " + GRAPH + """,
-q as (select * from (values (1, 'organization optics group'), (2, 'person eleanor'), (3, 'marine limited company')) t(query_id, query)),
-rn as (select query_id, id, len(list_filter(string_split(query, ' '), lambda w: contains(lower(coalesce(text, '')), w))) / len(string_split(query, ' ')) as r from nodes, q),
-rt as (select query_id, type, len(list_filter(string_split(query, ' '), lambda w: contains(type, w))) / len(string_split(query, ' ')) as r from (select distinct type from edges), q),
-sc as (select q.query_id, edge_id, src, dst, a.r as ra, b.r as rb, least(1, 0.5 * t.r) + 0.3 * a.r + 0.3 * b.r as score from edges e, q, rn a, rn b, rt t
-  where a.query_id = q.query_id and a.id = src and b.query_id = q.query_id and b.id = dst and t.query_id = q.query_id and t.type = e.type),
-bst as (select *, row_number() over (partition by query_id order by round(score, 9) desc, edge_id) as i from sc where score > 0),
-ends as (select query_id, src as uid, 0.7 * score * 0.8 + 0.3 * ra as score from bst where i <= 10 union all select query_id, dst, 0.7 * score + 0.3 * rb from bst where i <= 10),
-f as (select query_id, uid, max(score) as score from ends group by 1, 2)
-select query_id, uid, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, uid) as rank from f) where rank <= 10""",
+    "edge_search": "with " + GRAPH + "," + NAME_QUERIES + "," + EDGES_FOUND + " select query_id, uid, round(score, 6) as score, rank from er where rank <= 10",
+    "entity_communities": "with " + GRAPH + """,
+both_ as (select src as a, dst as b from edges where src <> dst union all select dst, src from edges where src <> dst), near as (select a, b, count(*) as n from both_ group by 1, 2),
+l0 as (select distinct id as node, id as community from (select src as id from edges union select dst from edges))""" + "".join(f""",
+v{i} as (select a, community, sum(n) as n from near join l{i - 1} on b = node group by 1, 2),
+l{i} as (select node, coalesce(won, community) as community from l{i - 1} left join (select a, arg_min(community, (-n, community)) as won from v{i} group by 1) on a = node)""" for i in (1, 2, 3)) + " select node, community from l3",
 }

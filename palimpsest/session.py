@@ -107,11 +107,12 @@ class Scratch:
         self.paths = self.paths[len(self.paths) - last :]
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if ``df`` has at most ``max_rows`` rows, looked at by reading at most one
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only if ``df`` has at most ``max_rows`` rows and about ``max_bytes``, looked at by reading at most one
     row more; else leave the strategy to the optimizer."""
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+    size = F.lit(16 * len(df.columns)) + sum((F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"), F.lit(0))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 @contextlib.contextmanager

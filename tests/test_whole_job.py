@@ -51,7 +51,7 @@ def test_questions_are_whole_sentences(spark, tables):
         ("1", 0, "Könntest du 3.5 kg Mehl prüfen?"), ("1", 1, "There was a second-hand puzzle in Ulm, wasn't there?"), ("2", 0, "你能在星期五之前检查一下风筝吗？"), ("3", 0, "هل وصلت الرسالة؟"),
         ("4", 0, 'How many of the 12 came?"'), ("4", 1, "Really?!"), ("5", 0, "vine: When did Dr. J. Zoë move?"),
     ]
-    assert rows(context._questions(spark, folder), "uid", "no", "question") == expected
+    assert rows(context.questions(spark, folder), "uid", "no", "question") == expected
     assert context.route_locomo(spark, folder).count() == context.route_longmemeval(spark, folder).count() == 7
 
 
