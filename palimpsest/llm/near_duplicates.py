@@ -22,6 +22,8 @@ SHARES = (4, 8, 16, 32, 64, 128, 256)
 #: Bits of the folded fingerprint that travels with a block.
 FOLD = 128
 MAX_WIDTH = 4
+#: Rows of blocks that a task compares at a time.
+ROWS_TOGETHER = 200_000
 _MASK = (1 << 64) - 1
 
 
@@ -115,13 +117,23 @@ def _fold(words: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return a[first], b[first]
+
+
 def _near(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
-    """Pairs within the blocks of rows sorted by block whose folded fingerprints are near enough."""
-    rest: list[np.ndarray] | None = None
-    out: list[np.ndarray] = []
+    """Pairs within the blocks of rows sorted by block whose folded fingerprints are near enough. Rows are taken ``ROWS_TOGETHER`` at a
+    time, and a block that goes on beyond them is kept for the next time."""
+    waiting: list[list[np.ndarray]] = []
+    rows = 0
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
-    def pairs(columns: list[np.ndarray]) -> None:
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         nonlocal held
         block, ids, n, f0, f1 = columns
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -136,32 +148,35 @@ def _near(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.Record
             keep = (apart <= limit * (n[left] + n[right]) + 1e-9) & (ids[left] != ids[right])
             if keep.any():
                 x, y = ids[left[keep]], ids[right[keep]]
-                out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
-                held += len(out[-1])
+                out.append((np.minimum(x, y), np.maximum(x, y)))
+                held += len(x)
+                if held > 1_000_000:
+                    yield emit()
             step += 1
             left = left[left + step < end[left]]
 
     def emit() -> pa.RecordBatch:
         nonlocal held
-        both = np.unique(np.concatenate(out), axis=0)
+        a, b = _once(*(np.concatenate(side) for side in zip(*out, strict=True)))
         out.clear()
         held = 0
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last block may go on in the next batch
+        waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+        rows += batch.num_rows
+        if rows < ROWS_TOGETHER:
+            continue
+        columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last block may go on
         if cut:
-            pairs([x[:cut] for x in columns])
-        rest = [x[cut:] for x in columns]
-        if held > 200_000:
-            yield emit()
-    if rest is not None:
-        pairs(rest)
+            yield from pairs([x[:cut] for x in columns])
+        waiting = [[x[cut:] for x in columns]]
+        rows = len(columns[0]) - cut
+    if waiting:
+        yield from pairs([np.concatenate(x) for x in zip(*waiting, strict=True)])
     if held:
         yield emit()
 
