@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import DEFAULT_FOLDER, count_column
+from palimpsest.llm.bpe import DEFAULT_FOLDER, count_columns
+from palimpsest.operators.running import running_sum
 from palimpsest.session import ship, written
 
 #: Containers a lane aims at, and items it holds at most on average: the unit of work of a task.
 LANE_CONTAINERS = 2048
 LANE_ITEMS = 50_000
+#: Lanes whose deficits are summed in one task.
+LANES_PER_BUCKET = 4096
 #: Containers filled in one round of the queues.
 WINDOW_CONTAINERS = 256
 ASSIGNMENT = "profile string, container_id string, capacity_tokens int, lane int, window_no int, source string, doc_id bigint, piece_no int, token_start bigint, n_tokens int"
@@ -23,11 +26,7 @@ ASSIGNMENT = "profile string, container_id string, capacity_tokens int, lane int
 def token_sizes(documents: DataFrame, tokenizers: list[str], folder: str = DEFAULT_FOLDER) -> DataFrame:
     """``doc_id, source, tokenizer, n`` of every document for each tokenizer; null and empty texts have 0."""
     keyed = documents.select(F.struct("doc_id", "source").alias("doc"), "text")
-    out = None
-    for t in tokenizers:
-        n = count_column(keyed, "doc", "text", t, "n", folder).select("doc.doc_id", "doc.source", F.lit(t).alias("tokenizer"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    return count_columns(keyed, "doc", "text", tokenizers, folder).select("doc.doc_id", "doc.source", "tokenizer", "n")
 
 
 class _Bins:
@@ -131,8 +130,10 @@ def pack(documents: DataFrame, profiles: DataFrame, folder: str = DEFAULT_FOLDER
     # Deficits at a lane's start: what its sources should have had in the lanes before, less what they had.
     in_lane = by_source.groupBy("profile", "lane").agg(F.sum("tokens").alias("lane_tokens"))
     grid = in_lane.join(share, "profile").join(by_source, ["profile", "lane", "source"], "left").fillna(0, ["tokens"])
-    earlier = Window.partitionBy("profile", "source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    carried = grid.select("profile", "lane", "source", "share", F.coalesce(F.sum(F.col("share") * F.col("lane_tokens") - F.col("tokens")).over(earlier), F.lit(0.0)).alias("carried"))
+    owed = F.col("share") * F.col("lane_tokens") - F.col("tokens")
+    grid = written(grid.withColumn("bucket", F.floor(F.col("lane") / LANES_PER_BUCKET)), "lanes")
+    upto = running_sum(grid, ["profile", "source"], "bucket", [F.col("lane")], owed, "upto")
+    carried = upto.select("profile", "lane", "source", "share", (F.col("upto") - owed).alias("carried"))
     ready = laned.join(carried, ["profile", "lane", "source"]).drop("lanes", "total")
     return ready.groupBy("profile", "lane").applyInPandas(_fill_lane, ASSIGNMENT)
 
