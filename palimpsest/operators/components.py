@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palimpsest.session import Scratch, written
 
 
-def _digest(edges: DataFrame) -> tuple:
+def _kept(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links, written, with their number and the sums of two hashes, which are observed while they are written."""
     total = lambda *salt: F.sum(F.xxhash64("u", "v", *salt).cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count("*"), total(), total(F.lit(1))).first())
+    seen = Observation()
+    kept = scratch.keep(edges.observe(seen, F.count(F.lit(1)).alias("n"), total().alias("a"), total(F.lit(1)).alias("b")), "links")
+    return kept, tuple(seen.get[c] for c in ("n", "a", "b"))
 
 
 def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -26,8 +29,7 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
         nodes = scratch.keep(named.select(F.col("u").alias("node")).unionByName(named.select(F.col("v").alias("node"))).where("node is not null").distinct(), "nodes")
         rounds = Scratch(links.sparkSession)
         with rounds:
-            edges = rounds.keep(named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-            seen = _digest(edges)
+            edges, seen = _kept(rounds, named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
             for _ in range(max_rounds):
                 both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
                 low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -35,10 +37,9 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
                 low = large.groupBy("u").agg(F.min("v").alias("m"))
                 joined = large.join(low, "u")
                 small = joined.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-                edges = rounds.keep(small, "links")
+                edges, now = _kept(rounds, small)
                 rounds.drop_before(1)
                 # Settled when the links are the same stars as before: as many, with the same sums of two hashes.
-                now = _digest(edges)
                 if now == seen:
                     break
                 seen = now

@@ -30,14 +30,20 @@ def reply_edges(messages: DataFrame, thread: str = "sample_id", order: tuple[str
     return latest.where("role = 'assistant'").join(before, [thread, "_day"]).select(F.col("uid").alias("src"), F.coalesce("_in_day", "_before").alias("dst")).where("dst is not null")
 
 
-def message_pairs(messages: DataFrame, session: str = "session_id", order: str = "message_index") -> DataFrame:
-    """``src, dst, distance``: consecutive messages of a session. A long session is cut into stretches of ``order``: the first message of the next stretch is joined in."""
-    x = messages.where(F.col(session).isNotNull() & F.col(order).isNotNull()).select("uid", session, order, F.floor(F.col(order) / STRETCH).alias("_part"))
+def with_previous(messages: DataFrame, value: str, session: str = "session_id", order: str = "message_index") -> DataFrame:
+    """Messages that have a session and a place, with ``previous``: the value of the message before in the session, null for the first. A long session is cut into stretches of ``order``; the last
+    message of the stretch before is joined in."""
+    x = messages.where(F.col(session).isNotNull() & F.col(order).isNotNull()).withColumn("_part", F.floor(F.col(order) / STRETCH))
     within = Window.partitionBy(session, "_part").orderBy(order, "uid")
-    near = x.withColumn("_next", F.lead("uid").over(within))
-    firsts = x.groupBy(session, "_part").agg(F.min_by("uid", F.struct(order, "uid")).alias("_first"))
-    after = firsts.select(session, "_part", F.lead("_first").over(Window.partitionBy(session).orderBy("_part")).alias("_after"))
-    return near.join(after, [session, "_part"]).select(F.col("uid").alias("src"), F.coalesce("_next", "_after").alias("dst"), F.lit(1).alias("distance")).where("dst is not null")
+    near = x.withColumn("_before", F.lag(value).over(within)).withColumn("_i", F.row_number().over(within))
+    lasts = x.groupBy(session, "_part").agg(F.max_by(value, F.struct(order, "uid")).alias("_last"))
+    earlier = lasts.select(session, "_part", F.lag("_last").over(Window.partitionBy(session).orderBy("_part")).alias("_earlier"))
+    return near.join(earlier, [session, "_part"]).withColumn("previous", F.when(F.col("_i") == 1, F.col("_earlier")).otherwise(F.col("_before"))).select(*messages.columns, "previous")
+
+
+def message_pairs(messages: DataFrame, session: str = "session_id", order: str = "message_index") -> DataFrame:
+    """``src, dst, distance``: consecutive messages of a session."""
+    return with_previous(messages.select("uid", session, order), "uid", session, order).where("previous is not null").select(F.col("previous").alias("src"), F.col("uid").alias("dst"), F.lit(1).alias("distance"))
 
 
 def gaps(events: DataFrame, key: str, ts: str) -> DataFrame:

@@ -89,7 +89,8 @@ def expand_by_hops(edges: DataFrame, seeds: DataFrame, hops: int = 1, most: int
 
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None, max_nodes: int = 5, per_pair: int = 10, types: list[str] | None = None) -> DataFrame:
     """``source, target, path, weight``: directed paths without a repeated node, of up to ``max_nodes`` nodes; the ``per_pair``
-    shortest of each pair, ties by path. Of parallel edges the first counts; ``weight`` is the mean of the edges' (1 if they have none)."""
+    shortest of each pair, ties by path. Of parallel edges the first counts; ``weight`` is the mean of the edges' (1 if they have none).
+    Every path of up to ``max_nodes`` nodes is made, since a longer one may be the only one that some detour leaves; their number grows with the degree to the power ``max_nodes`` - 1."""
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     step = _of_types(edges, types).where("src <> dst").groupBy("src", "dst").agg(F.min_by(weight, "edge_id").alias("w"))
     front = sources.select(F.col("uid").alias("source"), F.col("uid").alias("target"), F.array("uid").alias("path"), F.lit(0.0).alias("total")).distinct()

@@ -7,7 +7,10 @@ zone rules decide. A value with no date, with two different dates, or with an im
 
 Policy for local times: one that occurs twice is the first of the two; one that is skipped is read
 with the offset in force before the change. A zone or offset in the value comes before the zone of
-the source.
+the source. A word with a slash that isn't the name of a zone, such as a place or a department, says
+nothing about the zone: the zone of the source holds. An offset out of range makes the value unreadable.
+Bare numbers of 9 digits or more are Unix times up to the end of 2099; larger ones are taken for
+numbers of other kinds and have no normal form.
 """
 
 from __future__ import annotations

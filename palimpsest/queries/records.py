@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import normalized_answer
@@ -166,9 +166,8 @@ def pre_aggregate(spark: SparkSession, folder: str) -> DataFrame:
 
 def answer_em_f1(spark: SparkSession, folder: str) -> DataFrame:
     """Each message against the one before it in its session, as if it were the answer expected."""
-    w = Window.partitionBy("session_id").orderBy("message_index", "uid")
-    m = messages(spark, folder).where("session_id is not null and message_index is not null").select("session_id", "uid", F.col("text").alias("answer"), F.lag("text").over(w).alias("gold")).where("gold is not null")
-    x = m.select("session_id", "uid", normalized_answer(F.col("gold")).alias("g"), normalized_answer(F.col("answer")).alias("a"))
+    m = dialogue.with_previous(messages(spark, folder).select("session_id", "uid", "message_index", "text"), "text").where("previous is not null")
+    x = m.select("session_id", "uid", normalized_answer(F.col("previous")).alias("g"), normalized_answer(F.col("text")).alias("a"))
     return metrics.answer_scores(x, "session_id", "uid").select("uid", "em", F.round("f1", 6).alias("f1"))
 
 

@@ -176,7 +176,8 @@ def l2_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mmr(spark: SparkSession, folder: str) -> DataFrame:
-    return _shown(fusion.mmr(results(spark, folder), vector_queries(spark, folder), vectors(spark, folder), K))
+    out = fusion.mmr(results(spark, folder), vector_queries(spark, folder), vectors(spark, folder), K)
+    return out.select("query_id", "uid", F.round("score", 9).alias("score"), "rank")
 
 
 QUERIES = {
@@ -267,6 +268,24 @@ select doc_id as uid, cast(floor((cjk * 6 + lat * 3 + (n - cjk - lat) * 4) / 10.
 f as (select uid, min((query_id, rank)) as place from cosine where rank <= 3 group by uid)
 select uid from f order by place, uid limit (select 3 * count(*) from embeddings where vec_id % 20 = 0)""",
     "sparse_dot_topk": "with " + TOKENS + "," + SPARSE + _TOP.format(t="splade", k=10),
+    "mmr": RESULTS.replace("with ", "with recursive ", 1) + """,
+fused as (select query_id, uid, sum(1.0::double / (60 + rank)) as score from res group by 1, 2),
+pl as (select *, row_number() over (partition by query_id order by round(score, 9) desc, uid) as place from fused),
+cd as (select p.query_id, p.uid, place, list_inner_product(q.v, d.v) / (q.norm * d.norm) as rel from pl p join nv d on d.uid = p.uid join nv q on q.uid = p.query_id where place <= 200),
+sm as (select a.query_id, a.uid, map_from_entries(list((b.uid, list_inner_product(x.v, y.v) / (x.norm * y.norm)))) as sims from cd a join cd b on a.query_id = b.query_id join nv x on x.uid = a.uid join nv y on y.uid = b.uid group by 1, 2),
+cx as (select cd.*, sims from cd join sm using (query_id, uid)),
+mm as (select distinct query_id, 0 as step, []::bigint[] as chosen from cx union all
+  select query_id, step + 1, list_append(chosen, arg_min(uid, place)) from (
+    select *, max(value) over (partition by query_id) as best from (
+      select m.query_id, m.step, m.chosen, c.uid, c.place, 0.5 * rel - 0.5 * greatest(0, coalesce(list_max(list_transform(m.chosen, lambda u: c.sims[u])), 0)) as value
+      from mm m join cx c on c.query_id = m.query_id where m.step < 10 and not list_contains(m.chosen, c.uid)) v) w
+  where value >= best - 1e-5 group by query_id, step, chosen),
+lg as (select query_id, arg_max(chosen, step) as chosen from mm group by 1),
+fl as (select p.query_id, p.uid, row_number() over (partition by p.query_id order by p.place) as i from pl p left join cx c on c.query_id = p.query_id and c.uid = p.uid where c.uid is null and p.place <= 200),
+od as (select query_id, unnest(chosen) as uid, unnest(range(1, len(chosen) + 1)) as rank from lg union all
+  select f.query_id, f.uid, i + coalesce(len(chosen), 0) from fl f left join lg using (query_id) where i + coalesce(len(chosen), 0) <= 10),
+sz as (select query_id, count(*) as size from od group by 1)
+select query_id, uid, round(0.3 * pl.score + 0.7 * (size - (rank - 1)) / size, 9) as score, rank from od join sz using (query_id) join pl using (query_id, uid)""",
     "rrf": RESULTS + ", fused as (select query_id, uid, sum(1.0::double / (60 + rank)) as score from res group by 1, 2)" + _FUSED,
     "average_fusion": RESULTS + ", fused as (select query_id, uid, avg(score) as score from res group by 1, 2)" + _FUSED,
     "weighted_minmax": RESULTS + _WIDE + "fused as (select query_id, uid, sum(weight * case when hi > lo then (score - lo) / (hi - lo) else score end) as score from s group by 1, 2)" + _FUSED,
