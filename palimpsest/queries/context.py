@@ -224,6 +224,20 @@ select query_id, chunk_id from chunks join m1 using (query_id) join m2 using (qu
 rf as (select *, max(case when ts > 0 then ts end) over (partition by query_id) as ref from chunks)
 select query_id, chunk_id, round(0.5 * score + 0.3 * case tower when 'hierarchical' then 1 when 'episodic' then 0.8 when 'kg' then 0.6 else 0.5 end
   + 0.2 * case when ts > 0 then exp(-abs(ref - ts) / 3600 / 720) * case when ts > ref then 0.2 else 1 end else 0.5 end, 8) as arbitration from rf""",
+    "disambiguate": _CHUNKS.replace("with ", "with recursive ", 1) + """,
+rf as (select *, max(case when ts > 0 then ts end) over (partition by query_id) as ref from chunks),
+ar as (select rf.*, list_concat(list_transform(regexp_extract_all(rf.text, '[A-Z][a-z]+ [A-Z][a-z]+'), lambda x: 'e' || x), ['s' || coalesce(d.source, 'None')]) as keys,
+  0.5 * score + 0.3 * case tower when 'hierarchical' then 1 when 'episodic' then 0.8 when 'kg' then 0.6 else 0.5 end + 0.2 * case when ts > 0 then exp(-abs(ref - ts) / 3600 / 720) * case when ts > ref then 0.2 else 1 end else 0.5 end as arb
+  from rf join documents d on d.doc_id = chunk_id),
+od as (select query_id, chunk_id, {'c': chunk_id, 'tower': tower, 'keys': keys, 'ts': ts, 'score': score} as x, row_number() over (partition by query_id order by arb desc, pos) as i from ar),
+st as (select query_id, i, x, [x] as acc, 0 as drops, chunk_id, false as dropped, null::varchar as reason, null::bigint as keeper from od where i = 1 union all
+  select query_id, i, x, case when drop_ then acc else list_append(acc, x) end, drops + drop_::int, chunk_id, drop_,
+    case when not drop_ then null when x.ts > 0 and hit.ts > 0 and hit.ts - x.ts > 2592000 then 'STALE' when x.score < 0.5 * hit.score then 'LOW_SCORE' else 'REDUNDANT' end, case when drop_ then hit.c end from (
+    select *, hit is not null and drops < 5 as drop_ from (
+      select query_id, i, x, acc, drops, chunk_id, list_filter(acc, lambda a: list_contains(a.keys, key))[1] as hit from (
+        select o.query_id, o.i, o.x, s.acc, s.drops, o.chunk_id, list_filter(o.x.keys, lambda k: len(list_filter(s.acc, lambda a: list_contains(a.keys, k))) > 0 and len(list_filter(s.acc, lambda a: list_contains(a.keys, k) and a.tower = o.x.tower)) = 0)[1] as key
+        from st s join od o on o.query_id = s.query_id and o.i = s.i + 1) k1) k2) k3)
+select query_id, chunk_id, dropped, reason, keeper from st""",
     "confidence_prune": _CONF + " select query_id, chunk_id, level, promoted from cl",
     "cumulative_stop": _CONF + """,
 cu as (select *, row_number() over (partition by query_id order by round(score, 9) desc, pos) - 1 as i from cl where level <> 'DROP'),

@@ -214,6 +214,14 @@ walk(uid, kind, pos, leader) using key (uid) as (select uid, kind, pos, uid from
   select i.uid, i.kind, i.pos, coalesce(m.leader, i.uid) from walk w join items i on i.kind = w.kind and i.pos = w.pos + 1
   left join (select p.uid, min(p.other) as leader from near p join recurring.walk r on r.uid = p.other and r.leader = r.uid group by 1) m on m.uid = i.uid)
 select uid, kind, leader from walk""",
+    # Without vectors no sum of the softer signs reaches the boundary, so only the hard rules begin a session.
+    "sessions_full": f"""with recursive {_M},
+x as (select sample_id, uid, cast(trunc(ts * 1000000) as bigint) as t, length(coalesce(text, '')) as n, row_number() over (partition by sample_id order by cast(trunc(ts * 1000000) as bigint), uid) as pos from m where sample_id is not null),
+w as (select sample_id, uid, pos, t, 1 as units, n as chars, t as start, 1 as number from x where pos = 1 union all
+  select sample_id, uid, pos, t, case when s then 1 else units + 1 end, case when s then n else chars + n end, case when s then t else start end, number + s::int from (
+    select x.*, w.units, w.chars, w.start, w.number, w.units >= 80 or w.chars + x.n > 12000 or x.t - w.t >= 10800000000
+      or ((w.units >= 2 or w.chars >= 200) and floor(x.t / 86400000000) <> floor(w.t / 86400000000)) as s from w join x on x.sample_id = w.sample_id and x.pos = w.pos + 1) y)
+select sample_id, uid, regexp_replace(sample_id, '[^A-Za-z0-9_.:-]+', '_', 'g') || '::auto_session::' || strftime(make_timestamp(start), '%Y%m%d') || '_' || lpad(cast(number as varchar), 4, '0') as session_id from w""",
     "reply_asof": f"""with {_M}, n as (select * from m where regexp_matches(text, '[^\\s\\x{{00a0}}]')),
 x as (select uid, role, last_value(case when role = 'user' then uid end ignore nulls) over (partition by sample_id order by ts, uid rows between unbounded preceding and 1 preceding) as dst from n)
 select uid as src, dst from x where role = 'assistant' and dst is not null""",
