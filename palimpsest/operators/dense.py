@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.products import TERMS, best_products
 from palimpsest.operators.ranking import top_k
 from palimpsest.session import bounded_broadcast, ship, written
 
@@ -83,11 +84,12 @@ def implicit_neighbours(queries: DataFrame, vectors: DataFrame, dim: int, k: int
 
 def sparse_search(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """Dot product over shared terms of exploded sparse vectors: ``queries(query_id, term, weight)``, ``units(uid,
-    term, weight)``; only positive weights, only positive scores. ``query_id, uid, score, rank``. Rows of terms that no query has are left out before anything is shuffled."""
-    q = written(queries.where("weight > 0").select("query_id", "term", F.col("weight").alias("qw")), "query-weights")
-    u = units.where("weight > 0").select("uid", "term", F.col("weight").alias("uw")).join(bounded_broadcast(q.select("term").distinct(), 300_000), "term", "left_semi").repartition("uid")  # as in bm25
-    scored = u.join(bounded_broadcast(q, 300_000), "term").groupBy("query_id", "uid").agg(F.sum(F.col("qw") * F.col("uw")).alias("score"))
-    return top_k(scored.where("score > 0"), ["query_id"], k)
+    term, weight)``; only positive, finite weights, only positive scores. ``query_id, uid, score, rank``. Rows of terms that no query has are left out before anything is shuffled."""
+    positive = (F.col("weight") > 0) & (F.col("weight") < float("inf"))
+    q = written(queries.where(positive).select("query_id", "term", F.col("weight").alias("qw")), "query-weights")
+    u = units.where(positive).select("uid", "term", F.col("weight").alias("uw"))
+    u = written(u.join(bounded_broadcast(q.select("term").distinct(), TERMS), "term", "left_semi").select("uid", "term", "uw"), "unit-weights")
+    return best_products(q, u, u.count(), k, 0.0)
 
 
 def tiny_weights_dropped(sparse: DataFrame, vocabulary: int = 30522) -> DataFrame:
