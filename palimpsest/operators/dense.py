@@ -82,13 +82,15 @@ def implicit_neighbours(queries: DataFrame, vectors: DataFrame, dim: int, k: int
     return first.orderBy("at", "uid").limit(k * n).select("uid", "score")
 
 
-def sparse_search(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
+def sparse_search(queries: DataFrame, units: DataFrame, k: int, stored: bool = False) -> DataFrame:
     """Dot product over shared terms of exploded sparse vectors: ``queries(query_id, term, weight)``, ``units(uid,
-    term, weight)``; only positive, finite weights, only positive scores. ``query_id, uid, score, rank``. Rows of terms that no query has are left out before anything is shuffled."""
+    term, weight)``; only positive, finite weights, only positive scores. ``query_id, uid, score, rank``. Rows of terms that no query has are left out before anything is shuffled.
+    ``stored`` units are read from a table as they are, twice; others are written first."""
     positive = (F.col("weight") > 0) & (F.col("weight") < float("inf"))
     q = written(queries.where(positive).select("query_id", "term", F.col("weight").alias("qw")), "query-weights")
     u = units.where(positive).select("uid", "term", F.col("weight").alias("uw"))
-    u = written(u.join(bounded_broadcast(q.select("term").distinct(), TERMS), "term", "left_semi").select("uid", "term", "uw"), "unit-weights")
+    if not stored:
+        u = written(u.join(bounded_broadcast(q.select("term").distinct(), TERMS), "term", "left_semi").select("uid", "term", "uw"), "unit-weights")
     return best_products(q, u, u.count(), k, 0.0)
 
 

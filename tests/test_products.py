@@ -65,3 +65,11 @@ def test_pairs_are_no_rows_of_spark(spark):
         assert "Join" not in plan and "Aggregate" not in plan
         rows = out.collect()
         assert len(rows) == 500 and {r["rank"] for r in rows} == {1, 2, 3, 4, 5}
+
+
+def test_sparse_search_of_the_stored_index(spark, folder):
+    """The lexical index's postings give the weights that the texts give."""
+    from palimpsest.queries import retrieval as r
+
+    rows = lambda df: {(x["query_id"], x["uid"], round(x["score"], 9), x["rank"]) for x in df.collect()}
+    assert rows(r._sparse(spark, folder, 20, r.index(spark, folder))) == rows(r._sparse(spark, folder, 20))
