@@ -73,3 +73,46 @@ def test_sparse_search_of_the_stored_index(spark, folder):
 
     rows = lambda df: {(x["query_id"], x["uid"], round(x["score"], 9), x["rank"]) for x in df.collect()}
     assert rows(r._sparse(spark, folder, 20, r.index(spark, folder))) == rows(r._sparse(spark, folder, 20))
+
+
+@pytest.mark.parametrize("names", (False, True))
+def test_packed_postings_are_the_same(monkeypatch, names):
+    monkeypatch.setattr(products, "PACK", 700)
+    monkeypatch.setattr(products, "PACKED", 90)
+    units, *_ = arranged(np.random.default_rng(5), 300, 2, 40, names)
+    group = pa.array(np.arange(units.num_rows) * 7 % 3, pa.int32())
+    packed = pa.Table.from_batches(products._packing(iter(units.add_column(0, "u", group).to_batches(max_chunksize=500))))
+    rows = lambda t: sorted(zip(*(t[c].to_pylist() for c in ("uid", "tid", "uw"))))
+    assert rows(products._unpacked(packed)) == rows(units)
+    one = packed.filter(pa.array([x == 1 for x in packed["u"].to_pylist()]))
+    assert rows(products._unpacked(one)) == rows(units.filter(pa.array([x == 1 for x in group.to_pylist()])))
+    some = sorted(set(units["uid"].to_pylist()))[::5]
+    listed = pa.table({"uids": pa.array([[x] for x in some], one.schema.field("uids").type)})
+    both = pa.concat_tables([packed, listed], promote_options="default")
+    assert rows(products._unpacked(both, True)) == [x for x in rows(units) if x[0] in set(some)]
+    assert products._unpacked(packed, True).num_rows == 0
+
+
+def _written(spark, made):
+    """Bytes and records shuffled, in Spark's status store, by the stages of ``made()``, and the files of shuffles that remain."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (lambda l: [l.apply(i) for i in range(l.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}  # noqa: E731, E741
+    before = stages()
+    made()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_index_and_search_shuffle_little(spark):
+    """Texts are shuffled once to be stored, and postings go to the search in a few bytes each."""
+    docs = spark.range(20_000).selectExpr("id as uid", "concat_ws(' ', transform(sequence(1, 30), i -> concat('w', pmod(hash(id, i), 300)))) as text")
+    text = 20_000 * 30 * 5
+    made: list = []
+    assert _written(spark, lambda: made.append(lexical.build_index(docs).stored())) < text
+    asked = docs.where("uid % 4000 = 0").selectExpr("uid as query_id", "text as query")
+    found: list = []
+    allowed = docs.where("uid % 2 = 1").select("uid")
+    # A posting of three longs, of the kind that was shuffled before, takes more.
+    assert _written(spark, lambda: found.append(lexical.bm25(made[0], asked, 5, allowed))) < 20_000 * 30 * 8
+    rows = found[0].collect()
+    assert len(rows) == 25 and all(r["uid"] % 2 for r in rows)
