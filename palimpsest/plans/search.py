@@ -11,6 +11,7 @@ from palimpsest.functions import labels
 from palimpsest.functions.text import token_estimate
 from palimpsest.operators import dense, fusion, lexical, prune
 from palimpsest.operators.ranking import by_score, top_k
+from palimpsest.session import written
 
 
 @dataclass
@@ -130,7 +131,9 @@ def tower_candidates(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def cascade(chunks: DataFrame, max_tokens: int, now: float, max_drops: int | None = None, mode: str = "BUDGET_MAX") -> DataFrame:
-    """Chunks pruned in three stages: scores far below the median, what other towers say already, and packing into the budget. ``query_id, chunk_id, place``."""
-    kept = prune.mad_filter(chunks)
+    """Chunks pruned in three stages: scores far below the median, what other towers say already, and packing into the budget. ``query_id, chunk_id, place``.
+    Chunks are written before they are used several times, and those that are left before they are packed, so that one step's shuffle files are gone in the next."""
+    kept = prune.mad_filter(written(chunks, "chunks"))
     judged = prune.disambiguate(prune.arbitration(kept, F.lit(0.0), now), max_drops)
-    return prune.pack_mmr(judged.where("not dropped"), max_tokens, mode=mode)
+    left = written(judged.where("not dropped").drop("dropped", "reason", "keeper", "arbitration"), "judged")
+    return prune.pack_mmr(left, max_tokens, mode=mode)

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from palimpsest.operators import dense, lexical, products
+from palimpsest.session import written
 
 
 def arranged(rng, n_units, n_queries, n_terms, names=False):
@@ -93,26 +94,34 @@ def test_packed_postings_are_the_same(monkeypatch, names):
     assert products._unpacked(packed, True).num_rows == 0
 
 
-def _written(spark, made):
-    """Bytes and records shuffled, in Spark's status store, by the stages of ``made()``, and the files of shuffles that remain."""
-    store = spark.sparkContext._jsc.sc().statusStore()
-    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (lambda l: [l.apply(i) for i in range(l.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}  # noqa: E731, E741
+def _shuffled(spark, made):
+    """Bytes that the stages of ``made()`` shuffle, by Spark's status store."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (found.apply(i) for i in range(found.size()))}
+
     before = stages()
     made()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     return sum(n for k, n in stages().items() if k not in before)
 
 
 def test_index_and_search_shuffle_little(spark):
-    """Texts are shuffled once to be stored, and postings go to the search in a few bytes each."""
-    docs = spark.range(20_000).selectExpr("id as uid", "concat_ws(' ', transform(sequence(1, 30), i -> concat('w', pmod(hash(id, i), 300)))) as text")
-    text = 20_000 * 30 * 5
+    """Texts are shuffled once to be stored, and postings go to a search within some units in a few bytes each."""
+    docs = written(spark.range(20_000).selectExpr("id as uid", "concat_ws(' ', transform(sequence(1, 30), i -> concat('w', pmod(hash(id, i), 300)))) as text"), "docs")
+    asked, allowed = docs.where("uid % 4000 = 0").selectExpr("uid as query_id", "text as query"), docs.where("uid % 2 = 1").select("uid")
     made: list = []
-    assert _written(spark, lambda: made.append(lexical.build_index(docs).stored())) < text
-    asked = docs.where("uid % 4000 = 0").selectExpr("uid as query_id", "text as query")
-    found: list = []
-    allowed = docs.where("uid % 2 = 1").select("uid")
-    # A posting of three longs, of the kind that was shuffled before, takes more.
-    assert _written(spark, lambda: found.append(lexical.bm25(made[0], asked, 5, allowed))) < 20_000 * 30 * 8
-    rows = found[0].collect()
+    assert _shuffled(spark, lambda: made.append(lexical.build_index(docs).stored())) < 20_000 * 30 * 5
+    assert _shuffled(spark, lambda: made.append(lexical.bm25(made[0], asked, 5, allowed))) < 20_000 * 30 * 1.4
+    rows = made[1].collect()
     assert len(rows) == 25 and all(r["uid"] % 2 for r in rows)
+
+
+def test_cascade_makes_its_chunks_once(spark, folder):
+    """What is packed is read from a table, not made again by the searches' joins."""
+    from palimpsest.queries import context
+
+    plan = context.tri_tower(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
