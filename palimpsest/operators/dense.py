@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.blocks import Weigh
 from palimpsest.operators.products import TERMS, best_products
 from palimpsest.operators.ranking import top_k
 from palimpsest.session import bounded_broadcast, ship, written
@@ -82,16 +83,16 @@ def implicit_neighbours(queries: DataFrame, vectors: DataFrame, dim: int, k: int
     return first.orderBy("at", "uid").limit(k * n).select("uid", "score")
 
 
-def sparse_search(queries: DataFrame, units: DataFrame, k: int, stored: bool = False) -> DataFrame:
+def sparse_search(queries: DataFrame, units: DataFrame, k: int, stored: bool = False, blocks: DataFrame | None = None, weigh: Weigh | None = None, size: int | None = None) -> DataFrame:
     """Dot product over shared terms of exploded sparse vectors: ``queries(query_id, term, weight)``, ``units(uid,
     term, weight)``; only positive, finite weights, only positive scores. ``query_id, uid, score, rank``. Rows of terms that no query has are left out before anything is shuffled.
-    ``stored`` units are read from a table as they are, twice; others are written first."""
+    ``stored`` units are read from a table as they are, twice; others are written first. ``blocks`` and ``weigh``, if given, have the same weights, and ``size`` is about their number."""
     positive = (F.col("weight") > 0) & (F.col("weight") < float("inf"))
     q = written(queries.where(positive).select("query_id", "term", F.col("weight").alias("qw")), "query-weights")
     u = units.where(positive).select("uid", "term", F.col("weight").alias("uw"))
     if not stored:
         u = written(u.join(bounded_broadcast(q.select("term").distinct(), TERMS), "term", "left_semi").select("uid", "term", "uw"), "unit-weights")
-    return best_products(q, u, u.count(), k, 0.0)
+    return best_products(q, u, u.count() if size is None else size, k, 0.0, None, blocks, weigh)
 
 
 def tiny_weights_dropped(sparse: DataFrame, vocabulary: int = 30522) -> DataFrame:
