@@ -55,12 +55,11 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("uid"), "text", _mapped("memory_space", TOWERS).alias("tower"), token_estimate(F.col("text")).alias("tokens"), _seconds(docs),
         F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [A-Z][a-z]+"), 0)).alias("entity_ids"), F.array("source").alias("source_ids"),
     )
-    stored = r.index(spark, folder)
-    found = r._bm25(spark, folder, 20, stored=stored)
+    found, sparse = r.lexical_and_sparse(spark, folder, 20, 50)
     lo, hi = (f("score").over(Window.partitionBy("query_id")) for f in (F.min, F.max))
     scaled = found.withColumn("s", F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0))
     ranks = scaled.select("query_id", "uid", F.col("rank").alias("pos"), F.round("s", 6).alias("score"))
-    for name, df in (("rank_splade", r._sparse(spark, folder, 50, stored)), ("rank_dense", r._dense(spark, folder, 50))):
+    for name, df in (("rank_splade", sparse), ("rank_dense", r._dense(spark, folder, 50))):
         ranks = ranks.join(df.select("query_id", "uid", F.col("rank").alias(name)), ["query_id", "uid"], "left")
     return ranks.join(d, "uid").select("query_id", F.col("uid").alias("chunk_id"), "pos", "score", "tower", "tokens", "ts", "entity_ids", "source_ids", F.col("pos").alias("rank_bm25"), F.coalesce("rank_splade", F.lit(9999)).alias("rank_splade"), F.coalesce("rank_dense", F.lit(9999)).alias("rank_dense"), "text")
 
