@@ -87,13 +87,13 @@ def mmr(results: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, weig
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place").reset_index(drop=True)
-        n, fused = len(rows), rows["fused"].to_numpy()
-        usable = [i for i in range(n) if rows["v"][i] is not None and rows["qv"][i] is not None and len(rows["v"][i]) == len(rows["qv"][i])]
+        n, fused, v, qv = len(rows), rows["fused"].to_numpy(), rows["v"].tolist(), rows["qv"].tolist()
+        usable = [i for i in range(n) if v[i] is not None and qv[i] is not None and len(v[i]) == len(qv[i])]
         order: list[int] = []
         if usable:
-            m = np.array([rows["v"][i] for i in usable], dtype=np.float64)
+            m = np.array([v[i] for i in usable], dtype=np.float64)
             m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            q = np.asarray(rows["qv"][usable[0]], dtype=np.float64)
+            q = np.asarray(qv[usable[0]], dtype=np.float64)
             rel = m @ (q / max(np.linalg.norm(q), 1e-12))
             redundant, left = np.zeros(len(usable)), np.ones(len(usable), dtype=bool)
             for _ in range(min(k, len(usable))):
@@ -102,7 +102,8 @@ def mmr(results: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, weig
                 left[j] = False
                 order.append(usable[j])
                 redundant = np.maximum(redundant, m @ m[j])
-        order += [i for i in range(n) if i not in set(order) and i not in set(usable)][: max(0, k - len(order))]
+        able = set(usable)
+        order += [i for i in range(n) if i not in able][: max(0, k - len(order))]
         size = len(order)
         return pd.DataFrame({"query_id": rows["query_id"].iloc[order].to_numpy(), "uid": rows["uid"].iloc[order].to_numpy(), "score": [0.3 * fused[i] + 0.7 * (size - r) / size for r, i in enumerate(order)], "rank": range(1, size + 1)})
 
